@@ -28,7 +28,23 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op4_ring_shards, op6_pfair_mix)}
+def op7_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.bpe import decode, encode
+
+    made = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.pii import find_pii, joined
+
+    made = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return made.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_quality, op4_ring_shards, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii)}
 
 #: DuckDB SQL, where it can express a query's whole result. The others are tested against brute
 #: force: hash rings, deadline schedules, graphs and merge queues aren't SQL.
