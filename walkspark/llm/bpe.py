@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 
 BITS = 8
-#: Pre-tokens whose ids each Python worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
+REMEMBERED, LONGEST = 150_000, 64
 #: Unicode white space (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or a run of white space as the pattern cuts it: no match crosses these,
@@ -44,23 +44,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.words = [0] * ((max(ranks.values()) >> BITS) + 1)  # lower level of the bitmap; all zero between pre-tokens
+        self.words = [0] * ((max(ranks.values()) >> BITS) + 1)  # lower level of the bitmap; all zero between calls
         self.pieces = regex.compile(pattern).findall
-        self.short = lru_cache(REMEMBERED)(self.piece)
-        self.chunk = lru_cache(REMEMBERED)(self.pieces_of)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merges(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token of any length. Queue operations stand in line: calls would double the time."""
+    def merges(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens of any length; all stand in one list, and no pair crosses an end.
+
+        Queue operations stand in line: calls would double the time.
+        """
         get, words, mask = self.ranks.get, self.words, (1 << BITS) - 1
         top, buckets = 0, {}
-        n = len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
+        whole = b"".join(pieces)
+        n = len(whole)
+        parts = [whole[i : i + 1] for i in range(n)]
+        waits = [get(whole[i : i + 2]) for i in range(n)]  # the rank at which the pair that starts here waits
+        ends, at = bytearray(n + 1), 0  # 1 where a pre-token starts
+        ends[n] = 1
+        for p in pieces:
+            ends[at] = 1
+            at += len(p)
+            waits[at - 1] = None
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [get(piece[i : i + 2]) for i in range(n - 1)] + [None]  # the rank at which the pair that starts here waits
         for i, rank in enumerate(waits):
             if rank is not None:
                 if rank in buckets:
-                    buckets[rank].append(i)  # ascending, so a heap
+                    buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
                     words[rank >> BITS] |= 1 << (rank & mask)
@@ -70,58 +80,84 @@ class Encoder:
             bits = words[word]
             low = bits & -bits
             rank = (word << BITS) + low.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[rank]
-                words[word] = bits ^ low
-                if bits == low:
-                    top &= top - 1
-            if waits[i] != rank:  # stale: the pair has changed since
-                continue
-            j = after[i]
-            parts[i] = joined = parts[i] + parts[j]
-            waits[j] = None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                waits[i] = right = get(joined + parts[k])
-            else:
-                waits[i] = right = None
-            if (h := before[i]) >= 0:
-                waits[h] = left = get(parts[h] + joined)
-            else:
-                left = None
-            for rank, i in ((left, h), (right, i)):
-                if rank is not None:
-                    if rank in buckets:
-                        heappush(buckets[rank], i)
-                    else:
-                        buckets[rank] = [i]
-                        words[rank >> BITS] |= 1 << (rank & mask)
-                        top |= 1 << (rank >> BITS)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[parts[i]])
-            i = after[i]
-        return ids
-
-    def piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        rank = self.ranks.get(data)
-        return np.array([rank] if rank is not None else self.merges(data), "<u4").tobytes()
-
-    def pieces_of(self, chunk: str) -> bytes:
-        """Ids of text that no match of the pattern leaves or enters."""
-        short, piece = self.short, self.piece
-        return b"".join([short(p) if len(p) <= LONGEST else piece(p) for p in self.pieces(chunk)])
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        chunk, pieces_of = self.chunk, self.pieces_of
-        return b"".join([chunk(p) if len(p) <= LONGEST else pieces_of(p) for p in CHUNKS(text)])
+            bucket = buckets.pop(rank)
+            words[word] = bits ^ low
+            if bits == low:
+                top &= top - 1
+            bucket.sort()
+            for spent, i in enumerate(bucket, 1):
+                if waits[i] != rank:  # stale: the pair has changed since
+                    continue
+                j = after[i]
+                parts[i] = joined = parts[i] + parts[j]
+                waits[j] = None
+                after[i] = k = after[j]
+                first = rank
+                if ends[k]:
+                    waits[i] = None
+                    if k < n:
+                        before[k] = i
+                else:
+                    before[k] = i
+                    waits[i] = r = get(joined + parts[k])
+                    if r is not None:
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            words[r >> BITS] |= 1 << (r & mask)
+                            top |= 1 << (r >> BITS)
+                        first = r if r < first else first
+                if not ends[i]:
+                    h = before[i]
+                    waits[h] = r = get(parts[h] + joined)
+                    if r is not None:
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            buckets[r] = [h]
+                            words[r >> BITS] |= 1 << (r & mask)
+                            top |= 1 << (r >> BITS)
+                        first = r if r < first else first
+                if first < rank and spent < len(bucket):  # a lower rank has come up: it goes first, the rest of the bucket waits
+                    buckets[rank] = buckets.get(rank, []) + bucket[spent:]
+                    words[word] |= low
+                    top |= 1 << word
+                    break
+        out, i, ranks = [], 0, self.ranks
+        for p in pieces:
+            end, ids = i + len(p), []
+            while i < end:
+                ids.append(ranks[parts[i]])
+                i = after[i]
+            out.append(ids)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        chunks = [CHUNKS(t) if t else [] for t in texts]
+        known, older = self.known, self.older
+        new = set().union(*chunks).difference(known)
+        for chunk in new & older.keys():
+            known[chunk] = older[chunk]
+        new = [c for c in new if c not in known]
+        pieces = [self.pieces(c) for c in new]
+        tokens = {p: self.ranks.get(p.encode()) for c in pieces for p in c}
+        ids = {p: rank.to_bytes(4, "little") for p, rank in tokens.items() if rank is not None}
+        rest = [p for p, rank in tokens.items() if rank is None]
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            for p, merged in zip(some, self.merges([p.encode() for p in some])):
+                ids[p] = struct.pack(f"<{len(merged)}I", *merged)
+        for chunk, parts in zip(new, pieces):
+            known[chunk] = b"".join([ids[p] for p in parts])
+        out = [b"".join([known[c] for c in text]) for text in chunks]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del known[chunk]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
+        return out
 
 
 @lru_cache(2)
@@ -159,7 +195,7 @@ def encode(df: DataFrame, text: str = "text", ranks_path: str | None = None, pat
         encoder = _encoder(path, pat)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [encoder.encode(t) if t else b"" for t in part.column(text).to_pylist()]
+                ids = encoder.encode(part.column(text).to_pylist())
                 yield _add(part, gone, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())})
 
     df = df.drop("ids", "n_tokens")

@@ -15,6 +15,13 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.neardup import near_duplicates
+
+    made = near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
+    return made.select("doc_id", "n_shingles", "component_id", "kept", "set_id")
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from walkspark.llm.sharding import shard_documents
 
@@ -44,7 +51,7 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op4_ring_shards, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii)}
+QUERIES = {f.__name__: f for f in (op2_line_quality, op3_hamming_neardup, op4_ring_shards, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii)}
 
 #: DuckDB SQL, where it can express a query's whole result. The others are tested against brute
 #: force: hash rings, deadline schedules, graphs and merge queues aren't SQL.
