@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 BITS = 8
 #: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Unicode white space (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or a run of white space as the pattern cuts it: no match crosses these,
@@ -69,8 +69,8 @@ class Encoder:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         for i, rank in enumerate(waits):
             if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)
+                if (bucket := buckets.get(rank)) is not None:
+                    bucket.append(i)
                 else:
                     buckets[rank] = [i]
                     words[rank >> BITS] |= 1 << (rank & mask)
@@ -101,8 +101,8 @@ class Encoder:
                     before[k] = i
                     waits[i] = r = get(joined + parts[k])
                     if r is not None:
-                        if r in buckets:
-                            buckets[r].append(i)
+                        if (more := buckets.get(r)) is not None:
+                            more.append(i)
                         else:
                             buckets[r] = [i]
                             words[r >> BITS] |= 1 << (r & mask)
@@ -112,8 +112,8 @@ class Encoder:
                     h = before[i]
                     waits[h] = r = get(parts[h] + joined)
                     if r is not None:
-                        if r in buckets:
-                            buckets[r].append(h)
+                        if (more := buckets.get(r)) is not None:
+                            more.append(h)
                         else:
                             buckets[r] = [h]
                             words[r >> BITS] |= 1 << (r & mask)
@@ -143,8 +143,14 @@ class Encoder:
         new = [c for c in new if c not in known]
         pieces = [self.pieces(c) for c in new]
         tokens = {p: self.ranks.get(p.encode()) for c in pieces for p in c}
-        ids = {p: rank.to_bytes(4, "little") for p, rank in tokens.items() if rank is not None}
-        rest = [p for p, rank in tokens.items() if rank is None]
+        ids, rest = {}, []
+        for p, rank in tokens.items():
+            if rank is not None:
+                ids[p] = rank.to_bytes(4, "little")
+            elif found := known.get(p) or older.get(p):
+                ids[p] = found
+            else:
+                rest.append(p)
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
             for p, merged in zip(some, self.merges([p.encode() for p in some])):

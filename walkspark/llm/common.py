@@ -33,7 +33,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from walkspark.llm.common import table
 
 
+def op1_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from walkspark.llm.quality import clean_lines
 
@@ -29,6 +36,15 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op5_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.licenses import scan, train
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = scan(documents, train(spark, documents))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",")
+    return made.select("doc_id", "n_paragraphs", F.size("licences").alias("n_licences"), families.alias("families"), F.array_max(F.transform("licences", lambda x: x["probability"])).alias("probability"))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from walkspark.llm.mixing import mix
 
@@ -51,7 +67,19 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op3_hamming_neardup, op4_ring_shards, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii)}
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pruned_graph_ann, op2_line_quality, op3_hamming_neardup, op4_ring_shards, op5_licence_classifier, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii, op9_katz_backoff, op10_fused_language)}
 
 #: DuckDB SQL, where it can express a query's whole result. The others are tested against brute
 #: force: hash rings, deadline schedules, graphs and merge queues aren't SQL.
