@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from walkspark.llm.common import stored
 
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 LIMIT = 5  # counts above it aren't discounted
-BUCKET_TOKENS = 5_000_000
-FLUSH_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_500_000
+FLUSH_TOKENS = 800_000
 REMEMBERED = 300_000
 RARE = np.uint64(1 << 63)
 
