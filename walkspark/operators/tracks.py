@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from walkspark.functions.bng import in_gb, to_bng, to_wgs84
 
-ORDER = Window.partitionBy("slug").orderBy("seq")
+
+def by_track() -> WindowSpec:
+    return Window.partitionBy("slug").orderBy("seq")
 
 
 def projected(points: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def projected(points: DataFrame) -> DataFrame:
 
 
 def step_m() -> Column:
-    e, n = F.col("e") - F.lag("e").over(ORDER), F.col("n") - F.lag("n").over(ORDER)
+    e, n = F.col("e") - F.lag("e").over(by_track()), F.col("n") - F.lag("n").over(by_track())
     return F.coalesce(F.sqrt(e * e + n * n), F.lit(0.0))
 
 
@@ -33,7 +35,7 @@ def smoothed(window: int = 5) -> Column:
     if window <= 1:
         return F.col("ele")
     half = window // 2
-    return F.avg("ele").over(ORDER.rowsBetween(-half, half))
+    return F.avg("ele").over(by_track().rowsBetween(-half, half))
 
 
 def naismith_minutes(km: Column, ascent_m: Column) -> Column:
@@ -43,7 +45,7 @@ def naismith_minutes(km: Column, ascent_m: Column) -> Column:
 def describe(points: DataFrame, window: int = 5, pace: float = 1.4, lunch: int = 60) -> DataFrame:
     """One row a track of two points or more: km, ascent (null unless every point has a height), minutes, ends, points."""
     rows = points.withColumns({"step": step_m(), "s": smoothed(window)})
-    rows = rows.withColumn("rise", F.greatest(F.lit(0.0), F.col("s") - F.lag("s").over(ORDER)))
+    rows = rows.withColumn("rise", F.greatest(F.lit(0.0), F.col("s") - F.lag("s").over(by_track())))
     full = F.min(F.col("ele").isNotNull().cast("int")) == 1
     made = rows.groupBy("slug").agg((F.sum("step") / 1000).alias("km"), F.when(full, F.coalesce(F.sum("rise"), F.lit(0.0))).alias("ascent_m"), full.alias("has_elevation"), F.count("*").alias("point_count"), F.min_by(F.struct("lon", "lat"), "seq").alias("a"), F.max_by(F.struct("lon", "lat"), "seq").alias("b"))
     minutes = F.bround(naismith_minutes(F.col("km"), F.col("ascent_m")) * pace + lunch, 0).cast("int")
@@ -59,7 +61,7 @@ def bbox(points: DataFrame, buffer_m: float) -> DataFrame:
 
 def segments(points: DataFrame) -> DataFrame:
     """(slug, seg, e, n, e2, n2, cum_m, step): each point with the next; tracks of one point have none."""
-    ahead = lambda c: F.lead(c).over(ORDER)
+    ahead = lambda c: F.lead(c).over(by_track())
     made = cumulative(points).withColumns({"e2": ahead("e"), "n2": ahead("n"), "cum2": ahead("cum_m"), "lon2": ahead("lon"), "lat2": ahead("lat"), "ele2": ahead("ele")})
     return made.filter("e2 is not null").withColumnRenamed("seq", "seg").withColumn("len_m", F.col("cum2") - F.col("cum_m"))
 
