@@ -214,6 +214,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     """
     base = stored(fingerprints(df, id, text, words), "neardup-base")
     classes = base.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("set_key", "r.*")
+    classes = stored(classes, "neardup-classes")  # read from a table, the join at the end can split a class of many copies
     keys = classes.select(F.explode(_deletions()).alias("key"), "id", F.col("n").cast("int").alias("n"))
     # a bucket's centre is drawn by hash, so that near copies, which share many buckets, meet many centres
     shared = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
