@@ -249,6 +249,14 @@ def test_base_spans():
     assert pii.base_spans("9" * 200_000) == [] and pii.base_spans("@" * 100_000) == []
 
 
+def test_base_spans_that_start_together_are_ordered_by_kind(spark):
+    texts = ["10.0.0.1@host.com", "4111111111111111@x.com", "see 10.0.0.1@host.com"]
+    assert [pii.base_spans(t) for t in texts] == [[(0, 17, 0), (0, 8, 1)], [(0, 22, 0), (0, 16, 2)], [(4, 21, 0), (4, 12, 1)]]
+    rows = pii.find_pii(_docs(spark, texts), patterns=["in none:"]).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["spans"]] for r in rows] == [["email", "ip"], ["email", "card"], ["email", "ip"]]
+    assert [r["text"] for r in pii.redact(_docs(spark, texts), patterns=[]).orderBy("doc_id").collect()] == ["<EMAIL>", "<EMAIL>", "see <EMAIL>"]
+
+
 def test_patterns_are_learnt(spark):
     texts = [f"Hello there my staff id: {i * 7919 % 99991 + 100000}@x.com ok, the year 20{i:02d}5 went" for i in range(30)]
     df = _docs(spark, [*texts, "My staff id: QX-77812-B ok then", "In the year 20245 it rained", None, ""]).withColumn("spans", F.lit(1))

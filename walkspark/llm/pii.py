@@ -49,7 +49,7 @@ def _digits(text: str) -> str:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the base finders, ordered; ends exclusive, in code points."""
+    """(start, end, kind) of the base finders, ordered by start, then kind; ends exclusive, in code points."""
     found = []
     at, end = text.find("@"), 0
     while at >= 0:
@@ -71,7 +71,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for m in PHONE(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 found.append((m.start(), m.end(), 3))
-    return sorted(found)
+    return sorted(found, key=_order)
+
+
+def _order(span: tuple[int, int, int]) -> tuple[int, int, int]:
+    start, end, kind = span
+    return start, kind, end
 
 
 def sites(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str | None, list[str]]]:
@@ -197,7 +202,7 @@ def all_spans(text: str, patterns: set[str]) -> tuple[list, list]:
     if not patterns:
         return base, base
     more = [(lo, hi, 4) for lo, hi, kind, found in sites(text, base) if kind is None and not patterns.isdisjoint(found)]
-    return base, sorted(base + more)
+    return base, sorted(base + more, key=_order)
 
 
 def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | None = None) -> DataFrame:
