@@ -268,6 +268,29 @@ def test_patterns_are_learnt(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_found_identifiers_induce_patterns_and_none_is_cut_by_rank(spark):
+    # "staff id:" has mail seeds and QX codes behind it, "badge=" only QX codes; the pair "in the" has most seeds but isn't reliable
+    texts = [f"Hello my staff id: u{i}@x.com ok" for i in range(30)] + [f"My staff id: QX-{i}77-B ok" for i in range(5)] + [f"entry badge=QX-{i}77-B" for i in range(5)]
+    texts += [f"lives in the m{i}@x.com or in the big town near in the old mill and in the wood" for i in range(60)]
+    df = _docs(spark, [*texts, "entry badge=ZZ-90909 ok"])
+    known = pii.learn_patterns(df)
+    assert {"label id:", "in badge="} <= set(known) and "words in the" not in known
+    one = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, patterns=known, max_patterns=1).collect()}
+    assert one == {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()} and [s["kind"] for s in one[len(texts)]] == ["id"]
+    assert pii.redact(df, patterns=known, max_patterns=1).filter(F.col("doc_id") == len(texts)).first()["text"] == "entry badge=<ID> ok"
+
+
+def test_followers_counts_all_tokens_behind_patterns():
+    import pyarrow as pa
+
+    texts = ["Staff id: 7 id: 8 xy=1 XY=2", "id: id:", None, ""]
+    marks = np.full(1 << (pii.MARK_BITS - 3), 255, np.uint8)
+    out = Counter()
+    for b in pii._followers(marks)([pa.RecordBatch.from_pydict({"text": texts})]):
+        out.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert out["label id:"] == 4 and out["in xy="] == 2 and out["words staff id:"] == 1 and out["words id: 8"] == 1
+
+
 # language model
 
 def test_katz(spark):

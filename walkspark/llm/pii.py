@@ -4,24 +4,27 @@ Base finders for e-mail addresses, IPv4 addresses, payment cards and phone numbe
 The words in front of a seed (a label such as "tel:", or the two words before) induce lexical
 patterns. Patterns and the identifiers they stand before form a bipartite graph, which Spark scores
 in rounds: a pattern is as reliable as the identifiers it finds among all tokens it precedes in the
-corpus, an identifier as the patterns that find it. Patterns that stay highly reliable then mark
+corpus, an identifier as the patterns that find it. Identifiers of high score count as seeds in the next round
+and so induce patterns of their own. Patterns that end highly reliable then mark
 identifiers of unseen shapes (kind "id") in all texts.
 
-Only tables of identifiers and patterns are shuffled. Texts are read three times where they lie:
+Only tables of identifiers and patterns are shuffled; patterns are scored as tables, however many. Texts are read three times where they lie:
 for seeds and sites, for the number of all tokens behind each pattern, and for the spans.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import stored
+from walkspark.llm.common import discard, stored
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -33,6 +36,11 @@ DIGIT = re.compile(r"[0-9]").search
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+").finditer
 #: What may open an identifier inside a token, behind a label: letters, then : or = or #.
 LABELLED = re.compile(r"([^\W\d_][\w-]{1,30}[:=#]+)(.+)\Z", re.S).match
+#: Patterns that may count are looked up in 2 ** MARK_BITS bits, and HELD counts are held in a worker at once.
+MARK_BITS = 26
+HELD = 200_000
+#: Patterns that go to the workers in one pass over the texts.
+MAX_PATTERNS = 10_000
 EDGES = "\"'`()[]{}<>.,;:!?"
 
 
@@ -135,11 +143,13 @@ def _each(run, *names):
     return apply
 
 
-def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8, max_patterns: int = 10_000) -> list[str]:
-    """Reliable patterns: at least `confidence` after the last round, found before `support` or more distinct seeds.
+def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> list[str]:
+    """Reliable patterns: at least `confidence` after the last round, found before `support` or more distinct trusted identifiers.
 
-    A round keeps no more than max_patterns patterns, the best supported ones: what goes to all
-    workers has that bound. Works on all rows; empty tables and tables without seeds give no patterns.
+    Trusted are the seeds and, from the second round on, identifiers with a score of `confidence` or more, so
+    what a pattern finds induces further patterns. All patterns that stand before `support` or more distinct
+    identifiers are scored; nothing is left out by rank. Works on all rows; empty tables and tables without
+    seeds give no patterns.
     """
     slim = documents.select(text)
 
@@ -151,93 +161,150 @@ def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, su
 
     seen = slim.mapInArrow(_each(occurrences, "pattern", "instance", "seed"), "pattern string, instance string, seed boolean")
     graph = stored(seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-graph")
-    strong = graph.filter("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    best = [r["pattern"] for r in strong.orderBy(F.desc("seeds"), "pattern").limit(max_patterns).collect()]
-    if not best:
-        return []
-    totals = slim.mapInArrow(_followers(set(best)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    edges = stored(graph.join(F.broadcast(totals), "pattern"), "pii-edges")  # at most max_patterns rows
-    scores = edges.select("instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    # a pattern before fewer identifiers can't reach the support in any round
+    able = stored(graph.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("pattern"), "pii-able")
+    totals = slim.mapInArrow(_followers(_marks(able)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    totals = stored(totals.join(able, "pattern", "left_semi"), "pii-totals")
+    edges = stored(graph.join(able, "pattern", "left_semi"), "pii-edges")
+    scores = edges.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
     patterns = None
-    for _ in range(rounds):
-        scored = edges.join(scores, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / F.first("total")).alias("reliable"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
-        miss = F.when(F.max("seed"), F.lit(0.0)).otherwise(F.exp(F.sum(F.log(F.greatest(1.0 - F.col("reliable"), F.lit(1e-9))))))
-        scores = edges.join(F.broadcast(patterns.select("pattern", "reliable")), "pattern").groupBy("instance").agg((1.0 - miss).alias("score"))  # at most max_patterns rows
-    return sorted(r["pattern"] for r in patterns.filter((F.col("reliable") >= confidence) & (F.col("seeds") >= support)).collect())
+    for k in range(rounds):
+        sums = edges.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("found"), F.count(F.when(F.col("seed") | (F.col("score") >= confidence), 1)).alias("trusted"))
+        patterns = stored(sums.filter(F.col("trusted") >= support).join(totals, "pattern").select("pattern", (F.col("found") / F.col("total")).alias("reliable")), "pii-patterns")
+        if k + 1 < rounds:
+            miss = F.when(F.max("seed"), F.lit(0.0)).otherwise(F.exp(F.sum(F.log(F.greatest(1.0 - F.coalesce("reliable", F.lit(0.0)), F.lit(1e-9))))))
+            scores = stored(edges.join(patterns, "pattern", "left").groupBy("instance").agg((1.0 - miss).alias("score")), "pii-scores")
+    return sorted(r["pattern"] for r in patterns.filter(F.col("reliable") >= confidence).collect()) if patterns is not None else []
+
+
+def _marks(patterns: DataFrame) -> np.ndarray:
+    """A table of 2 ** MARK_BITS bits in which each pattern's bit is set: the same size for any number of patterns."""
+    at = F.crc32(F.col("pattern").cast("binary")) % (1 << MARK_BITS)
+    bits = patterns.select(F.shiftright(at, 3).cast("int").alias("byte"), F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int")).alias("bit"))
+    found = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    out[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return out
 
 
-def _followers(best: set[str]):
-    """Counts, for each pattern of `best`, all tokens of the texts that stand where it would find an identifier."""
-    inside = {p for p in best if p.startswith("in ")}
-    others = best - inside
+def _followers(marks: np.ndarray):
+    """Counts of all tokens of the texts that stand where a pattern would find an identifier, for every pattern whose
+    bit in `marks` is set (so for a few others too)."""
+    marks = marks.tobytes()
+    mask = (1 << MARK_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        inner: Counter = Counter()
         counts: Counter = Counter()
+
+        def marked(p, n):
+            at = zlib.crc32(p.encode()) & mask
+            if marks[at >> 3] >> (at & 7) & 1:
+                counts[p] += n
+
+        def settle():
+            for (a, b), n in pairs.items():
+                if a:
+                    marked(f"words {a} {b}", n)
+                if b[-1] in ":=#":
+                    marked(f"label {b}", n)
+            for label, n in inner.items():
+                marked(f"in {label}", n)
+            pairs.clear()
+            inner.clear()
+
+        def rows():
+            out = pa.RecordBatch.from_pydict({"pattern": list(counts), "n": list(counts.values())}, schema=pa.schema([("pattern", pa.string()), ("n", pa.int64())]))
+            counts.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = [m[0] for m in TOKEN(text)] if text else []
                 low = [w.lower() for w in words]
-                for a, b in zip(low, low[1:]):
-                    if (p := f"words {a} {b}") in others:
-                        counts[p] += 1
-                    if b[-1] in ":=#" and (p := f"label {b}") in others:
-                        counts[p] += 1
-                if low and low[0][-1] in ":=#" and (p := f"label {low[0]}") in others:
-                    counts[p] += 1
-                if inside:
-                    for w in words:
-                        if m := LABELLED(w):
-                            p = f"in {m[1].lower()}"
-                            if p in inside:
-                                counts[p] += 1
-        yield pa.RecordBatch.from_pydict({"pattern": list(counts), "n": list(counts.values())}, schema=pa.schema([("pattern", pa.string()), ("n", pa.int64())]))
+                pairs.update(zip(["", *low], low))
+                for w in words:
+                    if (":" in w or "=" in w or "#" in w) and (m := LABELLED(w)):
+                        inner[m[1].lower()] += 1
+                if len(pairs) > HELD or len(inner) > HELD:
+                    settle()
+                    if len(counts) > HELD:
+                        yield rows()
+        settle()
+        yield rows()
 
     return run
 
 
-def all_spans(text: str, patterns: set[str]) -> tuple[list, list]:
-    """(base spans, base spans and those that reliable patterns find)."""
+def all_spans(text: str, patterns: set[str], earlier: list | None = None) -> tuple[list, list]:
+    """(base spans, base spans and those that reliable patterns find). earlier: starts and ends that other patterns found."""
     base = base_spans(text)
-    if not patterns:
-        return base, base
-    more = [(lo, hi, 4) for lo, hi, kind, found in sites(text, base) if kind is None and not patterns.isdisjoint(found)]
-    return base, sorted(base + more, key=_order)
+    more = {(lo, hi, 4) for lo, hi in zip(earlier[::2], earlier[1::2])} if earlier else set()
+    if patterns:
+        more |= {(lo, hi, 4) for lo, hi, kind, found in sites(text, base) if kind is None and not patterns.isdisjoint(found)}
+    return base, sorted([*base, *more], key=_order)
+
+
+def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns: int) -> tuple[DataFrame, list[str]]:
+    """documents with `_found`, the starts and ends that all patterns but the last max_patterns find, and these last ones.
+
+    Each pass but the last takes max_patterns patterns and writes the table, so no worker ever holds more of them.
+    """
+    df = documents.withColumn("_found", F.lit(None).cast("array<int>"))
+    schema, written = df.schema, None
+    for at in range(0, len(patterns) - max_patterns, max_patterns):
+        part = patterns[at : at + max_patterns]
+
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            chosen = set(part)
+            for batch in batches:
+                found = [[x for lo, hi, k in all_spans(t, chosen, e)[1] if k == 4 for x in (lo, hi)] if t else None for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist())]
+                yield pa.RecordBatch.from_pydict({n: pa.array(found, pa.list_(pa.int32())) if n == "_found" else batch.column(n) for n in batch.schema.names})
+
+        last, written = written, stored(df.mapInArrow(run, schema), "pii-found")
+        if last is not None:
+            discard(last)
+        df = written
+    return df, patterns[(len(patterns) - 1) // max_patterns * max_patterns :] if patterns else []
 
 
-def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | None = None) -> DataFrame:
+def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """documents without their text, with `base` and `spans`: arrays of struct<kind, start, end> ordered by start, then kind.
 
     Positions are code points, ends exclusive. patterns: from learn_patterns (default: learnt here).
+    More than max_patterns take several passes over the texts.
     Null and empty texts have no spans. Each row is judged alone, so repeated rows get equal spans.
     Columns named base or spans are replaced.
     """
     known = learn_patterns(documents, text) if patterns is None else patterns
     df = documents.drop("base", "spans")
     fields = [f for f in df.schema.fields if f.name != text]
+    df, known = _passes(df, text, known, max_patterns)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} array<struct<kind:string,start:int,end:int>>" for n in ("base", "spans")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = set(known)
         for batch in batches:
-            both = [all_spans(t, chosen) if t else ([], []) for t in batch.column(text).to_pylist()]
+            both = [all_spans(t, chosen, e) if t else ([], []) for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist())]
             arrays = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x[i]] for x in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in fields} | {"base": arrays[0], "spans": arrays[1]})
 
     return df.mapInArrow(run, schema)
 
 
-def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None = None) -> DataFrame:
+def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """documents with every span of `text` replaced by <KIND>; the longest wins where spans overlap. Null stays null."""
     known = learn_patterns(documents, text) if patterns is None else patterns
+    df, known = _passes(documents, text, known, max_patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = set(known)
         for batch in batches:
             out = []
-            for t in batch.column(text).to_pylist():
-                spans = all_spans(t, chosen)[1] if t else []
+            for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist()):
+                spans = all_spans(t, chosen, e)[1] if t else []
                 if spans:
                     parts, at = [], 0
                     for lo, hi, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
@@ -248,9 +315,9 @@ def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None
                         at = hi
                     t = "".join(parts) + t[at:]
                 out.append(t)
-            yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == text else batch.column(n) for n in batch.schema.names})
+            yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == text else batch.column(n) for n in batch.schema.names if n != "_found"})
 
-    return documents.mapInArrow(run, documents.schema)
+    return df.mapInArrow(run, documents.schema)
 
 
 def joined(spans: Column) -> Column:
