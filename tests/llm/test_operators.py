@@ -126,6 +126,24 @@ def test_mix(spark):
         mixing.mix(df, {"a": 1})
 
 
+def test_shares_follow_the_weights_of_many_sources(spark):
+    weights = {f"s{i}": 0.67 / 2999 for i in range(2999)} | {"hot": 0.33}
+    period = mixing.period_for(weights)
+    per = mixing.shares(weights, period)
+    assert sum(per.values()) == period and min(per.values()) >= 1
+    assert all(abs(per[s] - period * w) < 1 for s, w in weights.items())
+    assert mixing.period_for({"a": 1.0, "b": 2.0}) == mixing.PERIOD and mixing.period_for({}) == mixing.PERIOD
+    few = mixing.shares({"a": 1000, **{f"s{i}": 1 for i in range(6)}}, 8)
+    assert few == {"a": 2, **{f"s{i}": 1 for i in range(6)}}
+
+
+def test_mix_of_more_sources_than_slots(spark):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.least("id", F.lit(5000))).alias("source"))
+    rows = mixing.mix(df).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(9000)) and len({(r["slot"], r["row_in_block"]) for r in rows}) == 9000
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+
+
 # near duplicates
 
 def _links(texts, words, threshold):

@@ -3,8 +3,10 @@
 Each source's rows are cut into blocks. With weight w, the j-th block of a source (from 0) is
 released at slot floor(j / w) and due by slot ceil((j + 1) / w). Earliest-deadline-first gives each
 slot to a released block, so that after every slot each source that still has rows is less than
-one block from its weight's share. Weights are multiples of 1 / period, so the schedule repeats
-after `period` slots and only that many are ever worked out on the driver.
+one block from its share of slots. Shares are multiples of 1 / period, so the schedule repeats
+after `period` slots and only that many are ever worked out on the driver. A share is less than 1 / period
+from its target weight: less than one more block in each period. The period doubles until the
+smallest weight has a whole slot, so it grows with the number of sources and never caps it.
 
 When a source has no rows left its slots stay empty; every row of the input is in the mix once.
 """
@@ -14,27 +16,48 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PERIOD = 4096
 BLOCK_ROWS = 16
 CELLS = 1024
+BROADCAST = 1 << 14
+
+
+def period_for(weights: Mapping[str, float], least: int = PERIOD) -> int:
+    """least, doubled until every weight is worth a slot or more."""
+    if any(not weights[s] > 0 for s in weights):
+        raise ValueError("weights must be positive")
+    period, whole = least, sum(weights.values())
+    smallest = min(weights.values(), default=whole)
+    while period * smallest < whole:
+        period *= 2
+    return period
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source: at least one each, by largest remainder, period in all."""
+    """Slots of a period for each source, by largest remainder: period in all, less than one from the weight's
+    part of the period. At least one each; only where a weight is worth less than a slot (see period_for),
+    the sources with most slots give it."""
     names = sorted(weights)
     if len(names) > period:
         raise ValueError(f"{len(names)} sources don't fit a period of {period} slots")
     if any(not weights[s] > 0 for s in names):
         raise ValueError("weights must be positive")
     whole = sum(weights.values())
-    spare = period - len(names)
-    exact = {s: spare * weights[s] / whole for s in names}
-    got = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(got.values())]:
+    exact = {s: period * weights[s] / whole for s in names}
+    got = {s: max(1, int(exact[s])) for s in names}
+    spare = period - sum(got.values())
+    for s in sorted(names, key=lambda s: (got[s] - exact[s], s))[: max(0, spare)]:
         got[s] += 1
+    most = [(-n, s) for s, n in got.items()] if spare < 0 else []
+    heapq.heapify(most)
+    for _ in range(-spare):
+        n, s = most[0]
+        got[s] -= 1
+        heapq.heapreplace(most, (n + 1, s))
     return got
 
 
@@ -54,12 +77,18 @@ def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows as a table, by columns."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame.from_records(rows, columns=names), schema)
+
+
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", period: int = PERIOD, block_rows: int = BLOCK_ROWS, alpha: float = 0.5, cells: int = CELLS) -> DataFrame:
     """df with `block`, `row_in_block`, `release`, `deadline` and `slot`; (slot, row_in_block) is the mix's order.
 
     weights: target weight by source; None: (rows of a source) ** alpha. A null source counts as
-    the source ''. Sources without a weight raise ValueError, as do more sources than a period has
-    slots. Inside a source, rows come in the order of a hash of their key, then of all columns, so a
+    the source ''. Sources without a weight raise ValueError. period: the least; it grows as period_for says.
+    Inside a source, rows come in the order of a hash of their key, then of all columns, so a
     block isn't a run of neighbours. A source's rows are ranked in `cells` cells of that hash, so
     one source with a third of all rows doesn't meet in one task. An empty table gives no rows.
     """
@@ -70,20 +99,22 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, source: str =
     rows = df.withColumns({"_source": F.coalesce(F.col(source), F.lit("")), "_h": F.xxhash64(F.col(key).cast("string"), F.when(F.col(key).isNull(), whole)), "_tie": whole})
     rows = rows.withColumn("_cell", F.pmod("_h", F.lit(cells)).cast("int"))
     counts = rows.groupBy("_source", "_cell").agg(F.count("*").alias("_n"))
-    found = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(period + 1).collect()}
+    found = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
     given = dict(weights) if weights is not None else {s: n**alpha for s, n in found.items()}
     if missing := sorted(set(found) - set(given)):
         raise ValueError(f"no weight for {missing[:5]}")
+    period = period_for(given, period)
     per = shares(given, period) if given else {}
-    plan = spark.createDataFrame(schedule(per), "_source string, _k long, _release long, _deadline long, _slot long")
-    of = spark.createDataFrame(list(per.items()), "_source string, _per long")
-    first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("_source").orderBy("_cell")) - F.col("_n")).join(F.broadcast(of), "_source").drop("_n")
+    small = F.broadcast if period <= BROADCAST else lambda df: df  # larger plans are joined as Spark sees fit
+    plan = _frame(spark, schedule(per), "_source string, _k long, _release long, _deadline long, _slot long")
+    of = _frame(spark, list(per.items()), "_source string, _per long")
+    first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("_source").orderBy("_cell")) - F.col("_n")).join(small(of), "_source").drop("_n")
     rank = F.row_number().over(Window.partitionBy("_source", "_cell").orderBy("_h", "_tie")) - 1
-    ranked = rows.withColumn("_rank", rank).join(F.broadcast(first), ["_source", "_cell"])  # at most period * cells short rows
+    ranked = rows.withColumn("_rank", rank).join(small(first), ["_source", "_cell"])  # at most sources * cells short rows
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first"))
     ranked = ranked.withColumns({"block": F.floor(F.col("_rank") / block_rows), "row_in_block": (F.col("_rank") % block_rows).cast("int")})
     ranked = ranked.withColumns({"_k": F.col("block") % F.col("_per"), "_cycle": F.floor(F.col("block") / F.col("_per"))})
-    placed = ranked.join(F.broadcast(plan), ["_source", "_k"])  # period rows
+    placed = ranked.join(small(plan), ["_source", "_k"])  # period rows
     late = F.col("_cycle") * period
     return placed.select(*[F.col(c) for c in df.columns], "block", "row_in_block", (late + F.col("_release")).alias("release"), (late + F.col("_deadline")).alias("deadline"), (late + F.col("_slot")).alias("slot"))
 
