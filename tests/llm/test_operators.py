@@ -68,6 +68,19 @@ def test_quality_verdicts(spark):
     assert got[3]["clean_text"] == good and got[4]["clean_text"] == good
 
 
+def test_a_long_line_may_mention_a_stock_phrase(spark):
+    words = " ".join(f"word{i}" for i in range(80))
+    one = f"The court held that the privacy policy was part of the contract, {words} and lorem ipsum too."
+    lines = "\n".join(f"This is clean line number {i} with words {i * 7} and {i * 13} here." for i in range(12))
+    furniture = "\n".join(f"Terms of use, a{i} b{i} privacy policy c{i} cookie policy d{i}." for i in range(12))
+    spam = f"{' '.join(f'{i} privacy policy terms of use cookie policy' for i in range(20))}."
+    got = {r["doc_id"]: r for r in quality.clean_lines(_docs(spark, [one, f"{lines}\n{one}", furniture, f"{lines}\n{spam}"])).collect()}
+    assert got[0]["kept"] and got[0]["lost_share"] == 0.0 and got[0]["clean_text"] == one
+    assert got[1]["clean_text"] == f"{lines}\n{one}"
+    assert not got[2]["kept"] and not got[2]["base_failed"] and got[2]["clean_text"] == ""
+    assert got[3]["clean_text"] == lines
+
+
 # sharding
 
 def test_sharding(spark):

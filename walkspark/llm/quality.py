@@ -5,7 +5,8 @@ Rules for a line (lines without a word are left out first):
 - punctuation: over a tenth of its characters are marks such as # * $ % & | < >, or over a fifth of its words
   end in doubled marks ("!!"), or it has no closing mark, fewer than `min_words` words and isn't the only line;
 - navigation: at least two separators (| » › • ·), one for four words or more;
-- boilerplate: it holds a stock phrase of web pages, or repeats an earlier line of the document.
+- boilerplate: it holds a stock phrase of web pages and has at most 15 words, or such phrases cover over
+  a fifth of its characters; or it repeats an earlier line of the document.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ STOCK = [
     "all rights reserved", "accept cookies", "cookie policy", "cookies on this site", "enable javascript", "privacy policy", "terms of service",
     "terms of use", "sign up for our newsletter", "subscribe to our newsletter", "skip to content", "back to top", "lorem ipsum",
 ]
+STOCK_WORDS = 15
 MARKS = r"[#*$%&|<>{}\[\]\\^~=_]"
 SEPARATORS = r"[|»›•·]"
 CLOSING = list(".!?…:;。！？\"'”’»)]")
@@ -62,7 +64,9 @@ def line_fails(line: Column, min_words: Column, marked: Column, stock: Column) -
     punctuation = (marks * 10 > F.length(line)) | (doubled * 5 > n_words)
     navigation = (bars >= 2) & (bars * 4 >= n_words)
     unclosed = ~F.substring(F.trim(line), -1, 1).isin(CLOSING) & (n_words < min_words)
-    return (marked & (punctuation | navigation)) | (stock & F.lower(line).rlike("|".join(STOCK))) | unclosed
+    without = F.length(F.regexp_replace(F.lower(line), "|".join(STOCK), ""))
+    phrases = let(F.length(F.lower(line)) - without, lambda n: (n > 0) & ((n_words <= STOCK_WORDS) | (5 * n > F.length(line))))
+    return (marked & (punctuation | navigation)) | (stock & phrases) | unclosed
 
 
 def clean_lines(documents: DataFrame, text: str = "text", max_loss: float = 0.5, min_words: int = 4) -> DataFrame:
