@@ -46,9 +46,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their count and the bytes they decode to, as digests beside the ids' source row."""
+    """Token ids of each text, their count and the bytes they decode to, as digests beside the ids' source row,
+    with the row's place in the mix (slot, row_in_block) and in its order.
+
+    Files don't keep an order when they are read again, so the place is worked out anew from the ids and sources
+    of all rows: on the short rows made here, as mix_sources did on the documents.
+    """
     made = decode(encode(docs.select("doc_id", "source", "text")))
-    return made.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = made.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    mixed = in_mix_order(mix(stored(made, "pipeline-digests")))
+    return mixed.select(*made.columns, "slot", "row_in_block")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("private_data", private_data), ("mix_sources", mix_sources), ("tokens", tokens)]

@@ -157,6 +157,18 @@ def test_mix_of_more_sources_than_slots(spark):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
 
 
+def test_tokens_carry_the_place_in_the_mix(spark):
+    import corpus_pipeline
+
+    texts = [None, "", *[f"text number {i}" for i in range(400)]]
+    df = _docs(spark, texts, ("hot", "hot", "hot", "b", "c"))
+    want = {r["doc_id"]: (r["slot"], r["row_in_block"]) for r in mixing.mix(df).collect()}
+    rows = corpus_pipeline.tokens(spark, corpus_pipeline.mix_sources(spark, df, "").repartition(5), "").collect()
+    places = [(r["slot"], r["row_in_block"]) for r in rows]
+    assert {r["doc_id"]: p for r, p in zip(rows, places)} == want and len(rows) == len(texts)
+    assert places == sorted(places)
+
+
 # near duplicates
 
 def _links(texts, words, threshold):
