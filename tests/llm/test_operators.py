@@ -336,11 +336,12 @@ def test_followers_counts_all_tokens_behind_patterns():
 
 # language model
 
-def test_katz(spark):
+@pytest.mark.parametrize("frequent, cached", [(20, 1 << 19), (20, 0), (2, 10), (1000, 50)])
+def test_katz(spark, frequent, cached):
     rng = random.Random(8)
-    texts = [*ODD, *[_prose(rng, rng.randrange(1, 200), 60) for _ in range(80)]]
+    texts = [*ODD, *[_prose(rng, rng.randrange(1, 200), 60) for _ in range(80)], *["always follows always follows"] * 30]
     df = _docs(spark, texts)
-    rows = {r["doc_id"]: r for r in katz.score(df, frequent_words=20, bucket_tokens=900).collect()}
+    rows = {r["doc_id"]: r for r in katz.score(df, frequent_words=frequent, bucket_tokens=900, cached=cached).collect()}
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in enumerate(texts)}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
     uni = Counter(w for i in train for w in tokens[i])
@@ -351,25 +352,47 @@ def test_katz(spark):
     n, v = sum(uni.values()), len(uni)
     d1, d2 = katz.discounts(Counter(uni.values())), katz.discounts(Counter(c for x in after.values() for c in x.values()))
     of = lambda d, c: (d[c - 1] if c <= katz.LIMIT else 1.0) * c
-    p1 = {w: of(d1, c) / (n + 1) for w, c in uni.items()}
+    p1 = {w: of(d1, c) / n for w, c in uni.items()}
     unknown = 1 - sum(p1.values())
-    alpha = {}
+    total, alpha, widened = {}, {}, 0
     for h, x in after.items():
-        seen = sum(of(d2, c) for c in x.values()) / (sum(x.values()) + 1)
-        alpha[h] = (1 - seen) / (1 - sum(p1[w] for w in x))
-        assert seen + alpha[h] * (unknown + sum(p for w, p in p1.items() if w not in x)) == pytest.approx(1)
+        kept, c = sum(of(d2, c) for c in x.values()), sum(x.values())
+        total[h] = c if c - kept > 1e-9 * c else c + 1
+        widened += total[h] > c
+        alpha[h] = (1 - kept / total[h]) / (1 - sum(p1[w] for w in x))
+        assert kept / total[h] + alpha[h] * (unknown + sum(p for w, p in p1.items() if w not in x)) == pytest.approx(1)
+    assert 0 < widened < len(after) / 2
     for i, t in tokens.items():
         want = base = 0.0
         for h, w in zip(["start", *t], t):
             c = after[h][w] if h in after else 0
-            want += math.log10(of(d2, c) / (sum(after[h].values()) + 1) if c else alpha.get(h, 1.0) * p1.get(w, unknown))
+            want += math.log10(of(d2, c) / total[h] if c else alpha.get(h, 1.0) * p1.get(w, unknown))
             base += math.log10((uni[w] + 1) / (n + v + 1))
         r = rows[i]
         assert r["score"] == pytest.approx(want) and r["base_score"] == pytest.approx(base)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(w in uni for w in t), n, i not in train)
+
+
+def test_katz_of_odd_tables(spark):
+    df = _docs(spark, ["a b c", None, "a b"]).withColumn("h", F.lit(1)).withColumn("bucket", F.lit("x"))
     assert katz.score(df.limit(0)).count() == 0
-    twice = {r["doc_id"]: r["n_tokens"] for r in katz.score(df.limit(3).union(df.limit(3))).collect()}
-    assert twice == {0: 2, 1: 2, 2: 2}
+    other = spark.createDataFrame([(0, "other text here", "a"), (None, "a b c", "a"), (None, None, "a")], DOC).withColumn("h", F.lit(1)).withColumn("bucket", F.lit("x"))
+    rows = katz.score(df.union(df).union(other)).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == {(0, 4): 3, (1, 1): 2, (2, 3): 2, (None, 4): 1, (None, 1): 1}
+    assert len({round(r["score"], 9) for r in rows if r["doc_id"] == 2}) == 1
+
+
+def test_requests_carry_the_ids_of_their_own_documents(spark):
+    rng = random.Random(3)
+    df = _docs(spark, [_prose(rng, 60, 5000) for _ in range(300)])
+
+    def sent(bucket_tokens):
+        model = katz.train(df, frequent_words=50, bucket_tokens=bucket_tokens, cached=0)
+        rows = df.select("doc_id", F.xxhash64("doc_id").alias("doc"), "text").mapInArrow(katz._send(model), katz.SENT).filter("kind = 1").select("n", "data").collect()
+        return [(r["n"], int(np.frombuffer(r["data"], np.uint32, 1)[0])) for r in rows]
+
+    for parts in (sent(6000), sent(300)):
+        assert all(docs <= n for n, docs in parts)
 
 
 # nearest neighbours

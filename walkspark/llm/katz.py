@@ -1,88 +1,90 @@
-"""Katz back-off language model of word pairs, learnt and applied on Spark.
-
-p(w | h) = d(c(h, w)) c(h, w) / (c(h) + 1) for pairs seen in training, else alpha(h) p(w). The discounts d
-are Good-Turing's for counts up to five and 1 above; alpha(h) is what the seen pairs leave over, divided by
-what p leaves over for words not seen after h, so that p(. | h) sums to one exactly. The extra count in the denominator
-leaves something over for every history. Below, p(w) is discounted in the same way and
-what is left over is the one class of unknown words, which ends the recursion.
-
-One shuffle carries every token of the corpus once, as a pair with the word before it, packed in
-columns. A pair goes to the bucket of its rare word (the second if rare, else the first), or of the pair itself if
-both are among the `frequent` most frequent words, whose counts all tasks know; so a bucket sees all of a
-pair's occurrences, no frequent word gathers in one, and the number of buckets follows the tokens. A bucket returns sums for each document, what
-it knows of each history, and for pairs unseen in training their histories; these tables are
-joined by history at the end.
+"""Katz back-off language model of word pairs: trained into tables, applied by recursion over the orders.
+
+p(w | h) = d(c) c / c(h) for a pair seen c times in training, else alpha(h) p(w), and p(w) = d(c) c / N for a
+word seen c times, else what is left over, the one class of unknown words. The discounts d are Good-Turing's for
+counts up to five and 1 above; alpha(h) is what the seen pairs leave over, divided by what p leaves over for the
+words not seen after h, so that p(. | h) sums to one exactly. A history whose pairs leave nothing over (all of
+them were seen more than five times) gets one more count in its denominator; no other history does.
+
+Training counts words, then pairs; both are combined before they are shuffled. The tables: words (w, n);
+pairs, one row of packed columns for each bucket; histories (h, log_total, log_alpha). A pair lies in the bucket of its
+rare word (the second if rare, else the first), or of the pair itself when both are among the most frequent
+words; so no frequent word gathers in a bucket, and a rare word's count is known where its pairs are.
+
+Scoring goes over the texts once. Pairs among the `cached` most frequent ones are looked up where the text
+lies, so hot pairs are never shuffled; the others go to their bucket, packed, and meet its table there one
+packed row at a time. Unseen pairs go on to the order below, histories of rare words to the table of histories.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walkspark.llm.common import stored
+from walkspark.llm.words import END, START, mixed, word_hashes
 
 FREQUENT = 1 << 17
+CACHED = 1 << 19
 LIMIT = 5  # counts above it aren't discounted
-BUCKET_TOKENS = 2_500_000
-FLUSH_TOKENS = 800_000
-REMEMBERED = 300_000
+BUCKET_TOKENS = 6_000_000
+FLUSH_TOKENS = 1_000_000
+ROWS = 256
 RARE = np.uint64(1 << 63)
+CLASSES = 64  # of pair counts, two for each power of two
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
+def in_training(doc_id: Column) -> Column:
+    """Documents to learn from: the crc32 of their id as text, modulo 7, isn't 2. A null id trains."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-_hashes = _WordHashes()
-END = xxhash.xxh3_64_intdigest(b" ") >> 1  # no word holds a blank
+def with_ends(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The texts' words, each text followed by its end."""
+    out = np.full(len(hashes) + len(lengths), END, np.uint64)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(lengths)), lengths)] = hashes
+    return out
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words (A-Z lowered, parted by ASCII white space) and of one end."""
-    words = text.encode().lower().split() if text else []
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    out = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-    return np.append(out, END)
+def _flushes(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(words and ends, tokens of each row, the rows without text) of about `tokens` tokens; text is the last column."""
+    held, size = [], 0
 
+    def joined():
+        words, lengths, rows = zip(*held)
+        return np.concatenate(words), np.concatenate(lengths), pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
 
-def in_training(doc_id: int | None) -> bool:
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            hashes, lengths = word_hashes(part.column(part.num_columns - 1))
+            held.append((with_ends(hashes, lengths), lengths + 1, part.select(part.schema.names[:-1])))
+            size += len(held[-1][0])
+            if size > tokens:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """(w, n): the training count of every word hash, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            w, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"w": w, "n": n.astype(np.int64)})
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if in_training(doc_id):
-                    held.append(word_hashes(text))
-                    size += len(held[-1])
-                    if size > 4 * FLUSH_TOKENS:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+        for words, _, _ in _flushes(batches, 3 * FLUSH_TOKENS):
+            w, n = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"w": w.astype(np.int64), "n": n.astype(np.int64)})
 
-    return documents.select("doc_id", "text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    texts = documents.filter(in_training(F.col("doc_id"))).select("doc_id", "text")
+    return texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def discounts(counted: dict[int, int]) -> list[float]:
@@ -99,9 +101,13 @@ def discounts(counted: dict[int, int]) -> list[float]:
     return out
 
 
+def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
+    return n * np.r_[0.0, d, 1.0][np.minimum(n, LIMIT + 1)]
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns by byte plane, compressed."""
-    planes = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
@@ -114,177 +120,332 @@ def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def _pack_pairs(h: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
+    """Pairs sorted by history: the steps between histories are small."""
+    return _pack(np.diff(h, prepend=np.uint64(0)), w, *more)
+
+
+def _unpack_pairs(data: bytes, n: int, *more: str) -> list[np.ndarray]:
+    steps, *rest = _unpack(data, n, "u8", "u8", *more)
+    return [np.cumsum(steps, dtype=np.uint64), *rest]
 
 
 def _codes(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The place of a word among the frequent ones, or its hash with the top bit set."""
     at = np.searchsorted(frequent, words)
     at[at == len(frequent)] = 0
-    known = frequent[at] == words if len(frequent) else np.zeros(len(words), bool)
-    return np.where(known, at.astype(np.uint64), words.astype(np.uint64) | RARE)
+    return np.where(frequent[at] == words, at.astype(np.uint64), words | RARE)
 
 
-def pairs_by_bucket(documents: DataFrame, frequent, buckets: int) -> DataFrame:
-    """(bucket, n, data, n_docs, docs): packed pairs (document, history, word) of about a million tokens."""
+def _pairs(words: np.ndarray, lengths: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(histories, words) as codes, a pair for each token."""
+    w = _codes(words, frequent)
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[np.cumsum(lengths) - lengths] = np.searchsorted(frequent, np.uint64(START))
+    return h, w
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    key = np.where(w >= RARE, w, np.where(h >= RARE, h, (h << np.uint64(32)) | w))
+    return (mixed(key) % np.uint64(buckets)).astype(np.int32)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def pair_table(documents: DataFrame, frequent: Column, buckets: int) -> DataFrame:
+    """(bucket, n, pairs, types, classes) of the training pairs, one row a bucket.
+
+    pairs: packed histories, words and counts, sorted by history and word. types: the numbers of pairs seen once to LIMIT + 1
+    times; classes: of pairs of frequent words by count, two classes for each power of two.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value[0]
-        start = np.uint64(len(known))  # the history of a first word
-        ids, words, size = [], [], 0
-
-        def flush():
-            lengths = np.array([len(w) for w in words])
-            w = _codes(np.concatenate(words), known)
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[np.cumsum(lengths) - lengths] = start
-            doc = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)
-            key = np.where(w >= RARE, w, np.where(h >= RARE, h, _mix(h * np.uint64(FREQUENT * 4) + w)))
-            bucket = (_mix(key) % np.uint64(buckets)).astype(np.int32)
+        for words, lengths, _ in _flushes(batches, 3 * FLUSH_TOKENS):
+            h, w = _pairs(words, lengths, known)
+            bucket = _bucket(h, w, buckets)
             order = np.lexsort((w, h, bucket))
-            doc, h, w, bucket = doc[order], h[order], w[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            numbers = _pack(np.array([-(2**62) if i is None else i for i in ids], np.int64))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                yield {"bucket": int(bucket[lo]), "n": int(hi - lo), "data": _pack(doc[lo:hi], h[lo:hi], w[lo:hi]), "n_docs": len(ids), "docs": numbers}
+            h, w, bucket = h[order], w[order], bucket[order]
+            first = _starts(bucket, h, w)
+            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+            h, w, bucket = h[first], w[first], bucket[first]
+            cuts = np.r_[_starts(bucket), len(bucket)]
+            each = [(int(bucket[lo]), int(hi - lo), _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in each], pa.int32()), "n": pa.array([x[1] for x in each], pa.int64()), "pairs": pa.array([x[2] for x in each], pa.binary())})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w, n = (np.concatenate(x) for x in zip(*[_unpack_pairs(d, k, "u4") for d, k in zip(pdf["pairs"], pdf["n"])]))
+        order = np.lexsort((w, h))
+        h, w, n = h[order], w[order], n[order].astype(np.uint64)
+        first = _starts(h, w)
+        h, w, n = h[first], w[first], np.add.reduceat(n, first)
+        types = np.bincount(np.minimum(n, LIMIT + 2).astype(np.int64), minlength=LIMIT + 3)[1 : LIMIT + 2]
+        classes = np.bincount(_class(n[(h < RARE) & (w < RARE)]), minlength=CLASSES * 2)
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "n": [len(h)], "pairs": [_pack_pairs(h, w, n)], "types": [types.tolist()], "classes": [classes.tolist()]})
+
+    texts = documents.filter(in_training(F.col("doc_id"))).select("doc_id", "text")
+    made = texts.mapInArrow(parts, "bucket int, n long, pairs binary")
+    return made.groupBy("bucket").applyInPandas(whole, "bucket int, n long, pairs binary, types array<long>, classes array<long>")
+
+
+def _class(n: np.ndarray) -> np.ndarray:
+    return np.floor(2 * np.log2(n.astype(np.float64))).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """A trained model: its tables, and what every worker holds (bounded by FREQUENT and CACHED)."""
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_pylist(list(rows), schema=pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("n_docs", pa.int64()), ("docs", pa.binary())]))
+    words: DataFrame  # w, n
+    pairs: DataFrame  # bucket, n, pairs, ...
+    histories: DataFrame  # h, log_total, log_alpha
+    buckets: int
+    total: int
+    vocabulary: int
+    d1: list[float]
+    d2: list[float]
+    unit: float  # the denominator of word probabilities
+    unknown: float  # the probability of the class of unknown words
+    known: object  # broadcast: frequent words, their counts, their totals and alphas as histories; cached pairs and their counts
 
+
+def _history_parts(known, p1: Callable, d2: list[float]):
+    """(h, n, kept, mass) of each history in a bucket: tokens after it, what discounting keeps, p(w) of the seen words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                words.append(word_hashes(text))
-                size += len(words[-1])
-                if size > FLUSH_TOKENS:
-                    yield batch_of(flush())
-                    ids, words, size = [], [], 0
-        if ids:
-            yield batch_of(flush())
-
-    return documents.select("doc_id", "text").mapInArrow(run, "bucket int, n long, data binary, n_docs long, docs binary")
-
-
-SUMS = ["tokens", "known", "base", "part"] + [f"k{r}" for r in range(1, LIMIT + 1)]
-TYPES = [f"t{r}" for r in range(1, LIMIT + 2)] + ["large", "mass"]
-
-
-def _score_bucket(frequent, total: int, vocabulary: int, low: list[float], unknown: float, train_docs: int):
-    """Rows of three kinds: 0, sums of a document; 1, a history that a document needs; 2, types seen after a history."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = frequent.value[1]
-        start = np.uint64(len(counts))
-        docs, where, hs, ws = [], [], [], []
-        offset = 0
-        for n, data, n_docs, numbers in zip(pdf["n"], pdf["data"], pdf["n_docs"], pdf["docs"]):
-            doc, h, w = _unpack(data, n, "u4", "u8", "u8")
-            docs.append(_unpack(numbers, n_docs, "i8")[0])
-            where.append(doc + np.uint32(offset))
-            hs.append(h)
-            ws.append(w)
-            offset += n_docs
-        ids, doc = np.unique(np.concatenate(docs), return_inverse=True)
-        doc = doc.astype(np.int32)[np.concatenate(where)]
-        train = np.array([in_training(None if i == -(2**62) else int(i)) for i in ids])[doc]
-        h, w = np.concatenate(hs), np.concatenate(ws)
-        del hs, ws, where
-        order = np.lexsort((w, h))
-        h, w, doc, train = h[order], w[order], doc[order], train[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-        spread = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-        types = np.add.reduceat(train.astype(np.int64), first)  # training count of each pair
-        type_h, type_w = h[first], w[first]
-        # training counts of words: the frequent ones' are known, all pairs of a rare second word are here
-        rare_w, inverse = np.unique(type_w[type_w >= RARE], return_inverse=True)
-        rare_n = np.zeros(len(rare_w), np.int64)
-        np.add.at(rare_n, inverse, types[type_w >= RARE])
-        word_n = np.zeros(len(types), np.int64)
-        word_n[type_w < RARE] = counts[type_w[type_w < RARE].astype(np.int64)]
-        word_n[type_w >= RARE] = rare_n[inverse]
-        factor = np.r_[0.0, low, 1.0][np.minimum(word_n, LIMIT + 1)]
-        p = np.where(word_n > 0, factor * word_n / (total + 1), unknown)
-        # training counts of histories, known here unless both words are rare
-        history_n = np.zeros(len(types), np.int64)
-        plain = type_h < start
-        history_n[plain] = counts[type_h[plain].astype(np.int64)]
-        history_n[type_h == start] = train_docs
-        rare_h = (type_h >= RARE) & (type_w < RARE)
-        if len(rare_w) and rare_h.any():
-            at = np.minimum(np.searchsorted(rare_w, type_h[rare_h]), len(rare_w) - 1)
-            history_n[rare_h] = np.where(rare_w[at] == type_h[rare_h], rare_n[at], 0)
-        both_rare = (type_h >= RARE) & (type_w >= RARE)
-        seen = types > 0
-        with np.errstate(divide="ignore"):
-            part = np.where(seen, np.log10(types) - np.where(both_rare, 0.0, np.log10(history_n + 1)), np.log10(p))
-        base = np.log10((word_n + 1) / (total + vocabulary + 1))
-
-        def by_doc(weights):
-            return np.bincount(doc, weights, len(ids))
-
-        sums = {"tokens": by_doc(None), "known": by_doc((word_n > 0)[spread]), "base": by_doc(base[spread]), "part": by_doc(part[spread])}
-        for r in range(1, LIMIT + 1):
-            sums[f"k{r}"] = by_doc((types == r)[spread])
-        out = [pd.DataFrame({"kind": 0, "doc_id": ids, "h": 0} | sums)]
-        need = (~seen | both_rare)[spread]
-        if need.any():
-            d, code, new = doc[need], h[need], ~seen[spread][need]
-            o = np.lexsort((new, code, d))
-            d, code, new = d[o], code[o], new[o]
-            cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (code[1:] != code[:-1]) | (new[1:] != new[:-1])])
-            n = np.diff(np.r_[cut, len(d)])
-            out.append(pd.DataFrame({"kind": 1, "doc_id": ids[d[cut]], "h": code[cut].view(np.int64), "tokens": np.where(new[cut], n, 0), "known": np.where(new[cut], 0, n)}))
-        if seen.any():
-            hh, c, mass = type_h[seen], types[seen], p[seen]
-            cut = np.flatnonzero(np.r_[True, hh[1:] != hh[:-1]])
-            part_of = {f"t{r}": np.add.reduceat((c == r).astype(np.int64), cut) for r in range(1, LIMIT + 2)}
-            part_of |= {"large": np.add.reduceat(np.where(c > LIMIT, c, 0), cut), "mass": np.add.reduceat(mass, cut)}
-            out.append(pd.DataFrame({"kind": 2, "doc_id": 0, "h": hh[cut].view(np.int64)} | part_of))
-        frame = pd.concat(out, ignore_index=True).reindex(columns=["kind", "doc_id", "h", *SUMS, *TYPES])
-        whole = [c for c in frame.columns if c not in ("base", "part", "mass")]
-        return frame.fillna(0).astype({c: "int64" for c in whole})
+            for data, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, w, n = _unpack_pairs(data, size, "u8")
+                first = _starts(h)
+                sums = {"n": n.astype(np.int64), "kept": _discounted(n, d2), "mass": p1(_word_n(w, w, n, known.value[1]))}
+                yield pa.RecordBatch.from_pydict({"h": h[first].view(np.int64)} | {c: np.add.reduceat(x, first) for c, x in sums.items()})
 
     return run
 
 
-def score(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each id of documents (doc_id, text).
+def _word_n(asked: np.ndarray, w: np.ndarray, n: np.ndarray, frequent_n: np.ndarray) -> np.ndarray:
+    """Training counts of the words `asked`; w, n: all pairs of the bucket, so all of each rare word in it."""
+    rare, at = np.unique(w[w >= RARE], return_inverse=True)
+    rare_n = np.bincount(at, n[w >= RARE].astype(np.float64), len(rare)).astype(np.int64)
+    out = np.zeros(len(asked), np.int64)
+    is_rare = asked >= RARE
+    out[~is_rare] = frequent_n[asked[~is_rare].astype(np.int64)]
+    if len(rare):
+        at = np.minimum(np.searchsorted(rare, asked[is_rare]), len(rare) - 1)
+        out[is_rare] = np.where(rare[at] == asked[is_rare], rare_n[at], 0)
+    return out
+
 
-    Learns from the ids whose crc32 modulo 7 isn't 2. base_score: add-one unigrams; score: log10 probability
-    under the Katz model, end of text included. Null and empty texts are one end. Rows that repeat an id are
-    summed into one; a null id trains. Without any training text all words are unknown and unseen.
-    """
+def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, cached: int = CACHED) -> Model:
+    """A model of the training documents (see in_training) among documents (doc_id, text)."""
     spark = documents.sparkSession
     words = stored(word_counts(documents), "katz-words")
     types = {r["n"]: r["types"] for r in words.filter(F.col("n") <= LIMIT + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("types"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("n"))), F.lit(0)).alias("docs")).first()
-    total, vocabulary, train_docs = whole["total"], whole["types"], whole["docs"]
-    low = discounts(types)
-    discounted = sum(r * types.get(r, 0) * (1 - low[r - 1]) for r in range(1, LIMIT + 1))
-    unknown = (1 + discounted) / (total + 1)
-    top = words.orderBy(F.desc("n"), "w").limit(frequent_words).toPandas().sort_values("w")  # at most frequent_words rows
-    frequent = spark.sparkContext.broadcast((top["w"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
-    buckets = max(6, math.ceil(total * 7 / 6 / bucket_tokens))
-    pairs = pairs_by_bucket(documents, frequent, buckets)
-    schema = "kind int, doc_id long, h long, " + ", ".join(f"{c} {'double' if c in ('base', 'part', 'mass') else 'long'}" for c in SUMS + TYPES)
-    made = stored(pairs.groupBy("bucket").applyInPandas(_score_bucket(frequent, total, vocabulary, low, unknown, train_docs), schema), "katz-buckets")
-    ours = made.filter("kind = 2")
-    counted = ours.agg(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)).alias(str(r)) for r in range(1, LIMIT + 2)]).first().asDict()
-    d = discounts({int(r): n for r, n in counted.items()})
-    history = ours.groupBy("h").agg(*[F.sum(c).alias(c) for c in TYPES])
-    n = sum((F.col(f"t{r}") * r for r in range(1, LIMIT + 1)), F.col("large"))
-    kept = sum((F.col(f"t{r}") * (r * d[r - 1]) for r in range(1, LIMIT + 1)), F.col("large").cast("double"))
-    # alpha(h): what is left over of h's mass, over what p leaves for the words not seen after h
-    left_over = F.greatest(1.0 - F.col("mass"), F.lit(unknown))
-    history = history.select("h", F.log10(n + 1).alias("log_n"), F.log10((n + 1 - kept) / (n + 1) / left_over).alias("log_alpha"))
-    needed = made.filter("kind = 1").select("doc_id", "h", "tokens", "known")
-    backed = needed.join(history, "h", "left").groupBy("doc_id").agg(F.sum(F.coalesce(F.col("tokens") * F.col("log_alpha"), F.lit(0.0)) - F.coalesce(F.col("known") * F.col("log_n"), F.lit(0.0))).alias("backed"))
-    sums = made.filter("kind = 0").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in SUMS])
-    discounted = sum((F.col(f"k{r}") * math.log10(d[r - 1]) for r in range(1, LIMIT + 1)), F.lit(0.0))
-    joined = sums.join(backed, "doc_id", "left")
-    doc_id = F.when(F.col("doc_id") != -(2**62), F.col("doc_id"))
-    held_out = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return joined.select(doc_id.alias("doc_id"), held_out.alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + discounted + F.coalesce("backed", F.lit(0.0))).alias("score"))
+    total, vocabulary, docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("n"))), F.lit(0))).first()
+    d1 = discounts(types)
+    left = sum(r * types.get(r, 0) * (1 - d1[r - 1]) for r in range(1, LIMIT + 1))
+    unit, left = (total, left) if left > 0 else (total + 1, 1.0)
+    unknown = left / unit
+
+    def p1(n):
+        return np.where(n > 0, _discounted(n, d1) / unit, unknown)
+
+    top = words.orderBy(F.desc("n"), "w").limit(frequent_words).toPandas()  # at most frequent_words short rows
+    frequent = np.r_[top["w"].to_numpy(np.uint64), np.uint64(START)]
+    order = np.argsort(frequent)
+    frequent, frequent_n = frequent[order], np.r_[top["n"].to_numpy(np.int64), 0][order]
+    first = spark.sparkContext.broadcast((frequent, frequent_n))
+    buckets = max(6, math.ceil(total / bucket_tokens))
+    pairs = stored(pair_table(documents, first, buckets), "katz-pairs")
+    sums = lambda c, n: pairs.agg(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)]).first()
+    d2 = discounts(dict(enumerate(sums("types", LIMIT + 1), 1)))
+    parts = pairs.select("pairs", "n").mapInArrow(_history_parts(first, p1, d2), "h long, n long, kept double, mass double")
+    each = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass"))
+    nothing = F.col("n") - F.col("kept") < 1e-9 * F.col("n")
+    over = F.when(nothing, 1.0).otherwise(F.col("n") - F.col("kept"))
+    whole = F.when(nothing, F.col("n") + 1.0).otherwise(F.col("n").cast("double"))
+    histories = stored(each.select("h", F.log10(whole).alias("log_total"), F.log10(over / whole / F.greatest(1.0 - F.col("mass"), F.lit(unknown))).alias("log_alpha")), "katz-histories")
+    ours = histories.filter((F.col("h") >= 0) & (F.col("h") < len(frequent))).toPandas()  # at most frequent_words + 1 rows
+    log_total, log_alpha = np.zeros(len(frequent)), np.zeros(len(frequent))
+    log_total[ours["h"]], log_alpha[ours["h"]] = ours["log_total"], ours["log_alpha"]
+    sizes = np.array(sums("classes", 2 * CLASSES), np.int64)
+    above = np.cumsum(sizes[::-1])[::-1]
+    least = int(np.flatnonzero(np.r_[above <= cached, True])[0])  # the lowest class from which on all pairs fit
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, w, n = _unpack_pairs(data, size, "u8")
+                chosen = (h < RARE) & (w < RARE)
+                chosen[chosen] = _class(n[chosen]) >= least
+                yield pa.RecordBatch.from_pydict({"found": pa.array([np.r_[(h[chosen] << np.uint64(32)) | w[chosen], n[chosen]].tobytes()], pa.binary())})
+
+    found = [np.frombuffer(r["found"], np.uint64).reshape(2, -1) for r in pairs.select("pairs", "n").mapInArrow(hot, "found binary").collect()]  # at most `cached` pairs
+    keys, counts = np.concatenate([*found, np.zeros((2, 0), np.uint64)], axis=1)
+    order = np.argsort(keys)
+    known = spark.sparkContext.broadcast((frequent, frequent_n, log_total, log_alpha, keys[order], counts[order]))
+    return Model(words, pairs, histories, buckets, total, vocabulary, d1, d2, unit, unknown, known)
+
+
+SUMS = "kind byte, doc long, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
+SENT = "kind byte, bucket int, n long, data binary, doc long, doc_id long, rows long, tokens long, known long, base double, part double"
+
+
+def _columns(schema: str, size: int, /, **given) -> pa.RecordBatch:
+    """A batch of `size` rows with the given columns (arrays, or one value for all rows) and nulls."""
+    kinds = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+    def column(x, kind):
+        if x is None:
+            return pa.nulls(size, kind)
+        return x if isinstance(x, pa.Array) else pa.array([x] * size if np.isscalar(x) else x, kind)
+
+    return pa.RecordBatch.from_pydict({name: column(given.get(name), kinds[kind]) for name, kind in (c.strip().split(" ") for c in schema.split(","))})
+
+
+def _send(model: Model):
+    """For each text its sums over what is known where it lies (kind 2), and packed requests for the rest (kind 1)."""
+    known, buckets, d2, unit = model.known, model.buckets, model.d2, model.total + model.vocabulary + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, frequent_n, log_total, _, keys, counts = known.value
+        log_kept = np.log10(_discounted(counts, d2)) if len(counts) else np.zeros(0)
+        log_base = np.log10((frequent_n + 1) / unit)
+        for words, lengths, rows in _flushes(batches, FLUSH_TOKENS):
+            h, w = _pairs(words, lengths, frequent)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+            by_doc = lambda at, x=None: np.bincount(doc[at], x, len(lengths))
+            common = w < RARE
+            place = w[common].astype(np.int64)
+            here = np.flatnonzero(common & (h < RARE))
+            key = (h[here] << np.uint64(32)) | w[here]
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            cached, at = here[hit], at[hit]
+            part = by_doc(cached, log_kept[at] - log_total[h[cached].astype(np.int64)])
+            made = {"tokens": lengths, "known": by_doc(common, (frequent_n[place] > 0).astype(np.float64)).astype(np.int64), "base": by_doc(common, log_base[place]), "part": part}
+            spread = pa.array(np.arange(len(lengths)) % buckets, pa.int32())
+            yield _columns(SENT, len(lengths), kind=2, bucket=spread, doc=rows.column("doc"), doc_id=rows.column("doc_id"), rows=1, **made)
+            rest = np.ones(len(w), bool)
+            rest[cached] = False
+            h, w, doc = h[rest], w[rest], doc[rest]
+            bucket = _bucket(h, w, buckets)
+            order = np.lexsort((doc, w, h, bucket))
+            h, w, doc, bucket = h[order], w[order], doc[order], bucket[order]
+            first = _starts(bucket, h, w, doc)
+            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+            h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
+            ids = np.asarray(rows.column("doc")).view(np.uint64)
+            cuts = np.r_[_starts(bucket), len(bucket)]
+            out = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mine, local = np.unique(doc[lo:hi], return_inverse=True)  # ids of the documents in this part alone
+                head = np.array([len(mine)], np.uint32).tobytes()
+                out.append((int(bucket[lo]), int(hi - lo), head + ids[mine].tobytes() + _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi], local.astype(np.uint32))))
+            yield _columns(SENT, len(out), kind=1, bucket=[x[0] for x in out], n=[x[1] for x in out], data=[x[2] for x in out])
+
+    return run
+
+
+class _Bucket:
+    """The pairs of one bucket, found by hash."""
+
+    def __init__(self, data: bytes, size: int, frequent_n: np.ndarray):
+        self.h, self.w, n = _unpack_pairs(data, size, "u8")
+        self.n, self.frequent_n = n.astype(np.int64), frequent_n
+        keys = self._keys(self.h, self.w)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    @staticmethod
+    def _keys(h, w):
+        return mixed(h + mixed(w))
+
+    def pair_n(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64)
+        at = self.order[np.minimum(np.searchsorted(self.keys, self._keys(h, w)), len(self.keys) - 1)]
+        return np.where((self.h[at] == h) & (self.w[at] == w), self.n[at], 0)
+
+    def word_n(self, w: np.ndarray) -> np.ndarray:
+        return _word_n(w, self.w, self.n, self.frequent_n)
+
+
+def _answer(model: Model):
+    """Sums of documents (kind 0) and their uses of rare histories (kind 1) from rows sorted by bucket and kind."""
+    known, d1, d2, unit, unknown, places = model.known, model.d1, model.d2, model.unit, model.unknown, model.total + model.vocabulary + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, frequent_n, log_total, log_alpha, _, _ = known.value
+        empty = _pack_pairs(*[np.zeros(0, np.uint64)] * 3)
+        at, table = None, None
+        for batch in batches:
+            kinds = np.asarray(batch.column(0))
+            passed = batch.filter(pa.array(kinds == 2))
+            if passed.num_rows:
+                yield _columns(SUMS, passed.num_rows, kind=0, **{c: passed.column(c) for c in ("doc", "doc_id", "rows", "tokens", "known", "base", "part")})
+            asked = batch.filter(pa.array(kinds < 2))
+            for kind, bucket, size, data in zip(*[asked.column(c).to_pylist() for c in ("kind", "bucket", "n", "data")]):
+                if bucket != at:
+                    at, table = bucket, _Bucket(data, size, frequent_n) if kind == 0 else _Bucket(empty, 0, frequent_n)
+                if kind == 1:
+                    yield from answers(table, data, size)
+
+    def answers(table: _Bucket, data: bytes, size: int) -> Iterator[pa.RecordBatch]:
+        _, frequent_n, log_total, log_alpha, _, _ = known.value
+        docs = int(np.frombuffer(data, np.uint32, 1)[0])
+        ids = np.frombuffer(data, np.int64, docs, 4)
+        h, w, n, doc = _unpack_pairs(data[4 + 8 * docs :], size, "u4", "u4")
+        pair_n, word_n = table.pair_n(h, w), table.word_n(w)
+        seen, rare_w, rare_h = pair_n > 0, w >= RARE, h >= RARE
+        below = np.log10(np.where(word_n > 0, _discounted(word_n, d1) / unit, unknown))
+        with np.errstate(divide="ignore"):
+            part = np.where(seen, np.log10(_discounted(pair_n, d2)), below)
+        of = h[~rare_h].astype(np.int64)
+        part[~rare_h] += np.where(seen[~rare_h], -log_total[of], log_alpha[of])
+        base = np.where(rare_w, np.log10((word_n + 1) / places), 0.0)
+        sums = [np.bincount(doc, n * x, docs) for x in (rare_w & (word_n > 0), base, part)]
+        yield _columns(SUMS, docs, kind=0, doc=ids, known=sums[0].astype(np.int64), base=sums[1], part=sums[2])
+        if rare_h.any():
+            doc, h, n, seen = doc[rare_h], h[rare_h], n[rare_h].astype(np.int64), seen[rare_h]
+            order = np.lexsort((h, doc))
+            doc, h, n, seen = doc[order], h[order], n[order], seen[order]
+            first = _starts(doc, h)
+            yield _columns(SUMS, len(first), kind=1, doc=ids[doc[first]], h=h[first].view(np.int64), seen=np.add.reduceat(n * seen, first), unseen=np.add.reduceat(n * ~seen, first))
+
+    return run
+
+
+def apply(model: Model, documents: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents (doc_id, text)."""
+    rows = documents.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"), "text")
+    sent = rows.mapInArrow(_send(model), SENT)
+    tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
+    both = tables.unionByName(sent, allowMissingColumns=True).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    made = stored(both.mapInArrow(_answer(model), SUMS), "katz-sums")
+    sums = made.filter("kind = 0").groupBy("doc").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "part")])
+    used = made.filter("kind = 1").select("doc", "h", "seen", "unseen").join(model.histories, "h", "left")
+    backed = used.groupBy("doc").agg(F.sum(F.coalesce(F.col("unseen") * F.col("log_alpha") - F.col("seen") * F.col("log_total"), F.lit(0.0))).alias("backed"))
+    joined = sums.join(backed, "doc", "left").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # rows equal in id and text
+    each = lambda c: (F.col(c) / F.col("rows"))
+    score = (F.col("part") + F.coalesce("backed", F.lit(0.0))) / F.col("rows")
+    return joined.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), each("tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), each("base").alias("base_score"), score.alias("score"))
+
+
+def score(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, cached: int = CACHED) -> DataFrame:
+    """One row for each row of documents (doc_id, text): train() on its training documents, apply() to all.
+
+    base_score: add-one unigrams; score: log10 probability under the Katz model, end of text included. Null and
+    empty texts are one end. Rows that repeat an id are scored each by itself; rows equal in id and text get equal
+    scores. A null id trains. Texts of any length; ties don't matter. Other columns are ignored. Without any
+    training text all words are unknown and unseen. An empty table gives no rows.
+    """
+    return apply(train(documents, frequent_words, bucket_tokens, cached), documents)
