@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS, SHARD_ROWS = 8, 50_000
+SHARDS, SHARD_MB = 8, 128
 
 
 class Graph:
@@ -62,8 +62,9 @@ class Graph:
             near = np.where(near < 0, n, near)
             fresh = ~seen[active[:, None], near]
             seen[active[:, None], near] = True
-            s = np.einsum("ijk,ik->ij", self.x[np.minimum(near, n - 1)], q[active])
-            s = np.where(fresh, s, -np.inf).astype(np.float32)
+            s = np.full(near.shape, -np.inf, np.float32)
+            new, column = np.nonzero(fresh)  # most neighbours have been met before: only the others are compared
+            s[new, column] = np.einsum("ij,ij->i", self.x[near[new, column]], q[active[new]])
             all_s = np.concatenate([score[active], s], axis=1)
             all_i = np.concatenate([ids[active], near.astype(np.int32)], axis=1)
             all_o = np.concatenate([open_[active], fresh], axis=1)
@@ -150,30 +151,32 @@ def _search_shards(k: int, degree: int, beam: int, alpha: float):
                 for lo in range(0, len(queries), 256):
                     some = queries.iloc[lo : lo + 256]
                     q = np.stack(some["vector"].to_numpy()).astype(np.float64)
-                    found, _ = graph.search(np.c_[q, np.zeros(len(q))].astype(np.float32), max(2 * beam, 2 * k))
+                    found, _ = graph.search(np.c_[q, np.zeros(len(q))].astype(np.float32), max(3 * beam, 2 * k))
                     yield _ranked(some["query_id"].to_numpy(np.int64), q, found, x, members, k)
 
     return run
 
 
 def _ranked(ids, q, found, x, members, k) -> pd.DataFrame:
+    """The k best of what each query found. Nodes that tie with the last place all take part, so that ids decide."""
     out = []
     for i, query in enumerate(ids):
         nodes = found[i][found[i] >= 0]
         exact = (x[nodes] * q[i]).sum(axis=1)
-        best = []
-        for j in np.argsort(-exact, kind="stable")[: k + 1]:  # the query's own class may give no one but the query
-            best += [(-exact[j], int(v)) for v in members[nodes[j]] if v != query]
+        least = np.sort(exact)[::-1][min(k, len(exact) - 1)]  # of k + 1 nodes: the query's own class may give no one but the query
+        best = [(-exact[j], int(v)) for j in np.flatnonzero(exact >= least) for v in members[nodes[j]] if v != query]
         out += [(query, v, -s) for s, v in sorted(best)[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, degree: int = 32, beam: int = 64, alpha: float = 1.2, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, degree: int = 32, beam: int = 64, alpha: float = 1.2, shards: int = SHARDS, shard_mb: int = SHARD_MB) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k vectors of largest inner product found, itself left out.
 
-    Ties go to the smaller id. Null or zero vectors and those with null or non-finite components take
-    no part, nor do null ids; vectors are compared with queries of their own dimension. A repeated id is
-    one candidate per distinct vector. There are `shards` shards, more when one would exceed shard_rows nodes.
+    Ties go to the smaller id, among all that the search met. Null or zero vectors and those with null or non-finite
+    components take no part, nor do null ids; vectors are compared with queries of their own dimension. Repeated rows
+    count once. An id with several vectors is one query and one candidate, with the best score of any of them. There are
+    `shards` shards, more where a shard's graph would take over shard_mb megabytes; every query is searched in each.
+    Empty tables give no rows; columns but id and vector are ignored.
     """
     valid = lambda c: c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
     clean = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & F.coalesce(valid(F.col("vector")), F.lit(False)))
@@ -183,15 +186,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector:
     nodes = some.groupBy("h", "vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
     nodes = nodes.withColumns({"dim": F.size("vector"), "square": square})
     sizes = {r["dim"]: (r["n"], r["top"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max("square").alias("top")).collect()}
-    count = {d: max(shards, -(-n // shard_rows)) for d, (n, _) in sizes.items()}
+    rows = lambda dim: max(1000, (shard_mb << 20) // (12 * dim + 4 * degree + 64))
+    count = {d: max(shards, -(-n // rows(d))) for d, (n, _) in sizes.items()}
     if not count:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     of = lambda what: F.coalesce(*[F.when(F.col("dim") == d, F.lit(v)) for d, v in what.items()])  # noqa: E731  one entry a dimension
     numbered = nodes.select((F.col("dim") * 1_000_000 + F.pmod("h", of(count))).alias("shard"), F.lit(None).cast("long").alias("query_id"), "members", "vector", of({d: t for d, (_, t) in sizes.items()}).alias("top"))
-    asked = clean(queries).withColumn("dim", F.size("vector")).filter(F.col("dim").isin(list(count)))
+    asked = clean(queries).distinct().withColumn("dim", F.size("vector")).filter(F.col("dim").isin(list(count)))
     each = F.explode(F.sequence(F.lit(0).cast("long"), of(count).cast("long") - 1))
     asked = asked.select("id", "vector", "dim", each.alias("_shard")).select((F.col("dim") * 1_000_000 + F.col("_shard")).alias("shard"), F.col("id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("members"), "vector", F.lit(None).cast("double").alias("top"))
     dealt = numbered.union(asked).repartition(4 * sum(count.values()), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
     found = dealt.mapInPandas(_search_shards(k, degree, beam, alpha), "query_id long, vec_id long, score double")
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
