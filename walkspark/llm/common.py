@@ -37,13 +37,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by stored() that no later step reads."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if file.startswith((shared_dir(spark), shared_dir(spark).replace("file://", "file:"))):
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        ours = shared_dir(spark).replace("file://", "file:")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.replace("file://", "file:").startswith(ours):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of our own that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def let(value, body):

@@ -27,41 +27,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import stored
+from walkspark.llm.common import discard, stored
+from walkspark.llm.words import word_hashes
 
 CHUNKS, SYMBOLS = 9, 5
 WIDTH = CHUNKS * SYMBOLS
-REMEMBERED = 300_000
-#: Members above which a bucket is crowded, and documents in a block.
-CROWD, BLOCK = 64, 256
+#: Members above which a bucket is crowded; documents and shingles in a block; rows that are hashed at once.
+CROWD, BLOCK, BLOCK_SHINGLES, ROWS = 64, 256, 1 << 20, 256
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; of the whole sequence where there are fewer words."""
+    for lo in range(0, len(texts), ROWS):
+        h, lengths = word_hashes(texts.slice(lo, ROWS))
+        whole = _windows(h, words)
+        for start, n in zip(np.cumsum(lengths) - lengths, lengths):
+            if n >= words:
+                yield np.unique(whole[start : start + n - words + 1])
+            else:
+                yield _windows(h[start : start + n], n) if n else np.empty(0, np.uint64)
 
 
-_hashes = _WordHashes()
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where there are fewer words."""
-    found = text.encode().lower().split() if text else []  # bytes: A-Z alone are lowered, ASCII white space alone parts words
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, found), np.int64, len(found)).astype(np.uint64)
-    n = min(words, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbours."""
+    out = np.full(max(0, len(h) - n + 1), n, np.uint64)
     for i in range(n):
-        out = (out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
 def signature(found: np.ndarray) -> bytes:
@@ -77,8 +73,7 @@ def fingerprints(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, keys, sigs = batch.column(0), [], [], []
-            for t in batch.column(1).to_pylist():
-                found = shingles(t, words)
+            for found in shingle_sets(batch.column(1), words):
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found) if len(found) else None)
@@ -102,17 +97,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     """The pairs (a, b) with 100 * intersection >= threshold * union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
         for batch in batches:
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            left, right = batch.column("ta"), batch.column("tb")
-            for i in range(len(a)):
-                if a[i] != last:  # rows of one centre follow each other
-                    last, kept = a[i], shingles(left[i].as_py(), words)
-                other = shingles(right[i].as_py(), words)
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                keep.append(100 * common >= threshold * (len(kept) + len(other) - common))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS)):
+                a, keep = np.asarray(part.column("a")), []
+                new = np.r_[True, a[1:] != a[:-1]]  # rows of one centre mostly follow each other
+                centres = shingle_sets(part.column("ta").filter(pa.array(new)), words)
+                for fresh, other in zip(new, shingle_sets(part.column("tb"), words)):
+                    kept = next(centres) if fresh else kept
+                    common = len(np.intersect1d(kept, other, assume_unique=True))
+                    keep.append(100 * common >= threshold * (len(kept) + len(other) - common))
+                yield pa.RecordBatch.from_pydict({"a": part.column("a"), "b": part.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -123,20 +117,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of the edges (a, b): the smallest id reachable.
 
     Alternating large-star and small-star steps: each attaches neighbours to the smallest one known,
-    until only stars are left. A node's neighbours are never gathered, only their minimum.
+    until only stars are left. A node's neighbours are never gathered, only their minimum, which is written
+    before it is joined: both sides of the join are then plain exchanges, which Spark splits where a node is hot.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     summed = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     before = summed(edges)
     while before["n"]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "edges")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
+        last, edges = edges, stored(small.filter("u <> v").distinct(), "edges")
+        discard(last, least, large, lowest)
         after = summed(edges)
         if after == before:
             break
@@ -176,18 +170,22 @@ def _block_links(threshold: int):
     return run
 
 
-def _crowded_links(clusters: DataFrame, labels: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Links inside clusters (id, component: the cluster's label) between documents of different components."""
+def _crowded_links(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links inside clusters (id, component: the cluster's label) between documents of different components.
+
+    sizes: (id, n), shingles of each document; a block has about BLOCK documents and at most about BLOCK_SHINGLES shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            found = [x.tobytes() for x in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "sets": pa.array(found, pa.binary())})
 
     placed = clusters.select("id", F.col("component").alias("cluster")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("own", F.when(F.col("size") >= BLOCK, F.col("component")))  # a large component has blocks of its own
-    pools = sizes.groupBy("cluster", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    placed = placed.join(sizes, "id")
+    weight = F.greatest(F.lit(1.0 / BLOCK), F.col("n") / BLOCK_SHINGLES)  # of a document, in blocks
+    sizes = placed.groupBy("cluster", "component").agg(F.sum(weight).alias("size"))
+    sizes = sizes.withColumn("own", F.when(F.col("size") >= 1, F.col("component")))  # a large component has blocks of its own
+    pools = sizes.groupBy("cluster", "own").agg(F.ceil(F.sum("size")).alias("blocks"))
     placed = placed.join(sizes.select("cluster", "component", "own"), ["cluster", "component"]).withColumnRenamed("own", "pool")
     same = (placed["cluster"] == pools["cluster"]) & placed["pool"].eqNullSafe(pools["own"])
     placed = placed.join(pools, same).select(placed["cluster"], "id", "component", "pool", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
@@ -210,7 +208,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
     Sets are linked when 100 * intersection >= threshold * union. component_id is the smallest id
     reachable over links, itself included. Null, empty and blank texts have an empty set and are linked with
-    nothing; so is a row with a null id. Rows that repeat an id have one component.
+    nothing; so is a row with a null id. Rows that repeat an id are one document, linked where any of their texts is; equal
+    texts (ties) are one class. Texts of any length. Columns but id and text are ignored. An empty table gives no rows.
     """
     base = stored(fingerprints(df, id, text, words), "neardup-base")
     classes = base.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select("set_key", "r.*")
@@ -222,12 +221,12 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     likely = lambda n, m: 100 * F.least(n, m).cast("long") >= threshold * F.greatest(n, m).cast("long")
     stars = stored(members.filter("id <> c").filter(likely(F.col("n"), F.col("cn"))).select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), "neardup-stars")
     involved = members.select("id").distinct()
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(texts, "neardup-texts")
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
+    texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "neardup-texts")
     links = stored(_confirm(stars, texts, words, threshold), "neardup-links")
     joined = components(links)
     clusters = components(members.filter(F.col("size") > CROWD).select(F.col("id").alias("a"), F.col("c").alias("b")))
-    crowded = stored(_crowded_links(clusters, joined, texts, words, threshold), "neardup-crowded")
+    crowded = stored(_crowded_links(clusters, joined, classes.groupBy("id").agg(F.max("n").alias("n")), texts, words, threshold), "neardup-crowded")
     joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(crowded))
     split = members.filter(F.col("size") <= CROWD).select("key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = split.join(clusters.withColumnRenamed("component", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
@@ -237,13 +236,25 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     pairs = left.join(right, "key").filter("id_a < id_b and component_a <> component_b and cluster_a <> cluster_b").filter(likely(F.col("n_a"), F.col("n_b")))
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     late = stored(_confirm(pairs, texts, words, threshold), "neardup-late")
-    whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-    rows = base.join(classes.select("set_key", F.col("id").alias("set_id")), "set_key", "left").join(whole.withColumnRenamed("id", "set_id"), "set_id", "left")
-    rows = rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("set_id", "id").alias("set_id"), F.coalesce("component", "set_id", "id").alias("component_id"))
+    set_ids = classes.select("set_key", F.col("id").alias("set_id"))
+    several = base.filter("set_key is not null").groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("id")
+    repeated = base.join(several, "id", "left_semi").join(set_ids, "set_key").select(F.col("id").alias("a"), F.col("set_id").alias("b"))  # an id's sets belong together
+    whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late).union(repeated))
+    discard(members, stars, links, crowded, split, late, texts)
+    rows = base.join(set_ids, "set_key", "left").withColumn("set_id", F.coalesce("set_id", "id")).join(whole.withColumnRenamed("id", "set_id"), "set_id", "left")
+    rows = rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "set_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
-    """df's rows of one document of each group: the one with the smallest id."""
-    gone = near_duplicates(df, id, text, words, threshold).filter("not kept").select(id).distinct()
-    return df.join(gone, id, "left_anti")
+    """One row of df for each group of near copies: of the document with the smallest id.
+
+    Where that id is repeated, the row of smallest hash stays, whatever the order of the input. Rows with a null id stay all.
+    """
+    found = near_duplicates(df, id, text, words, threshold)
+    marks = found.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.min("kept").alias("_kept"), F.count("*").alias("_n")).filter("not _kept or _n > 1")
+    marks = stored(marks, "neardup-marks")
+    once = df.join(marks, df[id] == marks["_id"], "left_anti")
+    again = df.join(marks.filter("_kept"), df[id] == marks["_id"], "left_semi")
+    first = again.groupBy(id).agg(F.min_by(F.struct(*[again[c] for c in df.columns]), F.xxhash64(*[again[c] for c in df.columns])).alias("_row")).select("_row.*")
+    return once.unionByName(first)
