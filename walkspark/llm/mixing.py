@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from walkspark.llm.common import unused
+
 PERIOD = 4096
 BLOCK_ROWS = 16
 CELLS = 1024
-BROADCAST = 1 << 14
+BROADCAST = 1 << 16
 
 
 def period_for(weights: Mapping[str, float], least: int = PERIOD) -> int:
@@ -89,34 +91,35 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, source: str =
     weights: target weight by source; None: (rows of a source) ** alpha. A null source counts as
     the source ''. Sources without a weight raise ValueError. period: the least; it grows as period_for says.
     Inside a source, rows come in the order of a hash of their key, then of all columns, so a
-    block isn't a run of neighbours. A source's rows are ranked in `cells` cells of that hash, so
+    block isn't a run of neighbours. Repeated rows are in the mix as often as in df, in either order (they are equal); null, empty and
+    long texts are carried as they are. Columns of the five names are replaced, all others stay. A source's rows are ranked in `cells` cells of that hash, so
     one source with a third of all rows doesn't meet in one task. An empty table gives no rows.
     """
     spark = df.sparkSession
     made = ["block", "row_in_block", "release", "deadline", "slot"]
     df = df.drop(*made)
+    src, h, tie, cell, n, first, rank, per, k, cycle, rel, due, at = unused(df, "source", "h", "tie", "cell", "n", "first", "rank", "per", "k", "cycle", "release", "deadline", "slot")
     whole = F.xxhash64(*[df[c] for c in df.columns])
-    rows = df.withColumns({"_source": F.coalesce(F.col(source), F.lit("")), "_h": F.xxhash64(F.col(key).cast("string"), F.when(F.col(key).isNull(), whole)), "_tie": whole})
-    rows = rows.withColumn("_cell", F.pmod("_h", F.lit(cells)).cast("int"))
-    counts = rows.groupBy("_source", "_cell").agg(F.count("*").alias("_n"))
-    found = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}
-    given = dict(weights) if weights is not None else {s: n**alpha for s, n in found.items()}
+    rows = df.withColumns({src: F.coalesce(F.col(source).cast("string"), F.lit("")), h: F.xxhash64(F.col(key).cast("string"), F.when(F.col(key).isNull(), whole)), tie: whole})
+    rows = rows.withColumn(cell, F.pmod(h, F.lit(cells)).cast("int"))
+    counts = rows.groupBy(src, cell).agg(F.count("*").alias(n))
+    found = {r[src]: r["total"] for r in counts.groupBy(src).agg(F.sum(n).alias("total")).collect()}
+    given = dict(weights) if weights is not None else {s: x**alpha for s, x in found.items()}
     if missing := sorted(set(found) - set(given)):
         raise ValueError(f"no weight for {missing[:5]}")
     period = period_for(given, period)
-    per = shares(given, period) if given else {}
-    small = F.broadcast if period <= BROADCAST else lambda df: df  # larger plans are joined as Spark sees fit
-    plan = _frame(spark, schedule(per), "_source string, _k long, _release long, _deadline long, _slot long")
-    of = _frame(spark, list(per.items()), "_source string, _per long")
-    first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("_source").orderBy("_cell")) - F.col("_n")).join(small(of), "_source").drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_source", "_cell").orderBy("_h", "_tie")) - 1
-    ranked = rows.withColumn("_rank", rank).join(small(first), ["_source", "_cell"])  # at most sources * cells short rows
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_first"))
-    ranked = ranked.withColumns({"block": F.floor(F.col("_rank") / block_rows), "row_in_block": (F.col("_rank") % block_rows).cast("int")})
-    ranked = ranked.withColumns({"_k": F.col("block") % F.col("_per"), "_cycle": F.floor(F.col("block") / F.col("_per"))})
-    placed = ranked.join(small(plan), ["_source", "_k"])  # period rows
-    late = F.col("_cycle") * period
-    return placed.select(*[F.col(c) for c in df.columns], "block", "row_in_block", (late + F.col("_release")).alias("release"), (late + F.col("_deadline")).alias("deadline"), (late + F.col("_slot")).alias("slot"))
+    slots = shares(given, period) if given else {}
+    small = F.broadcast if max(period, cells * len(found)) <= BROADCAST else lambda df: df  # larger ones are joined as Spark sees fit
+    plan = _frame(spark, schedule(slots), f"{src} string, {k} long, {rel} long, {due} long, {at} long")
+    of = _frame(spark, list(slots.items()), f"{src} string, {per} long")
+    starts = counts.withColumn(first, F.sum(n).over(Window.partitionBy(src).orderBy(cell)) - F.col(n)).join(small(of), src).drop(n)
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(src, cell).orderBy(h, tie)) - 1).join(small(starts), [src, cell])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(first))
+    ranked = ranked.withColumns({"block": F.floor(F.col(rank) / block_rows), "row_in_block": (F.col(rank) % block_rows).cast("int")})
+    ranked = ranked.withColumns({k: F.col("block") % F.col(per), cycle: F.floor(F.col("block") / F.col(per))})
+    placed = ranked.join(small(plan), [src, k])
+    late = F.col(cycle) * period
+    return placed.select(*[F.col(c) for c in df.columns], "block", "row_in_block", (late + F.col(rel)).alias("release"), (late + F.col(due)).alias("deadline"), (late + F.col(at)).alias("slot"))
 
 
 def in_mix_order(mixed: DataFrame) -> DataFrame:

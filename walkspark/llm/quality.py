@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import let, words_of
+from walkspark.llm.common import let, unused, words_of
 
 #: Phrases of page furniture, lower case.
 STOCK = [
@@ -75,7 +75,8 @@ def clean_lines(documents: DataFrame, text: str = "text", max_loss: float = 0.5,
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: not base_failed, and
     at most max_loss of the characters in failing lines. A null text counts as empty: no words,
-    so it fails. Every row is judged alone; repeated rows get equal verdicts.
+    so it fails; so does an empty one. Texts of any length are judged whole. Every row is judged alone, so there are no
+    ties, and repeated rows get equal verdicts. Other columns stay as they are. An empty table gives no rows.
     """
     source = F.coalesce(F.col(text), F.lit(""))
 
@@ -95,7 +96,9 @@ def clean_lines(documents: DataFrame, text: str = "text", max_loss: float = 0.5,
     has_stock = let(F.lower(source), lambda s: reduce(or_, [F.contains(s, F.lit(x)) for x in STOCK]))
     by_words = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     by_lines = let(F.struct(lines.alias("x"), source.rlike(ANY).alias("marked"), has_stock.alias("stock")), lambda s: of_lines(s["x"], s["marked"], s["stock"]))
-    made = documents.withColumns({"_w": by_words, "_l": by_lines, "n_symbols": F.regexp_count(source, F.lit(r"[#*$%&|<>]")).cast("long")})
-    made = made.withColumns({"n_words": F.col("_w.n_words"), "word_chars": F.col("_w.word_chars"), "n_repeat_words": F.col("_w.n_repeat_words"), "n_dup_lines": F.col("_l.n_dup_lines"), "lost_share": F.col("_l.lost_share"), "clean_text": F.col("_l.clean_text")}).drop("_w", "_l")
+    w, l = unused(documents, "words", "lines")  # noqa: E741
+    made = documents.withColumns({w: by_words, l: by_lines, "n_symbols": F.regexp_count(source, F.lit(r"[#*$%&|<>]")).cast("long")})
+    facts = {c: F.col(w)[c] for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(l)[c] for c in ("n_dup_lines", "lost_share", "clean_text")}
+    made = made.withColumns(facts).drop(w, l)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return made.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_loss))

@@ -18,6 +18,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from walkspark.llm.common import unused
+
 RING_BITS = 14
 VNODES = 128
 
@@ -67,20 +69,21 @@ def assign_shards(df: DataFrame, key: str = "doc_id", n_shards: int = 8, vnodes:
 
     Counts per shard differ by one at most. Rows with a null key take their place from `spread`
     (a column of the row; default: all columns). Rows equal in all columns may trade places;
-    nothing else depends on the order of the input. An empty table gives no rows. Columns of df
-    named shard, slot or home_shard are replaced.
+    nothing else depends on the order of the input. Repeated rows each have a slot. An empty table gives no rows. Columns of df
+    named shard, slot or home_shard are replaced; all others stay, null and long texts included.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot", "home_shard")
     rest = spread if spread is not None else F.xxhash64(*[df[c] for c in df.columns])
+    h, tie, at, rank, cell, lo, hi, first = unused(df, "h", "tie", "at", "rank", "cell", "lo", "hi", "first")
     hashed = F.xxhash64(F.col(key).cast("string"), F.when(F.col(key).isNull(), rest))
-    rows = df.withColumns({"_h": hashed, "_tie": rest}).withColumn("_cell", F.shiftrightunsigned("_h", 64 - ring_bits).cast("int"))
-    counts = {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    segments = spark.createDataFrame(placement(counts, n_shards, vnodes, ring_bits), "_cell int, _lo long, _hi long, shard int, _slot long, home_shard int")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "_tie")) - 1)
-    on = (ranked["_cell"] == segments["_cell"]) & (ranked["_rank"] >= segments["_lo"]) & (ranked["_rank"] < segments["_hi"])
+    rows = df.withColumns({h: hashed, tie: rest}).withColumn(at, F.shiftrightunsigned(h, 64 - ring_bits).cast("int"))
+    counts = {r[at]: r["n"] for r in rows.groupBy(at).agg(F.count("*").alias("n")).collect()}
+    segments = spark.createDataFrame(placement(counts, n_shards, vnodes, ring_bits), f"{cell} int, {lo} long, {hi} long, shard int, {first} long, home_shard int")
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(at).orderBy(h, tie)) - 1)
+    on = (F.col(at) == F.col(cell)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi))
     placed = ranked.join(F.broadcast(segments), on)  # at most 2**ring_bits cells and two pieces a cell
-    return placed.select(*[ranked[c] for c in df.columns], "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"), "home_shard")
+    return placed.select(*df.columns, "shard", (F.col(first) + F.col(rank) - F.col(lo)).alias("slot"), "home_shard")
 
 
 def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
