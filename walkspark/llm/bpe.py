@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 BITS = 8
+SHIFT = 32
 #: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
 REMEMBERED, LONGEST = 500_000, 64
 #: Unicode white space (fixed values).
@@ -48,33 +49,37 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: The rank that two parts join to, under (left << SHIFT) | right; a part goes by its own rank.
+        self.joins = {(ranks[t[:i]] << SHIFT) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.bytes = np.array([ranks.get(bytes([c]), -1) for c in range(256)], np.int64)
+        self.first = np.array([self.joins.get((int(a) << SHIFT) | int(b), -1) for a in self.bytes for b in self.bytes], np.int64)  # of two bytes
 
     def merges(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens of any length; all stand in one list, and no pair crosses an end.
 
         Queue operations stand in line: calls would double the time.
         """
-        get, words, mask = self.ranks.get, self.words, (1 << BITS) - 1
-        top, buckets = 0, {}
-        whole = b"".join(pieces)
-        n = len(whole)
-        parts = [whole[i : i + 1] for i in range(n)]
-        waits = [get(whole[i : i + 2]) for i in range(n)]  # the rank at which the pair that starts here waits
-        ends, at = bytearray(n + 1), 0  # 1 where a pre-token starts
-        ends[n] = 1
-        for p in pieces:
+        get, words, mask = self.joins.get, self.words, (1 << BITS) - 1
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        n = len(raw)
+        parts = self.bytes[raw].tolist()
+        starts = np.cumsum([0, *map(len, pieces)])
+        wait = np.full(n, -1, np.int64)  # the rank at which the pair that starts here waits
+        wait[:-1] = self.first[raw[:-1] * 256 + raw[1:]]
+        wait[starts[1:] - 1] = -1
+        ends = bytearray(n + 1)  # 1 where a pre-token starts
+        for at in starts.tolist():
             ends[at] = 1
-            at += len(p)
-            waits[at - 1] = None
+        order = np.argsort(wait, kind="stable")[np.count_nonzero(wait < 0) :]
+        cuts = np.r_[np.flatnonzero(np.diff(wait[order], prepend=-1)), len(order)].tolist()
+        top, buckets, places = 0, {}, order.tolist()
+        waits = wait.tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rank = waits[places[lo]]
+            buckets[rank] = places[lo:hi]
+            words[rank >> BITS] |= 1 << (rank & mask)
+            top |= 1 << (rank >> BITS)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i, rank in enumerate(waits):
-            if rank is not None:
-                if (bucket := buckets.get(rank)) is not None:
-                    bucket.append(i)
-                else:
-                    buckets[rank] = [i]
-                    words[rank >> BITS] |= 1 << (rank & mask)
-                    top |= 1 << (rank >> BITS)
         while top:
             word = (top & -top).bit_length() - 1  # find first set, on both levels
             bits = words[word]
@@ -85,50 +90,59 @@ class Encoder:
             if bits == low:
                 top &= top - 1
             bucket.sort()
+            left = rank << SHIFT
             for spent, i in enumerate(bucket, 1):
                 if waits[i] != rank:  # stale: the pair has changed since
                     continue
                 j = after[i]
-                parts[i] = joined = parts[i] + parts[j]
-                waits[j] = None
+                parts[i] = rank
+                waits[j] = -1
                 after[i] = k = after[j]
                 first = rank
                 if ends[k]:
-                    waits[i] = None
+                    waits[i] = -1
                     if k < n:
                         before[k] = i
                 else:
                     before[k] = i
-                    waits[i] = r = get(joined + parts[k])
-                    if r is not None:
+                    r = get(left | parts[k])
+                    if r is None:
+                        waits[i] = -1
+                    else:
+                        waits[i] = r
                         if (more := buckets.get(r)) is not None:
                             more.append(i)
                         else:
                             buckets[r] = [i]
                             words[r >> BITS] |= 1 << (r & mask)
                             top |= 1 << (r >> BITS)
-                        first = r if r < first else first
+                        if r < first:
+                            first = r
                 if not ends[i]:
                     h = before[i]
-                    waits[h] = r = get(parts[h] + joined)
-                    if r is not None:
+                    r = get((parts[h] << SHIFT) | rank)
+                    if r is None:
+                        waits[h] = -1
+                    else:
+                        waits[h] = r
                         if (more := buckets.get(r)) is not None:
                             more.append(h)
                         else:
                             buckets[r] = [h]
                             words[r >> BITS] |= 1 << (r & mask)
                             top |= 1 << (r >> BITS)
-                        first = r if r < first else first
+                        if r < first:
+                            first = r
                 if first < rank and spent < len(bucket):  # a lower rank has come up: it goes first, the rest of the bucket waits
                     buckets[rank] = buckets.get(rank, []) + bucket[spent:]
                     words[word] |= low
                     top |= 1 << word
                     break
-        out, i, ranks = [], 0, self.ranks
-        for p in pieces:
-            end, ids = i + len(p), []
+        out, i = [], 0
+        for end in starts[1:].tolist():
+            ids = []
             while i < end:
-                ids.append(ranks[parts[i]])
+                ids.append(parts[i])
                 i = after[i]
             out.append(ids)
         return out
@@ -172,9 +186,23 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(2)
-def _vocabulary(path: str) -> list[bytes]:
+def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all tokens' bytes, where each id's start, how many they are)."""
     tokens = {rank: token for token, rank in read_ranks(path).items()}
-    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    lengths = np.array([len(x) for x in every])
+    return np.frombuffer(b"".join(every), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def decoded(ids: list[bytes], path: str) -> list[bytes]:
+    """The bytes of each row of ids, looked up together."""
+    every, starts, lengths = _vocabulary(path)
+    tokens = np.frombuffer(b"".join(ids), "<u4")
+    sizes = lengths[tokens]
+    ends = np.cumsum(sizes)
+    whole = every[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[tokens] - (ends - sizes), sizes)].tobytes()
+    cuts = np.r_[0, ends][np.cumsum([0, *[len(x) // 4 for x in ids]])].tolist()
+    return [whole[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
 def _with_columns(df: DataFrame, drop: list[str], made: str) -> str:
@@ -215,10 +243,9 @@ def decode(df: DataFrame, ids: str = "ids", ranks_path: str | None = None) -> Da
     path = ranks_path or default_ranks_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(path).__getitem__
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids).to_pylist()]
+                texts = decoded([x or b"" for x in part.column(ids).to_pylist()], path)
                 yield _add(part, ["decoded"], {"decoded": pa.array(texts, pa.binary())})
 
     df = df.drop("decoded")
