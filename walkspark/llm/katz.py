@@ -429,7 +429,7 @@ def apply(model: Model, documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"), "text")
     sent = rows.mapInArrow(_send(model), SENT)
     tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
-    both = tables.unionByName(sent, allowMissingColumns=True).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    both = tables.unionByName(sent, allowMissingColumns=True).repartition(4 * model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
     made = stored(both.mapInArrow(_answer(model), SUMS), "katz-sums")
     sums = made.filter("kind = 0").groupBy("doc").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "part")])
     used = made.filter("kind = 1").select("doc", "h", "seen", "unseen").join(model.histories, "h", "left")
