@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,48 @@ from pyspark.sql import functions as F
 from walkspark.llm.common import stored
 
 BINS = 16
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-TAG = re.compile(r"<[^>]*>")
-FURNITURE = re.compile(r"<(nav|footer|header|aside|form|button)\b[^>]*>.*?</\1\s*>|<div class=\"?ad\b[^>]*>.*?</div>", re.S | re.I)
+#: Elements without words for readers, and page furniture.
+DROPPED = frozenset(["script", "style", "noscript", "template", "nav", "footer", "header", "aside", "form", "button"])
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*").match
+CLOSES = re.compile(rf"</({'|'.join(sorted(DROPPED))}|div)\b", re.I).finditer
+ADVERT = re.compile(r"<div class=\"?ad\b", re.I).match
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 #: Country-code domains and the language most pages under them use.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "se": "sv", "jp": "ja"}
 
+#: Labels that stand under a country's code where others have their own name.
+SECOND = ["ac", "co", "com", "edu", "gov", "net", "org"]
+
 
 def visible_text(page: str) -> str:
-    page = FURNITURE.sub(" ", HIDDEN.sub(" ", page))
-    return " ".join(entities.unescape(TAG.sub(" ", page)).split())
+    """Text outside tags, comments and dropped elements (up to their next closing tag; an element that is never closed
+    loses its tag alone). One pass: no part of the page is looked at more than a fixed number of times."""
+    closes: dict[str, list[int]] = {}
+    for m in CLOSES(page):
+        closes.setdefault(m[1].lower(), []).append(m.start())
+    out, at, comments = [], 0, True
+    i = page.find("<")
+    while i >= 0:
+        end = -1
+        if comments and page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            comments = end >= 0
+            end += 2 if comments else 0
+        if end < 0:
+            end = page.find(">", i + 1)
+            if end < 0:
+                break
+            name = m[0].lower() if (m := NAME(page, i + 1)) else ""
+            if name in DROPPED or name == "div" and ADVERT(page, i):
+                later = closes.get(name, [])
+                k = bisect_left(later, end)
+                if k < len(later) and (close := page.find(">", later[k])) >= 0:
+                    end = close
+        out.append(page[at:i])
+        at = end + 1
+        i = page.find("<", at)
+    out.append(page[at:])
+    return " ".join(entities.unescape(" ".join(out)).split())
 
 
 def trigram_bins(text: str, bins: int) -> np.ndarray:
@@ -45,11 +77,14 @@ def trigram_bins(text: str, bins: int) -> np.ndarray:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bins)
 
 
-def train(documents: DataFrame, text: str = "text", lang: str = "lang", bins: int = BINS) -> tuple[list[str], np.ndarray]:
+def train(documents: DataFrame, text: str = "text", lang: str = "lang", bins: int = BINS, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [language, bin]) from all labelled documents, add-one smoothed.
 
-    Rows without text or label take no part. Counts of every document are summed on Spark.
+    Rows without text or label take no part; repeated rows count each. Counts of every document are summed on Spark; the
+    table for the driver has 2**bins rows a language, so more than max_languages labels raise ValueError.
     """
+    if len(found := documents.filter(F.col(lang) != "").select(lang).distinct().limit(max_languages + 1).collect()) > max_languages:
+        raise ValueError(f"over {max_languages} languages, such as {found[0][0]}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -96,44 +131,46 @@ def evidence(pages: DataFrame, labels: list[str], model: np.ndarray, id: str = "
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     made = made.withColumn("host", F.coalesce(host, F.lit("")))
     parts = F.split("host", r"\.")
+    below = F.when((F.length(F.element_at(parts, -1)) == 2) & F.coalesce(F.get(parts, F.size(parts) - 2).isin(SECOND), F.lit(False)), 2).otherwise(1)  # labels under the domain's own
     segment = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     country = F.coalesce(*[F.when(F.element_at(parts, -1) == c, F.lit(v)) for c, v in COUNTRIES.items()])
     named = F.when(segment.isin(labels), segment) if labels else F.lit(None).cast("string")
-    return made.select("id", "host", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(parts, -1).alias("tld"), "declared", F.coalesce(named, country).alias("suffix"), "text_scores")
-
-
-def _prior(counts: DataFrame, level: str, parent: DataFrame, on: str, strength: float) -> DataFrame:
-    """(level, prior): counts of the level, plus `strength` pages spread as its parent has them."""
-    both = counts.join(parent.withColumnRenamed("prior", "above"), on)
-    return both.select(level, F.transform(F.arrays_zip("c", "above"), lambda x: (x["c"] + strength * x["above"]) / (F.col("total") + strength)).alias("prior"))
+    return made.select("id", "host", F.array_join(F.slice(parts, F.greatest(F.size(parts) - below, F.lit(1)), 3), ".").alias("domain"), F.element_at(parts, -1).alias("tld"), "declared", F.coalesce(named, country).alias("suffix"), "text_scores")
 
 
 def identify(pages: DataFrame, documents: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", strength: float = 5.0, declared_right: float = 0.85, suffix_right: float = 0.8) -> DataFrame:
     """One row per page: id, lang, probability, declared, suffix, host, text_lang.
 
     declared_right, suffix_right: how often a declaration or suffix names the page's language; what
-    is left is spread over the other languages, as is all of a declaration outside the model's. Null or empty pages
-    and addresses give no evidence, so the prior decides; without labelled documents lang is null.
+    is left is spread over the other languages; a declaration outside the model's languages says nothing. The prior of a
+    page's host is made of the host's other pages. Null or empty pages and addresses give no evidence, so the prior
+    decides; addresses without a host share one. Of equally likely languages (ties) the first by name counts. Repeated
+    pages are pages each; pages of any length are read whole, in one pass. Without labelled documents lang is null. Other columns
+    of pages are ignored. An empty table gives no rows.
     """
     labels, model = train(documents)
     n = len(labels)
     made = stored(evidence(pages, labels, model, id, url, html), "langid-evidence")
     if not n:
         return made.select(F.col("id").alias(id), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"))], "declared", "suffix", "host", F.lit(None).cast("string").alias("text_lang"))
+    own = F.transform("text_scores", F.exp)
     sums = F.array(*[F.sum(F.exp(F.get("text_scores", F.lit(k)))) for k in range(n)])
-    hosts = made.groupBy("host", "domain", "tld").agg(sums.alias("c"), F.count("*").cast("double").alias("total"))
-    up = lambda df, *keys: df.groupBy(*keys).agg(F.array(*[F.sum(F.get("c", F.lit(k))) for k in range(n)]).alias("c"), F.sum("total").alias("total"))
-    domains, tlds, whole = up(hosts, "domain", "tld"), up(hosts, "tld"), up(hosts)
-    top = whole.select(F.transform("c", lambda x: (x + 1.0) / (F.col("total") + float(n))).alias("above"))
-    tld_prior = tlds.crossJoin(F.broadcast(top)).select("tld", F.transform(F.arrays_zip("c", "above"), lambda x: (x["c"] + strength * x["above"]) / (F.col("total") + strength)).alias("prior"))  # one row
-    domain_prior = _prior(domains, "domain", tld_prior, "tld", strength)
-    host_prior = _prior(hosts, "host", domain_prior, "domain", strength)
+    hosts = made.groupBy("host", "domain", "tld").agg(sums.alias("host_c"), F.count("*").cast("double").alias("host_n"))
+    up = lambda level, *keys: hosts.groupBy(*keys).agg(F.array(*[F.sum(F.get("host_c", F.lit(k))) for k in range(n)]).alias(f"{level}_c"), F.sum("host_n").alias(f"{level}_n"))
+    levels = hosts.join(up("domain", "domain", "tld"), ["domain", "tld"]).join(up("tld", "tld"), "tld").crossJoin(F.broadcast(up("all")))  # one row
+    levels = stored(levels.drop("domain", "tld"), "langid-hosts")  # from a table, the join below can split a hot host
 
     def says(column: str, right: float) -> Column:
         known = F.col(column).isin(labels)
         return F.array(*[F.when(~known | F.col(column).isNull(), 0.0).when(F.col(column) == x, float(np.log(right))).otherwise(float(np.log((1 - right) / max(n - 1, 1)))) for x in labels])
 
-    joined = made.join(host_prior, "host")
+    # each level's counts without the page itself, pulled towards the level above
+    above = F.transform(F.arrays_zip("all_c", own.alias("own")), lambda x: (x["all_c"] - x["own"] + 1.0) / (F.col("all_n") - 1.0 + n))
+    joined = made.join(levels, "host").withColumn("prior", above)
+    for level in ("tld", "domain", "host"):
+        whole = F.col(f"{level}_n") - 1.0 + strength
+        zipped = F.arrays_zip(F.col(f"{level}_c").alias("c"), own.alias("own"), "prior")
+        joined = joined.withColumn("prior", F.transform(zipped, lambda x: (F.greatest(x["c"] - x["own"], F.lit(0.0)) + strength * x["prior"]) / whole))  # noqa: B023
     fused = joined.select("*", says("declared", declared_right).alias("d"), says("suffix", suffix_right).alias("s"))
     logs = F.array(*[F.get("text_scores", F.lit(k)) + F.get("d", F.lit(k)) + F.get("s", F.lit(k)) + F.log(F.get("prior", F.lit(k))) for k in range(n)])
     scored = fused.withColumn("z", logs).withColumn("best", F.array_max("z"))
