@@ -579,3 +579,64 @@ def test_language(spark):
     assert langid.identify(df.limit(0), docs).count() == 0 and langid.identify(df, docs.limit(0)).filter("lang IS NULL").count() == 34
 
 
+def _fused(pages, labels, model, strength=5.0):
+    """identify() page by page, plainly."""
+    def of(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].lower() if m else ""
+        parts = host.split(".")
+        below = 3 if len(parts) > 1 and len(parts[-1]) == 2 and parts[-2] in langid.SECOND else 2
+        seg = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#-]|$)", url or "")
+        suffix = seg[1].lower() if seg and seg[1].lower() in labels else langid.COUNTRIES.get(parts[-1])
+        return host, ".".join(parts[-below:]), parts[-1], suffix
+
+    facts = []
+    for _, url, html in pages:
+        found = langid.trigram_bins(langid.visible_text(html or ""), langid.BINS)
+        z = 0.05 * model[:, found].sum(axis=1) if len(found) else np.zeros(len(labels))
+        z = z - z.max()
+        z -= np.log(np.exp(z).sum())
+        m = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", html or "", re.I)
+        facts.append((*of(url), m[1].lower() if m else None, z))
+    out = []
+    for i, (host, domain, tld, suffix, declared, z) in enumerate(facts):
+        others = [f for k, f in enumerate(facts) if k != i]
+        count = lambda keep: (sum((np.exp(f[5]) for f in others if keep(f)), np.zeros(len(labels))), sum(1 for f in others if keep(f)))
+        c, n = count(lambda f: True)
+        prior = (c + 1) / (n + len(labels))
+        for keep in (lambda f: f[2] == tld, lambda f: f[1:3] == (domain, tld), lambda f: f[0] == host):
+            c, n = count(keep)
+            prior = (c + strength * prior) / (n + strength)
+        says = lambda said, right: np.array([0.0 if said not in labels else np.log(right) if x == said else np.log((1 - right) / (len(labels) - 1)) for x in labels])
+        total = z + says(declared, 0.85) + says(suffix, 0.8) + np.log(prior)
+        p = np.exp(total - total.max())
+        out.append((labels[int(np.argmax(total))], 1 / p.sum()))
+    return out
+
+
+def test_language_equals_a_plain_fusion(spark):
+    rng = random.Random(14)
+    words = {"en": ["the", "and", "with", "house"], "fr": ["le", "et", "avec", "maison"], "de": ["der", "und", "mit", "haus"]}
+    docs = spark.createDataFrame([(x, " ".join(rng.choices(words[x], k=40))) for x in words for _ in range(10)], "lang string, text string")
+    page = lambda x: f"<html{rng.choice(['', ' lang=fr', ' lang=zz', ' LANG=en-GB'])}><p>{' '.join(rng.choices(words[x], k=rng.randrange(0, 6)))}<script>und</script></p>"
+    urls = ["https://a.b.co.uk/x", "https://b.co.uk:80/", "http://c.example.de/fr/y", "http://d.example.de/", "http://u@e.example.com/de", None, "", "nonsense"]
+    rows = [(i, rng.choice(urls), rng.choice([page("en"), page("fr"), page("de"), None, ""])) for i in range(60)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "prior", "own", "text_scores", "z", "best")})
+    labels, model = langid.train(docs)
+    want = Counter((r[0], lang, round(p, 6)) for r, (lang, p) in zip(rows, _fused(rows, labels, model)))
+    assert Counter((r["page_id"], r["lang"], round(r["probability"], 6)) for r in langid.identify(df, docs).collect()) == want
+    with pytest.raises(ValueError):
+        langid.train(docs, max_languages=2)
+
+
+def test_visible_text_is_one_pass():
+    import time
+
+    see = langid.visible_text
+    assert see("a<p>b</p><script>x<b></SCRIPT >c<!-- <p> d -->e &amp; f<nav>g<nav>h</nav>i") == "a b c e & f i"
+    assert see("a<script>b") == "a b" and see("a<!-- b") == "a<!-- b" and see("a<!-- b > c") == "a c" and see("a < b") == "a < b" and see('x<div class="ad">y</div>z<div class=advice>w</div>') == "x z w"
+    for piece in ("<script>", "<!--", "<", "<nav", "</div>", '<div class="ad">', "<!-- a -->"):
+        began = time.perf_counter()
+        see(piece * 40_000)
+        assert time.perf_counter() - began < 2

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import discard, stored
+from walkspark.llm.common import discard, stored, unused
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -246,12 +246,13 @@ def all_spans(text: str, patterns: set[str], earlier: list | None = None) -> tup
     return base, sorted([*base, *more], key=_order)
 
 
-def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns: int) -> tuple[DataFrame, list[str]]:
-    """documents with `_found`, the starts and ends that all patterns but the last max_patterns find, and these last ones.
+def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns: int) -> tuple[DataFrame, list[str], str]:
+    """documents with a new column, the starts and ends that all patterns but the last max_patterns find, and these last ones, and the column's name.
 
     Each pass but the last takes max_patterns patterns and writes the table, so no worker ever holds more of them.
     """
-    df = documents.withColumn("_found", F.lit(None).cast("array<int>"))
+    (name,) = unused(documents, "found")
+    df = documents.withColumn(name, F.lit(None).cast("array<int>"))
     schema, written = df.schema, None
     for at in range(0, len(patterns) - max_patterns, max_patterns):
         part = patterns[at : at + max_patterns]
@@ -259,14 +260,14 @@ def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns:
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             chosen = set(part)
             for batch in batches:
-                found = [[x for lo, hi, k in all_spans(t, chosen, e)[1] if k == 4 for x in (lo, hi)] if t else None for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist())]
-                yield pa.RecordBatch.from_pydict({n: pa.array(found, pa.list_(pa.int32())) if n == "_found" else batch.column(n) for n in batch.schema.names})
+                found = [[x for lo, hi, k in all_spans(t, chosen, e)[1] if k == 4 for x in (lo, hi)] if t else None for t, e in zip(batch.column(text).to_pylist(), batch.column(name).to_pylist())]
+                yield pa.RecordBatch.from_pydict({n: pa.array(found, pa.list_(pa.int32())) if n == name else batch.column(n) for n in batch.schema.names})
 
         last, written = written, stored(df.mapInArrow(run, schema), "pii-found")
         if last is not None:
             discard(last)
         df = written
-    return df, patterns[(len(patterns) - 1) // max_patterns * max_patterns :] if patterns else []
+    return df, patterns[(len(patterns) - 1) // max_patterns * max_patterns :] if patterns else [], name
 
 
 def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
@@ -274,20 +275,21 @@ def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | Non
 
     Positions are code points, ends exclusive. patterns: from learn_patterns (default: learnt here).
     More than max_patterns take several passes over the texts.
-    Null and empty texts have no spans. Each row is judged alone, so repeated rows get equal spans.
-    Columns named base or spans are replaced.
+    Null and empty texts have no spans; texts of any length are searched whole. Each row is judged alone, so repeated rows
+    get equal spans; spans that start together (ties) stand by kind. Columns named base or spans are replaced, others stay.
+    An empty table gives no rows.
     """
     known = learn_patterns(documents, text) if patterns is None else patterns
     df = documents.drop("base", "spans")
     fields = [f for f in df.schema.fields if f.name != text]
-    df, known = _passes(df, text, known, max_patterns)
+    df, known, name = _passes(df, text, known, max_patterns)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} array<struct<kind:string,start:int,end:int>>" for n in ("base", "spans")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = set(known)
         for batch in batches:
-            both = [all_spans(t, chosen, e) if t else ([], []) for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist())]
+            both = [all_spans(t, chosen, e) if t else ([], []) for t, e in zip(batch.column(text).to_pylist(), batch.column(name).to_pylist())]
             arrays = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x[i]] for x in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in fields} | {"base": arrays[0], "spans": arrays[1]})
 
@@ -297,13 +299,13 @@ def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | Non
 def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """documents with every span of `text` replaced by <KIND>; the longest wins where spans overlap. Null stays null."""
     known = learn_patterns(documents, text) if patterns is None else patterns
-    df, known = _passes(documents, text, known, max_patterns)
+    df, known, name = _passes(documents, text, known, max_patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = set(known)
         for batch in batches:
             out = []
-            for t, e in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist()):
+            for t, e in zip(batch.column(text).to_pylist(), batch.column(name).to_pylist()):
                 spans = all_spans(t, chosen, e)[1] if t else []
                 if spans:
                     parts, at = [], 0
@@ -315,7 +317,7 @@ def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None
                         at = hi
                     t = "".join(parts) + t[at:]
                 out.append(t)
-            yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == text else batch.column(n) for n in batch.schema.names if n != "_found"})
+            yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == text else batch.column(n) for n in batch.schema.names if n != name})
 
     return df.mapInArrow(run, documents.schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkspark.llm.common import table
+from walkspark.llm.quality import CLOSING, DOUBLED, MARKS, SEPARATORS, STOCK, STOCK_WORDS
 
 
 def op1_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,23 @@ QUERIES = {f.__name__: f for f in (op1_pruned_graph_ann, op2_line_quality, op3_h
 
 #: DuckDB SQL, where it can express a query's whole result. The others are tested against brute
 #: force: hash rings, deadline schedules, graphs and merge queues aren't SQL.
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]"
+_COUNT = lambda pattern, text="x": f"len(regexp_extract_all({text}, '{pattern}'))"
+ORACLES: dict[str, str] = {
+    "op2_line_quality": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{_WORD}+') AS ws FROM d),
+ws AS (SELECT rid, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars FROM w),
+v AS (SELECT rid, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w) WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM v WHERE c IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + o) AS n FROM g, (VALUES (0), (1), (2)) AS s(o) WHERE n >= 2 GROUP BY rid),
+l AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}')),
+ls AS (SELECT rid, count(*) AS n, count(DISTINCT x) AS nd, sum(length(x)) AS whole FROM l GROUP BY rid),
+f AS (SELECT rid, x, n, length(x) AS size, len(string_split(x, ' ')) AS k, {_COUNT(MARKS)} AS marks, {_COUNT(SEPARATORS)} AS bars,
+{_COUNT(DOUBLED.replace("(?=", "(?:").replace(chr(92) + "s", "[ " + chr(92) + "t" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]"))} AS doubled, right(trim(x), 1) IN ({", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)}) AS closed,
+length(x) - length(regexp_replace(lower(x), '{"|".join(STOCK)}', '', 'g')) AS phrases FROM (SELECT DISTINCT l.rid, x, n FROM l JOIN ls ON ls.rid = l.rid)),
+k AS (SELECT rid, sum(size) AS kept FROM f WHERE NOT (marks * 10 > size OR doubled * 5 > k OR (bars >= 2 AND bars * 4 >= k) OR (NOT closed AND n > 1 AND k < 4) OR (phrases > 0 AND (k <= {STOCK_WORDS} OR 5 * phrases > size))) GROUP BY rid),
+m AS (SELECT doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ls.n - nd, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(1 - coalesce(kept, 0) / whole, 1) AS lost
+FROM d JOIN ws ON ws.rid = d.rid LEFT JOIN r ON r.rid = d.rid LEFT JOIN ls ON ls.rid = d.rid LEFT JOIN k ON k.rid = d.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 AS kept FROM m""",
+}
