@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session names none (a local test), a fresh temporary folder stands in.
+    Only where a local session names none (a test), a fresh temporary folder stands in; on a cluster that would be a
+    folder of one machine, so there it must be named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="walkspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -121,23 +121,23 @@ def components(edges: DataFrame) -> DataFrame:
     before it is joined: both sides of the join are then plain exchanges, which Spark splits where a node is hot.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    summed = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    before = summed(edges)
-    while before["n"]:
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-least")
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
-        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has few neighbours left: one for each minimum around it
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         last, edges = edges, stored(small.filter("u <> v").distinct(), "edges")
-        discard(last, least, large, lowest)
-        after = summed(edges)
-        if after == before:
-            break
-        before = after
+        discard(last, least, large)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either linked to one smaller node and to nothing else, or a centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
 def _block_links(threshold: int):
     """Links between components among the documents of one pair of blocks, as a spanning forest."""
 
