@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from walkspark.functions import text as tx
 from walkspark.operators import search, store, travel
-from walkspark.operators.pages import food_in
+from walkspark.operators import pages
 
 WALK = "slug string, title string, region string, tags array<string>, london_departure_crs array<string>, computed_distance_km double, published_distance_km double, computed_ascent_m double, published_ascent_m double, toughness int, seeded_journey_minutes int, start_lat double, start_lon double, source string"
 
@@ -68,11 +68,16 @@ def test_minutes(spark, text, minutes):
     assert spark.createDataFrame([(text,)], "t string").select(tx.parse_minutes(F.col("t"))).first()[0] == minutes
 
 
-def test_food():
+def test_food(spark):
     body = "<p>After 3 km you reach <b>Littleham</b>, a village. <b>The Swan Inn</b> (01234 567890; open until 3 pm). <b>Corner Shop</b> 01234 567891. <b>The swan inn</b> again"
-    got = food_in(body)
+    found = lambda body: spark.createDataFrame([(body,)], "b string").select(pages.venues(F.col("b"))).first()[0]
+    got = found(body)
     assert [(g["name"], g["phone"], g["position_km"]) for g in got][:2] == [("The Swan Inn", "01234 567890", 3.0), ("Corner Shop", "01234 567891", 3.0)]
     assert len(got) == 2 and "open until 3 pm" in got[0]["hours_note"]
+    more = found("See <strong>Caf&eacute; Uno</strong>. Tel01234 567890 opens daily, 4½ km along the way. Then <b>Mill</b><b>The Bell:</b><b></b> closed Mondays")
+    assert [(g["name"], g["phone"], g["position_km"]) for g in more] == [("Café Uno", None, None), ("The Bell", None, 4.5)] and more[1]["hours_note"] == "closed Mondays"
+    assert found("No bold name, tel 01234 567890") == [] and found("") == [] and found(None) is None
+    assert [g["phone"] for g in found("<b>Shop</b> Tel01234 567890.")] == ["01234 567890"]
 
 
 def test_entry_registers():

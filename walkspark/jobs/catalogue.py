@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from walkspark.functions import bng
 from walkspark.operators import corridor, quality, search, store, tracks, travel
-from walkspark.sources import gpx
+from walkspark.sources import gpx, scratch
 from walkspark.sources.tables import HOME, ctes, domain, home_termini
 
 QUERIES, ORACLES = {}, {}
@@ -43,13 +43,14 @@ _filtered("q5_termini", "list_has_any(string_split(crs_text, ','), ['VIC', 'BFR'
 _filtered("q6_travel_limit", "seeded_journey_minutes <= 75", max_travel_min=75)
 _filtered("q7_source", "source = 'src_f'", source="src_f")
 _TOKENS = "concat(' ', trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-_TEXT = " AND ".join("(" + " OR ".join(f"contains({_TOKENS.format(c)}, ' {w} ')" for c in ("title", "region", "tags_text")) + ")" for w in ("not specified", "walk"))
-_filtered("q8_keywords", _TEXT, text="not-specified WALK &")
+_TEXT = " AND ".join("(" + " OR ".join(f"contains({_TOKENS.format(c)}, ' {w} ')" for c in ("title", "coalesce(summary, '')", "region", "tags_text")) + ")" for w in ("not specified", "walk", "river"))
+_filtered("q8_keywords", _TEXT, text="not-specified WALK RIVÈR &")
 query("q9_order_limit", f"SELECT slug, round({KM}, 4) AS km FROM walks ORDER BY {KM} NULLS FIRST, slug LIMIT 200", "walks")(lambda spark, read: _slugs(search.find_walks(read("walks"))))
 query("q10_find_walks", f"SELECT slug, round({KM}, 4) AS km FROM walks WHERE {KM} <= 15 AND toughness <= 7 AND lower(region) IN ('building', 'household') AND list_has_any(string_split(crs_text, ','), ['VIC', 'STP', 'LBG']) ORDER BY {KM} NULLS FIRST, slug LIMIT 50", "walks")(
     lambda spark, read: _slugs(search.find_walks(read("walks"), max_km=15.0, max_toughness=7, regions=("building", "household"), london_crs_in=("VIC", "STP", "LBG"), limit=50))
 )
-query("q11_get_walk", "SELECT slug, source, title FROM walks WHERE slug = 'walk-42' AND source = 'src_o' LIMIT 1", "walks")(lambda spark, read: read("walks").filter("slug = 'walk-42' AND source = 'src_o'").select("slug", "source", "title").limit(1))
+query("q11_get_walk", "SELECT slug, source, title FROM walks WHERE slug = 'walk-42'", "walks")(lambda spark, read: search.get_walk(read("walks"), "walk-42").select("slug", "source", "title"))
+query("q11b_get_walk_of_source", "SELECT slug, source, title FROM walks WHERE slug = 'walk-1' AND source = 'src_f'", "walks")(lambda spark, read: search.get_walk(read("walks"), "walk-1", "src_f").select("slug", "source", "title"))
 query("q12_count", "SELECT count(*) AS n_walks FROM walks", "walks")(lambda spark, read: read("walks").agg(F.count("*").alias("n_walks")))
 
 
@@ -110,7 +111,7 @@ query("s9_walks_by_any_terminus", ", wc AS (SELECT slug, unnest(string_split(crs
 query("g20_crow_km", f"SELECT slug, {_CROW} AS crow_km FROM walks", "walks")(lambda spark, read: read("walks").select("slug", F.round(travel.crow_km(F.col("start_lat"), F.col("start_lon")), 6).alias("crow_km")))
 
 # statistics and quality
-_HAVE = {"computed_distance": "computed_distance_km", "computed_ascent": "computed_ascent_m", "seeded_journey": "seeded_journey_minutes", "start_point": "start_lat", "toughness": "toughness"}
+_HAVE = {"gpx": "gpx_path", "elevation": "CASE WHEN has_elevation THEN 1 END", "start_crs": "start_crs", "directions": "directions", "computed_distance": "computed_distance_km", "computed_ascent": "computed_ascent_m", "seeded_journey": "seeded_journey_minutes", "start_point": "start_lat", "toughness": "toughness"}
 query("r1_by_source", "SELECT source, count(*) AS n_walks FROM walks GROUP BY source", "walks")(lambda spark, read: read("walks").groupBy("source").agg(F.count("*").alias("n_walks")))
 query("r2_coverage", "SELECT source, count(*) AS n_walks, " + ", ".join(f"count({c}) AS n_{n}, round(100.0 * count({c}) / count(*), 4) AS pct_{n}" for n, c in _HAVE.items()) + " FROM walks GROUP BY source", "walks")(lambda spark, read: quality.coverage(read("walks")))
 query("r3_children_coverage", "SELECT (SELECT count(DISTINCT slug) FROM variations) AS with_variations, (SELECT count(DISTINCT slug) FROM variations WHERE distance_km IS NOT NULL) AS with_variation_distance, (SELECT count(DISTINCT slug) FROM food_stops) AS with_food, (SELECT count(DISTINCT slug) FROM food_stops WHERE phone IS NOT NULL) AS with_food_phone", "variations", "food_stops")(lambda spark, read: quality.children_coverage(read("variations"), read("food_stops")))
@@ -120,25 +121,46 @@ query("r5_histogram", f"SELECT CAST(floor({KM} / 2) * 2 AS INT) AS bucket, count
 query("r6_zero_filled", f", h AS (SELECT CAST(floor({KM}) AS INT) AS bucket, count(*) AS n FROM walks WHERE {KM} IS NOT NULL GROUP BY 1) SELECT CAST(u AS INT) AS bucket, coalesce(n, 0) AS n FROM (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS u FROM h) LEFT JOIN h ON bucket = u", "walks")(lambda spark, read: quality.histogram(read("walks"), 1, True))
 _GROUP = "CASE " + " ".join(f"WHEN list_has_any(string_split(crs_text, ','), {s}) THEN '{n}'" for n, s in quality.GROUPS) + " ELSE 'other' END"
 query("r7_station_group", f"SELECT slug, {_GROUP} AS station_group FROM walks", "walks")(lambda spark, read: read("walks").select("slug", quality.station_group().alias("station_group")))
-query("r8_feasibility", f", g(station_group) AS (VALUES {', '.join(f'({n!r})' for n in [*[x for x, _ in quality.GROUPS], 'other'])}), f AS (SELECT {_GROUP} AS station_group, {KM} <= 13 AS short, slug IN (SELECT slug FROM variations WHERE distance_km BETWEEN 3 AND 13) AS opt FROM walks WHERE {KM} IS NOT NULL) SELECT g.station_group, count(short) AS n_walks, count(*) FILTER (WHERE short) AS n_short, count(*) FILTER (WHERE NOT short AND opt) AS n_shortenable, count(*) FILTER (WHERE short OR opt) AS n_feasible FROM g LEFT JOIN f ON f.station_group = g.station_group GROUP BY g.station_group", "walks", "variations")(lambda spark, read: quality.feasibility(read("walks"), read("variations")))
-query("r9_best_option", f"SELECT slug, distance_km AS option_km, position, label FROM (SELECT v.*, row_number() OVER (PARTITION BY v.slug ORDER BY v.distance_km, v.position) AS r FROM variations v JOIN walks ON walks.slug = v.slug WHERE {KM} > 13 AND v.distance_km BETWEEN 3 AND 13) WHERE r = 1", "walks", "variations")(lambda spark, read: quality.best_options(read("walks"), read("variations")))
+# option sentences are rendered from the variations: a stated total, a saving, or a way back at some point
+_SAID = """, sa AS (SELECT v.slug, position, CASE position % 3 WHEN 0 THEN concat('A route of ', printf('%.2f', distance_km), ' km by the lake') WHEN 1 THEN concat('Shorten the walk by ', printf('%.2f', distance_km), ' km') ELSE concat('At ', printf('%.2f', distance_km), ' km take the bus back') END AS sentence,
+CASE WHEN position % 3 <> 1 THEN distance_km WHEN distance_km < published_distance_km THEN round_even(published_distance_km - distance_km, 2) END AS option_km, published_distance_km AS km FROM variations v JOIN walks ON walks.slug = v.slug WHERE distance_km IS NOT NULL AND published_distance_km IS NOT NULL),
+dl AS (SELECT * FROM sa WHERE option_km IS NOT NULL)"""
+
+
+def _said(read):
+    km = F.format_string("%.2f", "distance_km")
+    sentence = F.when(F.col("position") % 3 == 0, F.concat(F.lit("A route of "), km, F.lit(" km by the lake"))).when(F.col("position") % 3 == 1, F.concat(F.lit("Shorten the walk by "), km, F.lit(" km"))).otherwise(F.concat(F.lit("At "), km, F.lit(" km take the bus back")))
+    made = read("variations").select("slug", F.col("position").alias("sentence_no"), F.when(F.col("distance_km").isNull(), "A detour to the inn").otherwise(sentence).alias("sentence"))
+    return quality.derived_lengths(read("walks"), made)
+
+
+query("r8b_derived_lengths", _SAID + " SELECT slug, position AS sentence_no, round(option_km, 4) AS option_km FROM dl", "walks", "variations")(lambda spark, read: _said(read).select("slug", "sentence_no", F.round("option_km", 4).alias("option_km")))
+query(
+    "r8_feasibility",
+    _SAID + f""", g(station_group) AS (VALUES {', '.join(f'({n!r})' for n in [*[x for x, _ in quality.GROUPS], 'other'])}), f AS (SELECT {_GROUP} AS station_group, published_distance_km <= 13 AS short, k % 6 IN (1, 2) AS sniff, slug IN (SELECT slug FROM dl WHERE option_km BETWEEN 3 AND 13) AS opt FROM walks WHERE published_distance_km IS NOT NULL)
+SELECT g.station_group, count(short) AS n_walks, count(*) FILTER (WHERE short) AS n_short, count(*) FILTER (WHERE NOT short AND sniff) AS n_sniff, count(*) FILTER (WHERE NOT short AND opt) AS n_shortenable, count(*) FILTER (WHERE short OR opt) AS n_feasible FROM g LEFT JOIN f ON f.station_group = g.station_group GROUP BY g.station_group""",
+    "walks", "variations",
+)(lambda spark, read: quality.feasibility(read("walks"), _said(read)))
+query("r9_best_option", _SAID + " SELECT slug, round(option_km, 4) AS option_km, position AS sentence_no, sentence FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY option_km, position) AS r FROM dl WHERE km > 13 AND option_km BETWEEN 3 AND 13) WHERE r = 1", "walks", "variations")(lambda spark, read: quality.best_options(read("walks"), _said(read)).withColumn("option_km", F.round("option_km", 4)))
 query("r10_departures", "SELECT crs, count(*) AS n FROM (SELECT unnest(string_split(crs_text, ',')) AS crs FROM walks WHERE crs_text <> '') GROUP BY crs", "walks")(lambda spark, read: quality.departures(read("walks")))
 
 
 @query(
     "r11_grounding",
-    """, e AS (SELECT slug, published_distance_km, crs_text, computed_distance_km, seeded_journey_minutes FROM walks WHERE k % 100 = 1)
+    """, e AS (SELECT walks.slug, published_distance_km, crs_text, computed_distance_km, seeded_journey_minutes, start_crs, coalesce(v.n, 0) AS nv, coalesce(f.n, 0) AS nf, coalesce(f.phones, 0) AS np FROM walks
+ LEFT JOIN (SELECT slug, count(*) AS n FROM variations GROUP BY slug) v ON v.slug = walks.slug LEFT JOIN (SELECT slug, count(*) FILTER (WHERE contains(lower(name), 'the')) AS n, count(phone) AS phones FROM food_stops GROUP BY slug) f ON f.slug = walks.slug)
 SELECT slug, 'distance' AS check_name, coalesce(abs(computed_distance_km - published_distance_km) <= 0.1 * published_distance_km, false) AS passed FROM e WHERE published_distance_km IS NOT NULL
 UNION ALL SELECT slug, 'terminus', list_has_any(string_split(crs_text, ','), ['VIC', 'WAT']) FROM e
-UNION ALL SELECT slug, 'variations', (SELECT count(*) FROM variations v WHERE v.slug = e.slug) >= 2 FROM e
-UNION ALL SELECT slug, 'food', (SELECT count(*) FROM food_stops f WHERE f.slug = e.slug AND contains(lower(f.name), 'the')) > 0 FROM e
-UNION ALL SELECT slug, 'phone', (SELECT count(phone) FROM food_stops f WHERE f.slug = e.slug) > 0 FROM e
+UNION ALL SELECT slug, 'start', coalesce(start_crs = 'VIC', false) FROM e
+UNION ALL SELECT slug, 'variations', nv >= 2 FROM e
+UNION ALL SELECT slug, 'food', nf > 0 FROM e
+UNION ALL SELECT slug, 'phone', np > 0 FROM e
 UNION ALL SELECT slug, 'journey', coalesce(seeded_journey_minutes BETWEEN 30 AND 90, false) FROM e""",
     "walks", "variations", "food_stops",
 )
 def _(spark, read):
     walks = read("walks")
-    expected = walks.filter("k % 100 = 1").select("slug", F.col("published_distance_km").alias("published_km"), F.lit(0.1).alias("tolerance"), F.array(F.lit("VIC"), F.lit("WAT")).alias("crs_any"), F.lit(2).alias("variations_min"), F.array(F.lit("THE")).alias("food_names"), F.lit(True).alias("need_phone"), F.lit(30).alias("journey_lo"), F.lit(90).alias("journey_hi"))
+    expected = walks.select("slug", F.col("published_distance_km").alias("published_km"), F.lit(0.1).alias("tolerance"), F.array(F.lit("VIC"), F.lit("WAT")).alias("crs_any"), F.lit("VIC").alias("start_crs"), F.lit(2).alias("variations_min"), F.array(F.lit("THE")).alias("food_names"), F.lit(True).alias("need_phone"), F.lit(30).alias("journey_lo"), F.lit(90).alias("journey_hi"))
     return quality.grounding(expected, walks, read("variations"), read("food_stops"))
 
 
@@ -157,7 +179,14 @@ query("s6b_replace_children", "SELECT slug, position, CASE WHEN CAST(substr(slug
 )
 query("s7_added_columns", "SELECT slug, region, CAST(NULL AS DOUBLE) AS finish_lat FROM walks", "walks")(lambda spark, read: store.with_columns_of(read("walks").select("slug", "region"), spark.range(0).select(F.lit("").alias("slug"), F.lit(0.0).alias("finish_lat")).schema))
 query("s10_to_fetch", "SELECT slug FROM walks WHERE k % 4 <> 1", "walks")(lambda spark, read: store.to_fetch(read("walks").select("slug", F.concat(F.lit("https://walks.example/"), "slug").alias("url")), read("walks").filter("k % 4 = 1").select(F.concat(F.lit("https://walks.example/"), "slug").alias("url"))).select("slug"))
-query("p9_validation", "SELECT slug, CASE WHEN published_ascent_m - 20 < 0 THEN 'ascent' WHEN toughness + 1 > 10 THEN 'toughness' END AS reason FROM walks", "walks")(lambda spark, read: store.valid(read("walks").withColumns({"published_ascent_m": F.col("published_ascent_m") - 20, "toughness": F.col("toughness") + 1})).select("slug", "reason"))
+_BROKEN = [("slug", "''", "identity"), ("source", "NULL", "source"), ("source_id", "''", "source_id"), ("title", "''", "title"), ("url", "NULL", "url"), ("published_distance_km", "0.0", "distance"), ("published_ascent_m", "-1.0", "ascent"), ("published_duration_min", "0", "duration"), ("toughness", "11", "toughness"), ("seeded_journey_minutes", "0", "journey"), ("computed_distance_km", "-2.5", "computed_distance"), ("computed_ascent_m", "-0.5", "computed_ascent")]
+query("p9_validation", "SELECT k, CASE k % 14 " + " ".join(f"WHEN {i} THEN '{reason}'" for i, (_, _, reason) in enumerate(_BROKEN)) + " END AS reason FROM walks", "walks")(
+    lambda spark, read: (lambda w: store.valid(w.withColumns({c: F.expr(f"CASE WHEN k % 14 = {i} THEN {bad} ELSE {c} END") for i, (c, bad, _) in enumerate(_BROKEN)})).select("k", "reason"))(read("walks").withColumns({"url": F.concat(F.lit("https://walks.example/"), "slug"), "published_duration_min": F.lit(90)}))
+)
+query("p9b_children_validation", "SELECT 'variations' AS child, slug, position, CASE position % 4 WHEN 1 THEN 'label' WHEN 2 THEN 'kind' WHEN 3 THEN 'distance' END AS reason FROM variations UNION ALL SELECT 'food_stops', slug, position, CASE position % 4 WHEN 1 THEN 'name' WHEN 2 THEN 'role' WHEN 3 THEN 'position' END FROM food_stops", "variations", "food_stops")(
+    lambda spark, read: store.valid_variations(read("variations").withColumns({"label": F.expr("if(position % 4 = 1, null, label)"), "kind": F.expr("if(position % 4 = 2, 'stroll', kind)"), "distance_km": F.expr("if(position % 4 = 3, 0.0, distance_km)")})).select(F.lit("variations").alias("child"), "slug", "position", "reason").union(
+        store.valid_food(read("food_stops").withColumns({"name": F.expr("if(position % 4 = 1, null, name)"), "role": F.expr("if(position % 4 = 2, 'dinner', role)"), "position_km": F.expr("if(position % 4 = 3, -0.1, position_km)")})).select(F.lit("food_stops"), "slug", "position", "reason"))
+)
 
 # geometry
 _BNG = """
@@ -209,8 +238,17 @@ def _corridor(name, sql, f):
     query(name, _NEAR + sql, "points", "pois")(lambda spark, read: f(corridor.corridor(tracks.projected(read("points")), read("pois"))))
 
 
-_corridor("g6_distance_to_track", "SELECT slug, poi_id, round(dist, 3) AS distance_m FROM hits", lambda h: h.select("slug", "poi_id", F.round("distance_m", 3).alias("distance_m")))
-_corridor("g7_fraction_along", "SELECT slug, poi_id, round(fr, 6) AS fraction FROM hits", lambda h: h.select("slug", "poi_id", F.round("fraction", 6).alias("fraction")))
+# each place is measured against the track of its own number, however far away that is
+_TO = _NEAR[: _NEAR.index("d0 AS")] + """d0 AS (SELECT slug, seq, poi_id, cum, cx, e, n, ex, nx, pe, pn, CASE WHEN cx > cum THEN least(1.0, greatest(0.0, ((pe - e) * (ex - e) + (pn - n) * (nx - n)) / (pow(ex - e, 2) + pow(nx - n, 2)))) ELSE 0.0 END AS t FROM sg JOIN pg ON slug = concat('track-', poi_id)),
+""" + _NEAR[_NEAR.index("d1 AS") :].replace("WHERE r = 1 AND dist <= 250", "WHERE r = 1")
+
+
+def _to_track(name, sql, f):
+    query(name, _TO + sql, "points", "pois")(lambda spark, read: f(corridor.to_tracks(tracks.projected(read("points")), read("pois").withColumn("slug", F.concat(F.lit("track-"), "poi_id")))))
+
+
+_to_track("g6_distance_to_track", "SELECT slug, poi_id, round(dist, 3) AS distance_m FROM hits", lambda h: h.select("slug", "poi_id", F.round("distance_m", 3).alias("distance_m")))
+_to_track("g7_fraction_along", "SELECT slug, poi_id, round(fr, 6) AS fraction FROM hits", lambda h: h.select("slug", "poi_id", F.round("fraction", 6).alias("fraction")))
 _corridor("g8_corridor", "SELECT slug, poi_id, round(dist, 3) AS distance_m, round(fr, 6) AS fraction FROM hits", lambda h: h.select("slug", "poi_id", F.round("distance_m", 3).alias("distance_m"), F.round("fraction", 6).alias("fraction")).orderBy("slug", "fraction", "poi_id"))
 geo("g9_bbox_grid", "SELECT slug, round(min(e) - 100, 3) AS e0, round(max(n) + 100, 3) AS n1 FROM g GROUP BY slug", lambda p, read: tracks.bbox(p, 100.0).withColumns({"a": bng.to_bng("min_lon", "min_lat"), "b": bng.to_bng("max_lon", "max_lat")}).select("slug", F.round("a.e", 3).alias("e0"), F.round("b.n", 3).alias("n1")))
 geo(
@@ -246,4 +284,32 @@ query("g15b_filled", "SELECT slug, seq, coalesce(ele, CASE WHEN seq % 2 = 0 THEN
 _TEXT = """SELECT slug, concat('<gpx version="1.1"><trk><name>', slug, '</name><trkseg>', string_agg(concat('<trkpt lat="', printf('%.7f', lat), '" lon="', printf('%.7f', lon), '">', CASE WHEN ele IS NOT NULL THEN concat('<ele>', printf('%.1f', ele), '</ele>') ELSE '' END, '</trkpt>'), '' ORDER BY seq), '</trkseg></trk></gpx>') AS gpx FROM points GROUP BY slug"""
 query("s5_render_gpx", _TEXT, "points")(lambda spark, read: gpx.render(read("points")))
 query("s2_parse_gpx", "SELECT slug, CAST(0 AS INT) AS track_no, slug AS name, seq, round(lon, 7) AS lon, round(lat, 7) AS lat, ele FROM points", "points")(lambda spark, read: gpx.parse(gpx.render(read("points"))).select("slug", "track_no", "name", "seq", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "ele"))
-query("s3_routes", "SELECT slug, count(DISTINCT 0) AS n_routes, count(*) AS main_points FROM points GROUP BY slug", "points")(lambda spark, read: gpx.parse(gpx.render(read("points"))).groupBy("slug").agg(F.countDistinct("track_no").alias("n_routes"), F.count_if(F.col("track_no") == 0).alias("main_points")))
+_PT = lambda tag: f"concat('<{tag} lat=\"', printf('%.7f', lat), '\" lon=\"', printf('%.7f', lon), '\">', CASE WHEN ele IS NOT NULL THEN concat('<ele>', printf('%.1f', ele), '</ele>') ELSE '' END, '</{tag}>')"
+
+
+def rich_gpx(points):
+    """(slug, gpx): a waypoint, a main track of two segments, for some a second track, an empty one and a route; some documents are cut."""
+    tagged = lambda tag: F.concat(F.lit(f'<{tag} lat="'), F.format_string("%.7f", "lat"), F.lit('" lon="'), F.format_string("%.7f", "lon"), F.lit('">'), F.when(F.col("ele").isNull(), "").otherwise(F.concat(F.lit("<ele>"), F.format_string("%.1f", "ele"), F.lit("</ele>"))), F.lit(f"</{tag}>"))
+    made = points.groupBy("slug", "user_id").agg(F.array_sort(F.collect_list(F.struct("seq", tagged("trkpt").alias("t"), tagged("rtept").alias("r")))).alias("p"))
+    part = lambda lo, n, c: F.array_join(F.transform(F.slice("p", lo, n), lambda x: x[c]), "")
+    half = (F.size("p") / 2).cast("int")
+    main = F.concat(F.lit('<gpx version="1.1"><metadata><name>doc</name></metadata><wpt lat="1" lon="2"><name>w</name></wpt><trk><trkseg>'), part(F.lit(1), half, "t"), F.lit("</trkseg><trkseg>"), part(half + 1, F.size("p"), "t"), F.lit("</trkseg></trk>"))
+    more = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("<trk><name>none</name></trk><trk><name> Second </name><trkseg>"), part(F.lit(1), F.lit(3), "t"), F.lit("</trkseg></trk>"))).otherwise("")
+    route = F.when(F.col("user_id") % 3 < 2, F.concat(F.lit("<rte><name></name>"), part(F.lit(2), F.lit(2), "r"), F.lit("</rte><rte/>"))).otherwise("")
+    whole = F.concat(main, more, route, F.lit("</gpx>"))
+    return made.select("slug", F.when(F.col("user_id") % 11 == 10, F.substring(whole, 1, 200)).when(F.col("user_id") % 11 == 9, "").otherwise(whole).alias("gpx"))
+
+
+_RICH = """, rp AS (SELECT slug, user_id, seq, count(*) OVER (PARTITION BY slug) AS n FROM points WHERE user_id % 11 < 9),
+rr AS (SELECT slug, 0 AS track_no, 'doc' AS name, seq FROM rp UNION ALL SELECT slug, 1, 'Second', seq FROM rp WHERE user_id % 3 = 0 AND seq < 3 UNION ALL SELECT slug, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END, 'doc', seq - 1 FROM rp WHERE user_id % 3 < 2 AND seq BETWEEN 1 AND 2)"""
+query("s2b_parse_rich_gpx", _RICH + " SELECT slug, CAST(track_no AS INT) AS track_no, name, CAST(seq AS INT) AS seq FROM rr", "points")(lambda spark, read: gpx.parse(rich_gpx(read("points"))).select("slug", "track_no", "name", "seq"))
+query("s3_routes", _RICH + " SELECT slug, count(DISTINCT track_no) AS n_routes, count(*) FILTER (WHERE track_no = 0) AS main_points FROM rr GROUP BY slug", "points")(lambda spark, read: gpx.parse(rich_gpx(read("points"))).groupBy("slug").agg(F.countDistinct("track_no").alias("n_routes"), F.count_if(F.col("track_no") == 0).alias("main_points")))
+query("s5b_render_named", _TEXT.replace("'</name>'", "' &amp; back</name>'"), "points")(lambda spark, read: gpx.render(read("points").withColumn("title", F.concat("slug", F.lit(" & back"))), name="title"))
+
+
+@query("s4_gpx_folder", "SELECT slug, seq, round(lon, 7) AS lon, round(lat, 7) AS lat, ele FROM points", "points")
+def _(spark, read):
+    path = scratch.fresh_path(spark, "gpx-folder")
+    gpx.write_files(gpx.render(read("points")), path)
+    points = gpx.parse(gpx.read_files(spark, path))
+    return points.select(F.regexp_extract("source_path", "slug=([^/]+)/", 1).alias("slug"), "seq", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "ele")

@@ -2,41 +2,80 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkspark.operators import tracks
-from walkspark.operators.pages import parse_walks
-from walkspark.operators.store import valid
+from walkspark.operators.pages import parse_pages, parse_walks
+from walkspark.operators.store import replace_children, set_apart, upsert, valid, valid_food, valid_variations
 from walkspark.sources.gpx import parse
+from walkspark.sources.scratch import stored
+
+KEYS = ["source", "slug"]
 
 
-def geometry(gpx: DataFrame) -> DataFrame:
-    """(slug, has_points, route_count, start and finish, km, ascent_m, has_elevation) of each document's main track.
+def geometry(gpx: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """(slug, route_count, start and finish, km, ascent_m, has_elevation, backfilled) of each document's main track.
 
-    The ends are kept for tracks outside Great Britain and of one point, whose lengths stay null."""
+    heights: (lat_key, lon_key, height) for points without one. A track that they complete is backfilled; one that they leave
+    gaps in has no figures, as have tracks outside Great Britain and of one point. The ends are kept for all."""
     points = parse(gpx)
     main = points.filter("track_no = 0")
-    ends = main.groupBy("slug").agg(F.min_by(F.struct("lon", "lat"), "seq").alias("a"), F.max_by(F.struct("lon", "lat"), "seq").alias("b"))
-    routes = points.groupBy("slug").agg(F.countDistinct("track_no").cast("int").alias("route_count"))
-    stats = tracks.describe(tracks.projected(main)).select("slug", "km", "ascent_m", "has_elevation")
-    made = routes.join(ends, "slug").join(stats, "slug", "left")
-    return made.select("slug", "route_count", F.col("a.lon").alias("start_lon"), F.col("a.lat").alias("start_lat"), F.col("b.lon").alias("finish_lon"), F.col("b.lat").alias("finish_lat"), "km", "ascent_m", "has_elevation")
+    first = F.col("track_no") == 0
+    ends = points.groupBy("slug").agg(
+        (F.max("track_no") + 1).cast("int").alias("route_count"), F.min_by(F.struct("lon", "lat"), F.when(first, F.col("seq"))).alias("a"), F.max_by(F.struct("lon", "lat"), F.when(first, F.col("seq"))).alias("b"),
+        F.bool_or(first & F.col("ele").isNull()).alias("gaps"),
+    )
+    whole = main if heights is None else tracks.filled(main, heights)
+    stats = tracks.describe(tracks.projected(whole)).select("slug", "km", "ascent_m", "has_elevation")
+    made = ends.join(stats, "slug", "left")
+    asked = F.col("gaps") & F.lit(heights is not None)
+    known = lambda c: F.when(~asked | F.col("has_elevation"), F.col(c)).alias(c)
+    return made.select("slug", "route_count", F.col("a.lon").alias("start_lon"), F.col("a.lat").alias("start_lat"), F.col("b.lon").alias("finish_lon"), F.col("b.lat").alias("finish_lat"), known("km"), known("ascent_m"), known("has_elevation"), F.coalesce(asked & F.col("has_elevation"), F.lit(False)).alias("backfilled"))
+
+
+@dataclass
+class Ingested:
+    """walks: every ref with status, reason, mismatch and backfilled; children of the walks that were ingested; bad children."""
 
+    walks: DataFrame
+    variations: DataFrame
+    food_stops: DataFrame
+    bad_variations: DataFrame
+    bad_food_stops: DataFrame
 
-def ingest(refs: DataFrame, raw: DataFrame, gpx: DataFrame, tolerance: float = 0.10) -> DataFrame:
-    """refs' walks with geometry attached, `status` (failed, without_gpx, geometry_failed, ingested), `reason` and `mismatch`.
 
-    Nothing raises in a task: a page that is missing or breaks a bound is failed, a bad track leaves the walk with null lengths.
-    Lengths are rounded to two places after they are compared with the published ones."""
-    walks, _, _ = parse_walks(refs, raw)
-    made = refs.select("slug").join(valid(walks), "slug", "left").join(gpx.select("slug", (F.length("gpx") > 0).alias("has_gpx")), "slug", "left").join(geometry(gpx), "slug", "left")
+def ingest(refs: DataFrame, raw: DataFrame, gpx: DataFrame, tolerance: float = 0.10, limit: int | None = None, heights: DataFrame | None = None, order: str = "listed") -> Ingested:
+    """Parse, check and measure the walks of refs; `status` is failed, without_gpx, geometry_failed or ingested.
+
+    limit: only the first refs by `order`. Nothing raises in a task: a page that is missing or breaks a bound is failed, a bad
+    track leaves the walk with null lengths. Lengths are rounded to two places after they are compared with the published
+    ones. Pages are parsed once, into a table that the three outputs read."""
+    if limit is not None:
+        refs = refs.orderBy(order, "slug").limit(limit)
+    parts = stored(parse_pages(raw.join(refs.select("slug"), "slug", "left_semi")), "ingest-pages")
+    walks, variations, food_stops = parse_walks(refs, raw, parts)
+    made = refs.select("slug").join(valid(walks), "slug", "left").join(gpx.select("slug", (F.length("gpx") > 0).alias("has_gpx")), "slug", "left").join(geometry(gpx, heights), "slug", "left")
     failed = F.col("title").isNull() | F.col("reason").isNotNull()
     status = F.when(failed, "failed").when(~F.coalesce("has_gpx", F.lit(False)), "without_gpx").when(F.col("km").isNull(), "geometry_failed").otherwise("ingested")
     apart = F.abs(F.col("km") - F.col("published_distance_km")) / F.col("published_distance_km") > tolerance
-    return made.withColumns({"status": status, "mismatch": F.coalesce(apart, F.lit(False)), "computed_distance_km": F.bround("km", 2), "computed_ascent_m": F.bround("ascent_m", 0)}).drop("km", "ascent_m", "has_gpx")
+    made = made.withColumns({"status": status, "mismatch": F.coalesce(apart & ~failed, F.lit(False)), "backfilled": F.coalesce("backfilled", F.lit(False)) & ~failed, "computed_distance_km": F.bround("km", 2), "computed_ascent_m": F.bround("ascent_m", 0)})
+    made = stored(made.drop("km", "ascent_m", "has_gpx"), "ingest-walks")
+    kept = made.filter("status <> 'failed'").select("source", "slug")
+    v, bad_v = set_apart(valid_variations(variations.join(kept, "slug")))
+    f, bad_f = set_apart(valid_food(food_stops.join(kept, "slug")))
+    return Ingested(made, v, f, bad_v, bad_f)
+
+
+def report(walks: DataFrame) -> DataFrame:
+    """One row of counts. All walks but the failed ones are in the store, so `stored` is what the reference to a run calls ingested."""
+    return walks.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "failed").alias("stored"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "failed", "without_gpx", "geometry_failed")], F.count_if("backfilled").alias("backfilled"), F.count_if("mismatch").alias("mismatches"))
 
 
-def report(ingested: DataFrame) -> DataFrame:
-    """One row of counts."""
-    return ingested.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "failed", "without_gpx", "geometry_failed")], F.count_if("mismatch").alias("mismatches"))
+def update(store: tuple[DataFrame, DataFrame, DataFrame], new: Ingested) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walks, variations, food stops) of a store with the new walks in place of those of equal keys; their children are replaced whole."""
+    walks, variations, food_stops = store
+    fresh = new.walks.filter("status <> 'failed'").drop("reason", "status", "mismatch", "backfilled")
+    return upsert(walks, fresh.withColumn("_version", F.lit(0)), KEYS, "_version"), replace_children(variations, new.variations, fresh, KEYS), replace_children(food_stops, new.food_stops, fresh, KEYS)

@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkspark.functions import text as tx
-from walkspark.jobs.catalogue import _G, ORACLES, QUERIES, query
-from walkspark.jobs.ingest import ingest, report
+from walkspark.jobs.catalogue import _ASC, _BNG, ORACLES, QUERIES, query
+from walkspark.jobs.ingest import ingest, report, update
 from walkspark.operators import pages
 from walkspark.sources import gpx
-from walkspark.sources.tables import domain
 
 
 def _cell(value, data=None):
@@ -24,15 +23,16 @@ def _text(column):
 
 
 def index_pages(walks: DataFrame) -> DataFrame:
-    """(page): index pages of up to 500 rows each."""
+    """(p, page): index pages of up to 500 rows each, numbered; rows by k."""
     km = F.coalesce(F.format_string("%.2f", "published_distance_km"), F.lit("?"))
     cells = [
         _cell(F.concat(F.lit("<b>"), "region", F.lit("</b>"))), _cell(F.lit(""), F.concat(F.lit("1 "), F.array_join("tags", ", "))), _cell(F.lit(""), F.concat(F.lit("w"), F.col("k") % 90, F.lit("."), "k")),
         _cell(F.concat(F.lit('<a href="/walk/'), "slug", F.lit('/">'), "title", F.lit("</a>")), F.col("title")), _cell(F.when(F.col("published_distance_km").isNull(), "?").otherwise(km)), _cell(_text("toughness")),
         _cell(F.format_string("%.0f", "published_ascent_m"), F.lit("999")), _cell(F.concat(F.lit("Up &amp; down from&nbsp;"), "region")), _cell(F.lit(""), F.array_join("london_departure_crs", " ")),
     ]
-    rows = walks.select(F.floor(F.col("k") / 500).alias("p"), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("row"))
-    return rows.groupBy("p").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list("row"), "\n"), F.lit("</table>")).alias("page")).select("page")
+    rows = walks.select(F.floor(F.col("k") / 500).alias("p"), F.struct("k", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("row")).alias("r"))
+    ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"])  # at most 500 rows
+    return rows.groupBy("p").agg(F.concat(F.lit("<table>"), F.array_join(ordered, "\n"), F.lit("</table>")).alias("page"))
 
 
 def route_pages(walks: DataFrame, variations: DataFrame, food_stops: DataFrame) -> DataFrame:
@@ -83,22 +83,61 @@ def _(spark, read):
     return walks.select("slug", "source_id", "title", "summary", F.col("published_distance_km").alias("km"), F.col("published_duration_min").alias("minutes"), "toughness", "start_crs", "finish_crs", F.col("seeded_journey_minutes").alias("journey"))
 
 
-# ingest: tracks belong to the walks of the same number
-_INGEST = """, ln AS (SELECT slug, sum(step) / 1000 AS km FROM st GROUP BY slug HAVING count(*) >= 2), np AS (SELECT slug, count(*) AS n FROM points GROUP BY slug),
-ing AS (SELECT w.slug, published_distance_km, km, CASE WHEN np.n IS NULL THEN 'without_gpx' WHEN km IS NULL THEN 'geometry_failed' ELSE 'ingested' END AS status, coalesce(abs(km - round(published_distance_km, 2)) / round(published_distance_km, 2) > 0.1, false) AS mismatch
-FROM walks w LEFT JOIN np ON np.slug = concat('track-', w.k) LEFT JOIN ln ON ln.slug = np.slug) """
+_VARIATIONS = """, vs AS (SELECT slug, 0 AS r, 0 AS p, 'Short Walk, by the lake' AS label, 'shortcut' AS kind, 4.5 AS distance_km, 'structured' AS provenance FROM walks WHERE published_distance_km IS NOT NULL
+UNION ALL SELECT v.slug, 1, v.position, v.label, CASE WHEN v.distance_km IS NULL THEN 'pub_detour' ELSE 'shortcut' END, round(v.distance_km, 1), 'heuristic' FROM variations v JOIN walks ON walks.slug = v.slug),
+va AS (SELECT slug, CAST(row_number() OVER (PARTITION BY slug ORDER BY r, p) - 1 AS INT) AS position, label, kind, distance_km, provenance FROM vs) """
+_parsed = lambda read: pages.parse_walks(pages.listing(index_pages(read("walks"))), _pages(read))
+query("p8b_page_variations", _VARIATIONS + "SELECT * FROM va", "walks", "variations")(lambda spark, read: _parsed(read)[1].drop("note"))
+query("p8c_page_food", _FOOD + "SELECT * FROM fo", "walks", "food_stops")(lambda spark, read: _parsed(read)[2].select("slug", "position", "role", "name", "phone", "hours_note", "position_km"))
+
+# ingest: tracks belong to the walks of the same number. Some pages are missing, some break a bound, some tracks are cut
+# short, and some heights are known for points without one
+_INGEST = (
+    """, hk AS (SELECT DISTINCT printf('%.6f', lat) AS a, printf('%.6f', lon) AS b FROM points WHERE ele IS NULL AND user_id % 8 IN (0, 1)),
+ins AS (SELECT slug, seq, lon, lat, coalesce(ele, CASE WHEN concat(printf('%.6f', lat), ' ', printf('%.6f', lon)) IN (SELECT concat(a, ' ', b) FROM hk) THEN 7.5 END) AS ele FROM points WHERE slug NOT IN (SELECT slug FROM points WHERE NOT (lon BETWEEN -9.0 AND 2.5 AND lat BETWEEN 49.5 AND 61.5)))"""
+    + _BNG
+    + _ASC
+    + """, ln AS (SELECT slug, sum(step) / 1000 AS km FROM st GROUP BY slug), gp AS (SELECT slug, bool_or(ele IS NULL) AS gaps FROM points GROUP BY slug),
+i0 AS (SELECT w.slug, w.k, published_distance_km AS pub, (k % 13 = 0 OR k % 13 = 1 AND toughness IS NOT NULL) AS failed, gp.slug IS NOT NULL AS has_gpx, k % 5 <> 2 AND asc_.slug IS NOT NULL AND (NOT gaps OR asc_.has_elevation) AS measured, k % 5 <> 2 AND gaps AND coalesce(asc_.has_elevation, false) AS filled, ln.km, ascent_m, asc_.has_elevation
+FROM walks w LEFT JOIN gp ON gp.slug = concat('track-', w.k) LEFT JOIN ln ON ln.slug = gp.slug LEFT JOIN asc_ ON asc_.slug = gp.slug),
+ing AS (SELECT slug, k, CASE WHEN failed THEN 'failed' WHEN NOT has_gpx THEN 'without_gpx' WHEN coalesce(measured, false) THEN 'ingested' ELSE 'geometry_failed' END AS status, CASE WHEN measured THEN km END AS km, CASE WHEN measured THEN ascent_m END AS ascent_m, CASE WHEN measured THEN has_elevation END AS has_elevation,
+coalesce(filled, false) AND NOT failed AS backfilled, coalesce(CASE WHEN measured THEN abs(km - round(pub, 2)) / round(pub, 2) > 0.1 END, false) AND NOT failed AS mismatch FROM i0) """
+)
+
+
+def _ingested(spark, read, limit=None):
+    walks, points = read("walks"), read("points")
+    whole = _pages(read).withColumn("k", F.substring("slug", 6, 20).cast("long")).filter("k % 13 <> 0")
+    raw = whole.select("slug", F.when(F.col("k") % 13 == 1, F.regexp_replace("page", r"\d+ out of 10", "11 out of 10")).otherwise(F.col("page")).alias("page"))
+    tracks_ = gpx.render(points).withColumn("k", F.substring("slug", 7, 20).cast("long"))
+    tracks_ = tracks_.select(F.concat(F.lit("walk-"), "k").alias("slug"), F.when(F.col("k") % 5 == 2, F.substring("gpx", 1, 150)).otherwise(F.col("gpx")).alias("gpx"))
+    heights = points.filter("ele IS NULL AND user_id % 8 IN (0, 1)").select(F.format_string("%.6f", "lat").alias("lat_key"), F.format_string("%.6f", "lon").alias("lon_key"), F.lit(7.5).alias("height"))
+    return ingest(pages.listing(index_pages(walks), number="p"), raw, tracks_, heights=heights, limit=limit)
+
+
+def _ingest_query(name, sql, f, *tables):
+    query(name, _INGEST + sql, "walks", "points", *tables)(lambda spark, read: f(_ingested(spark, read), read))
 
 
-def _ingested(spark, read):
-    walks = read("walks")
-    tracks_ = gpx.render(read("points")).select(F.concat(F.lit("walk-"), F.substring("slug", 7, 20)).alias("slug"), "gpx")
-    return ingest(pages.listing(index_pages(walks)), _pages(read), tracks_)
+_ingest_query("i1_ingest", "SELECT slug, status, round_even(km, 2) AS computed_km FROM ing", lambda x, read: x.walks.select("slug", "status", F.col("computed_distance_km").alias("computed_km")))
+_ingest_query("i1b_children", _VARIATIONS + ", " + _FOOD.strip()[1:] + " SELECT slug, position, label AS name, kind, 'variation' AS child FROM va WHERE slug IN (SELECT slug FROM ing WHERE status <> 'failed') UNION ALL SELECT slug, position, name, role, 'food' FROM fo WHERE slug IN (SELECT slug FROM ing WHERE status <> 'failed')", lambda x, read: x.variations.select("slug", "position", F.col("label").alias("name"), "kind", F.lit("variation").alias("child")).union(x.food_stops.select("slug", "position", "name", "role", F.lit("food"))), "variations", "food_stops")
+query("i1c_limit", "SELECT slug, CASE WHEN k % 13 = 0 OR k % 13 = 1 AND toughness IS NOT NULL THEN 1 ELSE 0 END AS failed FROM walks ORDER BY k LIMIT 100", "walks")(lambda spark, read: _ingested(spark, read, limit=100).walks.select("slug", (F.col("status") == "failed").cast("int").alias("failed")))
 
 
-query("i1_ingest", _G + _INGEST + "SELECT slug, status, round_even(km, 2) AS computed_km FROM ing", "walks", "points")(lambda spark, read: _ingested(spark, read).select("slug", "status", F.col("computed_distance_km").alias("computed_km")))
-query("i2_failures", _G + _INGEST + "SELECT status, count(*) AS n FROM ing GROUP BY status", "walks", "points")(lambda spark, read: _ingested(spark, read).groupBy("status").agg(F.count("*").alias("n")))
-query("i4_mismatch", _G + _INGEST + "SELECT slug, mismatch FROM ing WHERE mismatch", "walks", "points")(lambda spark, read: _ingested(spark, read).filter("mismatch").select("slug", "mismatch"))
-query("i5_report", _G + _INGEST + "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ingested') AS ingested, 0 AS failed, count(*) FILTER (WHERE status = 'without_gpx') AS without_gpx, count(*) FILTER (WHERE status = 'geometry_failed') AS geometry_failed, count(*) FILTER (WHERE mismatch) AS mismatches FROM ing", "walks", "points")(lambda spark, read: report(_ingested(spark, read)))
+def _updated(new, read):
+    """A store of the even walks, each with a child of its own, after the ingest."""
+    old = read("walks").filter("k % 2 = 0").select(F.lit("catalogue").alias("source"), "slug", F.lit("old").alias("title"))
+    child = old.select("source", "slug", F.lit(0).alias("position"), F.lit("old").alias("label"))
+    walks, variations, _ = update((old, child, child.withColumnRenamed("label", "name")), new)
+    n = variations.groupBy("slug").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "old").alias("n_old"))
+    return walks.join(n, "slug", "left").select("slug", (F.col("title") == "old").alias("old"), F.coalesce("n", F.lit(0)).alias("n_variations"), F.coalesce("n_old", F.lit(0)).alias("n_old"))
+
+
+_ingest_query("i1d_update", _VARIATIONS + ", vn AS (SELECT slug, count(*) AS n FROM va GROUP BY slug) SELECT ing.slug, status = 'failed' AS old, CASE WHEN status = 'failed' THEN 1 ELSE coalesce(n, 0) END AS n_variations, CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS n_old FROM ing LEFT JOIN vn ON vn.slug = ing.slug WHERE status <> 'failed' OR k % 2 = 0", _updated, "variations")
+_ingest_query("i2_failures", "SELECT status, count(*) AS n FROM ing GROUP BY status", lambda x, read: x.walks.groupBy("status").agg(F.count("*").alias("n")))
+_ingest_query("i3_geometry", "SELECT slug, round_even(km, 2) AS computed_km, CAST(round_even(ascent_m, 0) AS DOUBLE) AS ascent_m, has_elevation FROM ing WHERE km IS NOT NULL", lambda x, read: x.walks.filter("computed_distance_km is not null").select("slug", F.col("computed_distance_km").alias("computed_km"), F.col("computed_ascent_m").cast("double").alias("ascent_m"), "has_elevation"))
+_ingest_query("i4_mismatch", "SELECT slug, mismatch FROM ing WHERE mismatch", lambda x, read: x.walks.filter("mismatch").select("slug", "mismatch"))
+_ingest_query("i5_report", "SELECT count(*) AS total, count(*) FILTER (WHERE status <> 'failed') AS stored, count(*) FILTER (WHERE status = 'ingested') AS ingested, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'without_gpx') AS without_gpx, count(*) FILTER (WHERE status = 'geometry_failed') AS geometry_failed, count(*) FILTER (WHERE backfilled) AS backfilled, count(*) FILTER (WHERE mismatch) AS mismatches FROM ing", lambda x, read: report(x.walks))
 
 # phrases
 _N = "CAST(p_size AS INT) + 1"
@@ -127,22 +166,18 @@ _phrases("t8_journey", [_q(x) for x in ("Journey time is about {n} minutes.", "j
 _phrases("t9_toughness", [_q(x) for x in ("7 out of 10", "3/10", "10 / 10", "hard")], ["7", "3", "10", "NULL"], "INT", tx.toughness)
 _phrases("t10_stations", [_q(x) for x in ('<a data-to="abc" class="x" data-from="London">', '<a data-from="abc" data-to="London">')], ["'ABC'", "NULL"], "VARCHAR", lambda t: tx.station(t, True))
 _phrases("t11_gpx_link", [_q(x) for x in ('<a href="auto/{n}.gpx"><a href="main{n}.gpx">', '<a href="/d/{n}.gpx">', '<a href="auto/{n}.gpx">', '<a href="https://o.example/{n}.gpx">', "none")], ["'https://w.example/walk/a/main' || n || '.gpx'", "'https://w.example/d/' || n || '.gpx'", "'https://w.example/walk/a/auto/' || n || '.gpx'", "'https://o.example/' || n || '.gpx'", "NULL"], "VARCHAR", lambda t: tx.gpx_link(t, F.lit("https://w.example/walk/a/")))
-_phrases("t12_option_words", [_q(x) for x in ("a Short walk", "flat and easy", "with an extension", "options abound")], ["true", "false", "true", "true"], "BOOLEAN", tx.has_option_word)
+_phrases("t12_option_words", [_q(x) for x in ("a Short walk", "flat and easy", "with an extension", "options abound", "an option of {n} km", "a variation", "the early train", "Returning via the mill", "return to the mill", "cut across the heath", "cutting across", "take the bus back", "train back home", "shortened by {n} km")], ["true", "false", "false", "false", "true", "true", "true", "true", "false", "true", "false", "true", "true", "false"], "BOOLEAN", tx.has_option_word)
 _phrases("t14_all_lengths", [_q(x) for x in ("At {n} km take the bus, or a walk of 9 km", "a walk of {n} km or a route of {m} km", "shorten it by 3 km or cut 4 km off", "shorten by 900 km")], ["n || '.0'", "n || '.0,' || (n + 5) || '.0'", "'17.0,16.0'", "''"], "VARCHAR", lambda t: F.array_join(F.transform(tx.all_lengths(t, F.lit(20.0)), lambda x: x.cast("string")), ","))
 _phrases("t1_text_of", [_q(x) for x in ("<b>{n}¼</b> km &amp; more", "  a<br>b&nbsp;c ", "&lt;p&gt; ½ mile", "")], ["n || '.25 km & more'", "'a b c'", "'<p> 0.5 mile'", "''"], "VARCHAR", tx.text_of)
 _phrases("t2_paragraphs", [_q(x) for x in ("<p>one {n}</p><p> </p><li>two", "a<br/>b", "")], ["'one ' || n || '|two'", "'a|b'", "''"], "VARCHAR", lambda t: F.array_join(tx.paragraphs_of(t), "|"))
 
 
-def _t13(spark, sf_dir):
-    walks = domain(spark, sf_dir, "walks")
-    body = F.concat(F.lit("<tr><th>Walk Options</th><td>Take the low road for "), F.col("k") % 9 + 3, F.lit(" km. Or stay. <li>A walk of <b>8.5 km</b> by the lake</td></tr>"))
-    options = F.regexp_extract_all(body, F.lit(r"(?is)<th[^>]*>\s*(?:walk options|walk notes|options|shortcuts?)\s*</th>\s*<td[^>]*>(.*?)</td>"), F.lit(1))
-    parts = walks.select("slug", F.explode(options).alias("b")).select("slug", F.explode(F.split("b", r"(?i)(?<=[.!?])\s+(?=[A-Z<])|<(?:li|br|p)\b[^>]*>")).alias("s"))
-    return parts.select("slug", tx.text_of("s").alias("sentence")).filter(F.col("sentence").rlike(f"(?i){tx.KM}"))
+@query("t13_option_sentences", "SELECT slug, 0 AS sentence_no, concat('Take the low road for ', k % 9 + 3, ' km.') AS sentence FROM walks UNION ALL SELECT slug, 1, 'A walk of 8.5 km by the lake' FROM walks", "walks")
+def _(spark, read):
+    row = F.concat(F.lit("<table><tr><th>Lunch</th><td>At 5 km</td></tr><tr><th>Walk Options</th><td>Take the low road for "), F.col("k") % 9 + 3, F.lit(" km. Or stay. <li>A walk of <b>8.5 km</b> by the lake</td></tr></table>"))
+    return pages.option_sentences(read("walks").select("slug", row.alias("page")))
 
 
-QUERIES["t13_option_sentences"] = _t13
-query("s1_read_pages", "SELECT page_id, length(html) AS n_chars FROM pages")(lambda spark, read: None)
-QUERIES["s1_read_pages"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length("html").cast("long").alias("n_chars"))
-query("t13_option_sentences", "SELECT slug, concat('Take the low road for ', k % 9 + 3, ' km.') AS sentence FROM walks UNION ALL SELECT slug, 'A walk of 8.5 km by the lake' FROM walks", "walks")(lambda spark, read: None)
-QUERIES["t13_option_sentences"] = _t13
+@query("s1_read_pages", "SELECT page_id, url, html FROM pages")
+def _(spark, read):
+    return read("pages").select("page_id", "url", "html")

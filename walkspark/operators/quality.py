@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walkspark.functions.text import all_lengths, has_option_word
 from walkspark.operators.search import DISTANCE, best
 
 
 def coverage(walks: DataFrame) -> DataFrame:
     """One row a source: walks, how many have each fact, and percentages; one pass."""
-    have = {"computed_distance": "computed_distance_km", "computed_ascent": "computed_ascent_m", "seeded_journey": "seeded_journey_minutes", "start_point": "start_lat", "toughness": "toughness"}
-    counts = [F.count(c).alias(f"n_{n}") for n, c in have.items()]
+    have = {"gpx": "gpx_path", "computed_distance": "computed_distance_km", "computed_ascent": "computed_ascent_m", "seeded_journey": "seeded_journey_minutes", "start_crs": "start_crs", "start_point": "start_lat", "directions": "directions", "toughness": "toughness"}
+    have = {n: F.col(c).isNotNull() for n, c in have.items()} | {"elevation": F.col("has_elevation")}
+    counts = [F.count_if(c).alias(f"n_{n}") for n, c in have.items()]
     made = walks.groupBy("source").agg(F.count("*").alias("n_walks"), *counts)
     return made.select("*", *[F.round(100 * F.col(f"n_{n}") / F.col("n_walks"), 4).alias(f"pct_{n}") for n in have])
 
@@ -48,23 +50,31 @@ def station_group(codes: str = "london_departure_crs") -> Column:
     return F.coalesce(*[F.when(F.arrays_overlap(codes, F.array(*[F.lit(s) for s in stations])), name) for name, stations in GROUPS], F.lit("other"))
 
 
-def feasibility(walks: DataFrame, variations: DataFrame, max_km: float = 13.0, least_km: float = 3.0) -> DataFrame:
-    """For each station group: walks, those short enough, longer ones with an option of plausible length, and both."""
-    options = variations.filter(F.col("distance_km").between(least_km, max_km)).select("slug").distinct().withColumn("shortenable", F.lit(True))
-    rows = walks.filter(best(DISTANCE).isNotNull()).select("slug", station_group().alias("station_group"), (best(DISTANCE) <= max_km).alias("short")).join(options, "slug", "left")
+def derived_lengths(walks: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(slug, sentence_no, n, option_km, sentence): every length that a walk's option sentences (slug, sentence_no, sentence) state or imply."""
+    known = sentences.join(walks.filter("published_distance_km is not null").select("slug", "published_distance_km"), "slug")
+    return known.select("slug", "sentence_no", F.posexplode(all_lengths(F.col("sentence"), F.col("published_distance_km"))).alias("n", "option_km"), "sentence")
+
+
+def feasibility(walks: DataFrame, derived: DataFrame, max_km: float = 13.0, least_km: float = 3.0) -> DataFrame:
+    """For each station group: walks of known published length, those short enough, longer ones whose summary speaks of
+    options (the sniff), longer ones with a derived length in reach, and the short and shortenable ones together."""
+    options = derived.filter(F.col("option_km").between(least_km, max_km)).select("slug").distinct().withColumn("shortenable", F.lit(True))
+    short = F.col("published_distance_km") <= max_km
+    rows = walks.filter("published_distance_km is not null").select("slug", station_group().alias("station_group"), short.alias("short"), F.coalesce(has_option_word(F.col("summary")), F.lit(False)).alias("sniff")).join(options, "slug", "left")
     longer = ~F.col("short") & F.coalesce("shortenable", F.lit(False))
-    made = rows.groupBy("station_group").agg(F.count("*").alias("n_walks"), F.count_if("short").alias("n_short"), F.count_if(longer).alias("n_shortenable"))
+    made = rows.groupBy("station_group").agg(F.count("*").alias("n_walks"), F.count_if("short").alias("n_short"), F.count_if(~F.col("short") & F.col("sniff")).alias("n_sniff"), F.count_if(longer).alias("n_shortenable"))
     every = walks.sparkSession.createDataFrame([(n,) for n in [*[g for g, _ in GROUPS], "other"]], "station_group string")
     out = every.join(made, "station_group", "left").fillna(0)
     return out.withColumn("n_feasible", F.col("n_short") + F.col("n_shortenable"))
 
 
-def best_options(walks: DataFrame, variations: DataFrame, max_km: float = 13.0, least_km: float = 3.0) -> DataFrame:
-    """The shortest plausible option of each walk that is too long; the first of equal ones."""
-    long_ones = walks.filter(best(DISTANCE) > max_km).select("slug")
-    plausible = variations.filter(F.col("distance_km").between(least_km, max_km)).join(long_ones, "slug")
-    made = plausible.groupBy("slug").agg(F.min(F.struct("distance_km", "position", "label")).alias("b"))
-    return made.select("slug", F.col("b.distance_km").alias("option_km"), F.col("b.position").alias("position"), F.col("b.label").alias("label"))
+def best_options(walks: DataFrame, derived: DataFrame, max_km: float = 13.0, least_km: float = 3.0) -> DataFrame:
+    """The shortest plausible derived length of each walk that is too long, with its sentence; the first of equal ones."""
+    long_ones = walks.filter(F.col("published_distance_km") > max_km).select("slug")
+    plausible = derived.filter(F.col("option_km").between(least_km, max_km)).join(long_ones, "slug", "left_semi")
+    made = plausible.groupBy("slug").agg(F.min(F.struct("option_km", "sentence_no", "n", "sentence")).alias("b"))
+    return made.select("slug", F.col("b.option_km").alias("option_km"), F.col("b.sentence_no").alias("sentence_no"), F.col("b.sentence").alias("sentence"))
 
 
 def departures(walks: DataFrame) -> DataFrame:
@@ -73,21 +83,23 @@ def departures(walks: DataFrame) -> DataFrame:
 
 
 def grounding(expected: DataFrame, walks: DataFrame, variations: DataFrame, food_stops: DataFrame) -> DataFrame:
-    """One row a walk and check: length within tolerance, a terminus, options, food, phone, journey time.
+    """One row a walk and check: length within tolerance, a terminus, the start station, options, food, phone, journey time.
 
     Children are reduced to the expected walks before they are grouped."""
     keys = expected.select("slug")
     v = variations.join(keys, "slug", "left_semi").groupBy("slug").agg(F.count("*").alias("n_variations"))
     f = food_stops.join(keys, "slug", "left_semi").groupBy("slug").agg(F.collect_set(F.lower("name")).alias("names"), F.count("phone").alias("n_phones"))
+    expected = expected.withColumnRenamed("start_crs", "start_wanted")
     rows = expected.join(walks, "slug", "left").join(v, "slug", "left").join(f, "slug", "left")
     checks = {
         "distance": F.abs(F.col("computed_distance_km") - F.col("published_km")) <= F.col("tolerance") * F.col("published_km"),
         "terminus": F.arrays_overlap("crs_any", "london_departure_crs"),
+        "start": F.col("start_crs") == F.col("start_wanted"),
         "variations": F.coalesce("n_variations", F.lit(0)) >= F.col("variations_min"),
         "food": F.forall("food_names", lambda x: F.exists(F.coalesce("names", F.array()), lambda y: F.contains(y, F.lower(x)))),
         "phone": ~F.col("need_phone") | (F.coalesce("n_phones", F.lit(0)) > 0),
         "journey": F.col("seeded_journey_minutes").between(F.col("journey_lo"), F.col("journey_hi")),
     }
-    wanted = {"distance": "published_km", "terminus": "crs_any", "variations": "variations_min", "food": "food_names", "phone": "need_phone", "journey": "journey_lo"}
+    wanted = {"distance": "published_km", "terminus": "crs_any", "start": "start_wanted", "variations": "variations_min", "food": "food_names", "phone": "need_phone", "journey": "journey_lo"}
     each = F.array(*[F.struct(F.lit(n).alias("check"), F.col(wanted[n]).isNotNull().alias("asked"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()])
     return rows.select("slug", F.explode(each).alias("e")).filter("e.asked").select("slug", F.col("e.check").alias("check_name"), F.col("e.passed").alias("passed"))

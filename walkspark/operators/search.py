@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,9 +34,20 @@ def from_termini(walks: DataFrame, codes: Sequence[str]) -> DataFrame:
     return walks.filter(F.arrays_overlap("london_departure_crs", F.array(*[F.lit(c.upper()) for c in codes]))) if codes else walks
 
 
+def _unaccented() -> dict[str, str]:
+    """Every lower-case letter up to U+1FFF that decomposes to one letter and accents, with that letter."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    return {c: d[0] for c, d in parts.items() if c == c.lower() and len(d) > 1 and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))}
+
+
+ACCENTS = _unaccented()
+#: Fixed value: the accents that may stand apart from their letter.
+MARKS = r"[\u0300-\u036f]"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits without accents."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.regexp_replace(F.translate(F.lower(text), "".join(ACCENTS), "".join(ACCENTS.values())), MARKS, "")
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
@@ -44,9 +57,6 @@ def matches(columns: Sequence[Column], query: str) -> Column:
     Words of one query may be found in different columns. A word without letters and digits is ignored
     beside others; a query with nothing else raises ValueError.
     """
-    import re
-    import unicodedata
-
     plain = "".join(c for c in unicodedata.normalize("NFD", query.replace('"', " ").lower()) if not unicodedata.combining(c))
     phrases = [p for p in (" ".join(re.findall(r"[^\W_]+", w)) for w in plain.split()) if p]
     if not phrases:
@@ -73,11 +83,17 @@ def find_walks(walks, min_km=None, max_km=None, max_ascent_m=None, max_toughness
     if source is not None:
         walks = walks.filter(F.col("source") == source)
     if text:
-        walks = walks.filter(matches([F.col("title"), F.col("region"), F.array_join("tags", " ")], text))
+        walks = walks.filter(matches([F.col("title"), F.col("summary"), F.col("region"), F.array_join("tags", " ")], text))
     walks = walks.orderBy(best(DISTANCE).asc_nulls_first(), "slug")
     return walks if limit is None else walks.limit(limit)
 
 
+def get_walk(walks: DataFrame, slug: str, source: str | None = None) -> DataFrame:
+    """The walk of that slug (and source), or no row; of several sources the first by name."""
+    found = walks.filter(F.col("slug") == slug)
+    return (found if source is None else found.filter(F.col("source") == source)).orderBy("source").limit(1)
+
+
 def with_variations(walks: DataFrame, variations: DataFrame) -> DataFrame:
     return walks.join(variations.select("slug").distinct(), "slug", "left_semi")
 

@@ -19,7 +19,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: s
 
 def replace_children(stored: DataFrame, incoming: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Children of the upserted parents are replaced whole, also by none."""
-    return stored.join(parents.select(*keys).distinct(), list(keys), "left_anti").unionByName(incoming)
+    return stored.join(parents.select(*keys).distinct(), list(keys), "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
 def with_columns_of(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -32,13 +32,36 @@ def to_fetch(refs: DataFrame, raw: DataFrame, force_refresh: bool = False) -> Da
     return refs if force_refresh else refs.join(raw.select("url"), "url", "left_anti")
 
 
+KINDS = ("shortcut", "extension", "alt_ending", "alt_start", "pub_detour", "other")
+
+
+def _reasons(df: DataFrame, rules: dict[str, tuple[str, object]]) -> DataFrame:
+    """df with `reason`: the first rule that a row breaks, null for good rows. Rules on columns that df lacks don't count."""
+    bad = [F.when(F.coalesce(broken(F.col(column)), F.lit(False)), name) for name, (column, broken) in rules.items() if column in df.columns]
+    return df.withColumn("reason", F.coalesce(*bad, F.lit(None).cast("string")))
+
+
+_missing, _not_above, _below = lambda c: c.isNull() | (c == ""), lambda c: c <= 0, lambda c: c < 0
+
+
 def valid(walks: DataFrame) -> DataFrame:
-    """walks with `reason`: the first bound that a row breaks, null for good rows."""
+    """walks with `reason` by the bounds of a walk: what must be there, what must be above 0, and what mustn't be below."""
     rules = {
-        "identity": F.col("slug").isNull() | (F.col("slug") == "") | (F.col("title") == ""),
-        "distance": F.col("published_distance_km") <= 0,
-        "ascent": F.col("published_ascent_m") < 0,
-        "toughness": ~F.col("toughness").between(0, 10),
-        "journey": F.col("seeded_journey_minutes") <= 0,
-    }
-    return walks.withColumn("reason", F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()]))
+        "identity": ("slug", _missing), "source": ("source", _missing), "source_id": ("source_id", _missing), "title": ("title", _missing), "url": ("url", _missing),
+        "distance": ("published_distance_km", _not_above), "ascent": ("published_ascent_m", _below), "duration": ("published_duration_min", _not_above), "toughness": ("toughness", lambda c: ~c.between(0, 10)),
+        "journey": ("seeded_journey_minutes", _not_above), "computed_distance": ("computed_distance_km", _not_above), "computed_ascent": ("computed_ascent_m", _below),
+    }
+    return _reasons(walks, rules)
+
+
+def valid_variations(variations: DataFrame) -> DataFrame:
+    return _reasons(variations, {"label": ("label", F.isnull), "kind": ("kind", lambda c: c.isNull() | ~c.isin(*KINDS)), "distance": ("distance_km", _not_above)})
+
+
+def valid_food(food_stops: DataFrame) -> DataFrame:
+    return _reasons(food_stops, {"name": ("name", F.isnull), "role": ("role", lambda c: c.isNull() | ~c.isin("lunch", "tea")), "position": ("position_km", _below)})
+
+
+def set_apart(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows with their reason)."""
+    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")

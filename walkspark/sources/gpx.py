@@ -11,7 +11,7 @@ SCHEMA = f"metadata struct<name:string>, trk array<struct<name:string,trkseg:arr
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(source_path, gpx): one row a file."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_path"), F.col("value").alias("gpx"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("source_path"), F.col("value").alias("gpx"))
 
 
 def parse(documents: DataFrame, gpx: str = "gpx") -> DataFrame:
@@ -31,10 +31,16 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def render(points: DataFrame, key: str = "slug") -> DataFrame:
-    """(key, gpx): one document of one track and segment for each key, points by seq."""
+def render(points: DataFrame, key: str = "slug", name: str | None = None) -> DataFrame:
+    """(key, gpx): one document of one track and segment for each key, points by seq. name: a column of points (default: key)."""
     ele = F.when(F.col("ele").isNull(), "").otherwise(F.concat(F.lit("<ele>"), F.format_string("%.1f", "ele"), F.lit("</ele>")))
     point = F.concat(F.lit('<trkpt lat="'), F.format_string("%.7f", "lat"), F.lit('" lon="'), F.format_string("%.7f", "lon"), F.lit('">'), ele, F.lit("</trkpt>"))
-    made = points.select(key, "seq", point.alias("p")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("ps"))
+    title = F.first(F.coalesce(F.col(name or key), F.lit("")), True).alias("title")
+    made = points.withColumn("p", point).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("ps"), title)
     body = F.array_join(F.transform("ps", lambda x: x["p"]), "")
-    return made.select(key, F.concat(F.lit('<gpx version="1.1"><trk><name>'), escaped(F.col(key)), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    return made.select(key, F.concat(F.lit('<gpx version="1.1"><trk><name>'), escaped(F.col("title")), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+
+
+def write_files(documents: DataFrame, path: str, key: str = "slug") -> None:
+    """One file a document (key, gpx), in a folder named by its key."""
+    documents.select(key, "gpx").repartition(key).write.partitionBy(key).text(path)

@@ -25,7 +25,10 @@ SELECT source, slug, source_id, title, region, tags_text, toughness, published_a
        CASE WHEN k % 10 <> 0 THEN CAST(300 + cents % 2200 AS DOUBLE) / 100 END AS published_distance_km,
        CASE WHEN k % 3 <> 0 THEN CAST((300 + cents % 2200) * (80 + c % 41) AS DOUBLE) / 10000 END AS computed_distance_km,
        CASE WHEN k % 5 <> 0 THEN 50.5 + CAST(cents % 1500 AS DOUBLE) / 1000 END AS start_lat,
-       CASE WHEN k % 5 <> 0 THEN -3.0 + CAST(c % 4000 AS DOUBLE) / 1000 END AS start_lon, k, cents
+       CASE WHEN k % 5 <> 0 THEN -3.0 + CAST(c % 4000 AS DOUBLE) / 1000 END AS start_lon, k, cents,
+       CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('A shorter loop is possible near ', region) WHEN 2 THEN concat('Returning by bus from ', region) WHEN 3 THEN 'Options abound by the river' ELSE concat('Views of the river near ', region) END AS summary,
+       CASE WHEN k % 3 <> 0 OR k % 7 = 0 THEN concat('gpx/', slug, '.gpx') END AS gpx_path, CASE WHEN k % 3 <> 0 THEN k % 4 = 1 END AS has_elevation,
+       CASE WHEN k % 9 <> 0 THEN CASE WHEN c % 3 = 0 THEN 'VIC' ELSE 'HAM' END END AS start_crs, CASE WHEN k % 8 <> 0 THEN 'Leave the station and turn left.' END AS directions
 FROM (
   SELECT concat('src_', lower(o_orderstatus)) AS source, concat('walk-', o_orderkey) AS slug, CAST(o_orderkey AS VARCHAR(20)) AS source_id,
          concat('Walk ', o_orderkey, ' ', o_orderpriority) AS title, c_mktsegment AS region, o_orderpriority AS tags_text,
@@ -67,7 +70,9 @@ _READS = {"walks": ["orders", "customer"], "variations": ["lineitem"], "food_sto
 
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table; walks get their arrays (tags, london_departure_crs)."""
+    """A domain table, or a given one where there is no recipe; walks get their arrays (tags, london_departure_crs)."""
+    if name not in SQL:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _READS[name]}
     text = SQL[name]
     for t in frames:
@@ -89,6 +94,4 @@ def ctes(*names: str) -> str:
     if "home_termini" in names:
         rows = ", ".join(f"('{s}', '{n}', '{t}', {m if m is not None else 'NULL'})" for s, n, t, m in HOME)
         parts.append(f"home_termini(station_crs, station_name, terminus_crs, access_min) AS (VALUES {rows})")
-    if "walk_crs" in names:
-        parts.append("walk_crs AS (SELECT slug, u.crs AS crs, u.pos AS pos FROM walks, LATERAL (SELECT unnest(string_split(crs_text, ',')) AS crs, generate_subscripts(string_split(crs_text, ','), 1) AS pos) u WHERE crs_text <> '')")
     return "WITH " + ", ".join(parts) + "\n"

@@ -1,34 +1,50 @@
-"""Incremental ingest: pages that arrive as Parquet files are parsed and upserted batch by batch."""
+"""Incremental ingest: pages that arrive as Parquet files are parsed batch by batch into a store of deltas."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from walkspark.operators.pages import parse_walks
-from walkspark.operators.store import upsert
+from walkspark.operators.pages import parse_pages, parse_walks
+from walkspark.sources.scratch import stored
 
-RAW = "slug string, page string"
+RAW = "slug string, page string, fetched_at timestamp"
+TABLES = ("walks", "variations", "food_stops")
 
 
 def follow(spark: SparkSession, raw_path: str, refs: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Parse what lies in raw_path now and stop; a later call goes on from the checkpoint.
 
-    Each batch writes a whole new version of the store beside the last, named by the batch, so a batch
-    that is repeated after a failure gives the same version."""
-
-    def version(batch_id: int) -> str:
-        return f"{store_path}/v{batch_id:09d}"
+    Each batch writes only its own walks and children, in a folder named by the batch, so a batch that is repeated after
+    a failure writes the same rows again. Of a walk's pages in one batch the last fetched counts, of equal ones the
+    larger text. Pages without a ref go to `orphans`."""
 
     def apply(pages: DataFrame, batch_id: int) -> None:
-        latest = pages.select("slug", "page").dropDuplicates(["slug"])
-        fresh = parse_walks(refs, latest)[0].withColumn("batch", F.lit(batch_id))
-        if batch_id:
-            fresh = upsert(spark.read.parquet(version(batch_id - 1)), fresh, ["source", "slug"], "batch")
-        else:
-            fresh = fresh.drop("batch")
-        fresh.write.mode("overwrite").parquet(version(batch_id))
+        last = F.max_by("page", F.struct("fetched_at", "page")).alias("page")
+        latest = stored(pages.groupBy("slug").agg(last), "follow-pages")
+        parts = stored(parse_pages(latest.join(refs.select("slug"), "slug", "left_semi")), "follow-parts")
+        walks, variations, food_stops = parse_walks(refs, latest, parts)
+        keys = walks.select("source", "slug")
+        for name, df in zip(TABLES, (walks, variations.join(keys, "slug"), food_stops.join(keys, "slug"))):
+            df.write.mode("overwrite").parquet(f"{store_path}/{name}/batch={batch_id}")
+        latest.join(refs.select("slug"), "slug", "left_anti").write.mode("overwrite").parquet(f"{store_path}/orphans/batch={batch_id}")
 
     stream = spark.readStream.schema(RAW).parquet(raw_path)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, store_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walks, variations, food stops): of each walk the rows of the last batch that had its page."""
+    walks, variations, food_stops = (spark.read.option("mergeSchema", "true").parquet(f"{store_path}/{name}") for name in TABLES)
+    newest = F.max("batch").over(Window.partitionBy("source", "slug"))
+    walks = walks.withColumn("_newest", newest).filter("batch = _newest").drop("_newest")
+    keys = walks.select("source", "slug", "batch")
+    of = lambda children: children.join(keys, ["source", "slug", "batch"], "left_semi").drop("batch")
+    return walks.drop("batch"), of(variations), of(food_stops)
+
+
+def compact(spark: SparkSession, store_path: str, target: str) -> None:
+    """Write the current rows as a store of one batch; do it now and then, when no batch runs."""
+    for name, df in zip(TABLES, current(spark, store_path)):
+        df.write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
