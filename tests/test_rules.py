@@ -84,3 +84,24 @@ def test_entry_registers():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 80
+
+
+def test_accents_and_summaries(spark):
+    rows = [("a", "Ştefan's Łódź Ấp", None), ("b", "plain", "By the rivière"), ("c", "e\u0301te", None)]
+    w = spark.createDataFrame(rows, "slug string, title string, summary string").select("*", *[F.lit(None).cast("string").alias(c) for c in ("region", "source")], F.array().cast("array<string>").alias("tags"), *[F.lit(None).cast("double").alias(c) for c in ("computed_distance_km", "published_distance_km")])
+    slugs = lambda text: [r["slug"] for r in search.find_walks(w, text=text).collect()]
+    assert slugs("stefan") == ["a"] and slugs("riviere") == ["b"] and slugs("ETE") == ["c"] and slugs("ap") == ["a"]
+
+
+def test_get_walk(spark):
+    w = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "a")], "slug string, source string")
+    got = lambda *a: [r["source"] for r in search.get_walk(w, *a).collect()]
+    assert got("x") == ["a"] and got("x", "b") == ["b"] and got("z") == []
+
+
+def test_children_are_checked(spark):
+    v = spark.createDataFrame([("a", None, "other", 1.0), ("b", "x", "stroll", 1.0), ("c", "x", "other", 0.0), ("d", "x", "other", None)], "slug string, label string, kind string, distance_km double")
+    good, bad = store.set_apart(store.valid_variations(v))
+    assert [r["slug"] for r in good.collect()] == ["d"] and {r["slug"]: r["reason"] for r in bad.collect()} == {"a": "label", "b": "kind", "c": "distance"}
+    f = spark.createDataFrame([("a", None, "tea", 1.0), ("b", "x", "dinner", 1.0), ("c", "x", "lunch", -1.0), ("d", "x", "lunch", 0.0)], "slug string, name string, role string, position_km double")
+    assert {r["slug"]: r["reason"] for r in store.valid_food(f).collect()} == {"a": "name", "b": "role", "c": "position", "d": None}

@@ -51,6 +51,7 @@ query("q10_find_walks", f"SELECT slug, round({KM}, 4) AS km FROM walks WHERE {KM
 )
 query("q11_get_walk", "SELECT slug, source, title FROM walks WHERE slug = 'walk-42'", "walks")(lambda spark, read: search.get_walk(read("walks"), "walk-42").select("slug", "source", "title"))
 query("q11b_get_walk_of_source", "SELECT slug, source, title FROM walks WHERE slug = 'walk-1' AND source = 'src_f'", "walks")(lambda spark, read: search.get_walk(read("walks"), "walk-1", "src_f").select("slug", "source", "title"))
+query("q12b_all_walks", "SELECT slug, title FROM walks ORDER BY slug", "walks")(lambda spark, read: search.all_walks(read("walks")).select("slug", "title"))
 query("q12_count", "SELECT count(*) AS n_walks FROM walks", "walks")(lambda spark, read: read("walks").agg(F.count("*").alias("n_walks")))
 
 
@@ -250,7 +251,7 @@ def _to_track(name, sql, f):
 _to_track("g6_distance_to_track", "SELECT slug, poi_id, round(dist, 3) AS distance_m FROM hits", lambda h: h.select("slug", "poi_id", F.round("distance_m", 3).alias("distance_m")))
 _to_track("g7_fraction_along", "SELECT slug, poi_id, round(fr, 6) AS fraction FROM hits", lambda h: h.select("slug", "poi_id", F.round("fraction", 6).alias("fraction")))
 _corridor("g8_corridor", "SELECT slug, poi_id, round(dist, 3) AS distance_m, round(fr, 6) AS fraction FROM hits", lambda h: h.select("slug", "poi_id", F.round("distance_m", 3).alias("distance_m"), F.round("fraction", 6).alias("fraction")).orderBy("slug", "fraction", "poi_id"))
-geo("g9_bbox_grid", "SELECT slug, round(min(e) - 100, 3) AS e0, round(max(n) + 100, 3) AS n1 FROM g GROUP BY slug", lambda p, read: tracks.bbox(p, 100.0).withColumns({"a": bng.to_bng("min_lon", "min_lat"), "b": bng.to_bng("max_lon", "max_lat")}).select("slug", F.round("a.e", 3).alias("e0"), F.round("b.n", 3).alias("n1")))
+geo("g9_bbox_grid", "SELECT slug, round(min(e) - 100, 3) AS e0, round(min(n) - 100, 3) AS n0, round(max(e) + 100, 3) AS e1, round(max(n) + 100, 3) AS n1 FROM g GROUP BY slug", lambda p, read: tracks.bbox(p, 100.0).withColumns({"a": bng.to_bng("min_lon", "min_lat"), "b": bng.to_bng("max_lon", "max_lat")}).select("slug", F.round("a.e", 3).alias("e0"), F.round("a.n", 3).alias("n0"), F.round("b.e", 3).alias("e1"), F.round("b.n", 3).alias("n1")))
 geo(
     "g10_samples",
     """, tot AS (SELECT slug, max(cx) AS len FROM sg GROUP BY slug),

@@ -94,6 +94,11 @@ def get_walk(walks: DataFrame, slug: str, source: str | None = None) -> DataFram
     return (found if source is None else found.filter(F.col("source") == source)).orderBy("source").limit(1)
 
 
+def all_walks(walks: DataFrame) -> DataFrame:
+    """All walks by slug: a range exchange and a sort of each part, no single task."""
+    return walks.orderBy("slug", "source")
+
+
 def with_variations(walks: DataFrame, variations: DataFrame) -> DataFrame:
     return walks.join(variations.select("slug").distinct(), "slug", "left_semi")
 
