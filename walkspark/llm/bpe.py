@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 BITS = 8
 SHIFT = 32
 #: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Unicode white space (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or a run of white space as the pattern cuts it: no match crosses these,
