@@ -70,7 +70,7 @@ def ingest(refs: DataFrame, raw: DataFrame, gpx: DataFrame, tolerance: float = 0
 
 
 def report(walks: DataFrame) -> DataFrame:
-    """One row of counts. All walks but the failed ones are in the store, so `stored` is what the reference to a run calls ingested."""
+    """One row of counts. All walks but the failed ones go to the store (`stored`); `ingested` ones have a measured track too."""
     return walks.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "failed").alias("stored"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "failed", "without_gpx", "geometry_failed")], F.count_if("backfilled").alias("backfilled"), F.count_if("mismatch").alias("mismatches"))
 
 
