@@ -305,7 +305,7 @@ _RICH = """, rp AS (SELECT slug, user_id, seq, count(*) OVER (PARTITION BY slug)
 rr AS (SELECT slug, 0 AS track_no, 'doc' AS name, seq FROM rp UNION ALL SELECT slug, 1, 'Second', seq FROM rp WHERE user_id % 3 = 0 AND seq < 3 UNION ALL SELECT slug, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END, 'doc', seq - 1 FROM rp WHERE user_id % 3 < 2 AND seq BETWEEN 1 AND 2)"""
 query("s2b_parse_rich_gpx", _RICH + " SELECT slug, CAST(track_no AS INT) AS track_no, name, CAST(seq AS INT) AS seq FROM rr", "points")(lambda spark, read: gpx.parse(rich_gpx(read("points"))).select("slug", "track_no", "name", "seq"))
 query("s3_routes", _RICH + " SELECT slug, count(DISTINCT track_no) AS n_routes, count(*) FILTER (WHERE track_no = 0) AS main_points FROM rr GROUP BY slug", "points")(lambda spark, read: gpx.parse(rich_gpx(read("points"))).groupBy("slug").agg(F.countDistinct("track_no").alias("n_routes"), F.count_if(F.col("track_no") == 0).alias("main_points")))
-query("s5b_render_named", _TEXT.replace("'</name>'", "' &amp; back</name>'"), "points")(lambda spark, read: gpx.render(read("points").withColumn("title", F.concat("slug", F.lit(" & back"))), name="title"))
+query("s5b_render_named", _TEXT.replace("slug, '</name>", "slug, ' &amp; back</name>"), "points")(lambda spark, read: gpx.render(read("points").withColumn("title", F.concat("slug", F.lit(" & back"))), name="title"))
 
 
 @query("s4_gpx_folder", "SELECT slug, seq, round(lon, 7) AS lon, round(lat, 7) AS lat, ele FROM points", "points")
