@@ -7,16 +7,16 @@ from walkspark.functions import text as tx
 from walkspark.operators import search, store, travel
 from walkspark.operators import pages
 
-WALK = "slug string, title string, region string, tags array<string>, london_departure_crs array<string>, computed_distance_km double, published_distance_km double, computed_ascent_m double, published_ascent_m double, toughness int, seeded_journey_minutes int, start_lat double, start_lon double, source string"
+WALK = "slug string, title string, summary string, region string, tags array<string>, london_departure_crs array<string>, computed_distance_km double, published_distance_km double, computed_ascent_m double, published_ascent_m double, toughness int, seeded_journey_minutes int, start_lat double, start_lon double, source string"
 
 
 def _walks(spark):
     rows = [
-        ("quick", "A café by the king's road", "Kent", ["x"], ["VIC", "CHX"], None, 10.0, 0.0, 50.0, 3, 20, 51.2, 0.1, "s"),
-        ("slow", "Blue hills", "Kent", [], ["BFR"], 0.0, 9.0, None, None, None, 60, None, None, "s"),
-        ("unknown", "Bluebells", "Sussex", [], ["chx"], None, None, None, None, 0, 40, 51.5074, -0.1276, "s"),
-        ("unlisted", "Far", None, [], ["KGX"], None, 12.0, None, None, 5, None, None, None, "s"),
-        ("none", "Nowhere", None, [], [], None, 8.0, None, None, 5, 5, None, None, "s"),
+        ("quick", "A café by the king's road", None, "Kent", ["x"], ["VIC", "CHX"], None, 10.0, 0.0, 50.0, 3, 20, 51.2, 0.1, "s"),
+        ("slow", "Blue hills", None, "Kent", [], ["BFR"], 0.0, 9.0, None, None, None, 60, None, None, "s"),
+        ("unknown", "Bluebells", None, "Sussex", [], ["chx"], None, None, None, None, 0, 40, 51.5074, -0.1276, "s"),
+        ("unlisted", "Far", None, None, [], ["KGX"], None, 12.0, None, None, 5, None, None, None, "s"),
+        ("none", "Nowhere", None, None, [], [], None, 8.0, None, None, 5, 5, None, None, "s"),
     ]
     return spark.createDataFrame(rows, WALK)
 
