@@ -81,6 +81,13 @@ def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from walkspark.llm.jaccard import jaccard_join
+
+    made = jaccard_join(table(spark, sf_dir, "documents"), words=5, threshold=80)
+    return made.select("doc_id", "n_shingles", "component_id")
+
+
 def op12_weighted_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from walkspark.llm.codebooks import compress
 
@@ -93,7 +100,7 @@ def op13_transducer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pruned_graph_ann, op2_line_quality, op3_hamming_neardup, op4_ring_shards, op5_licence_classifier, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii, op9_katz_backoff, op10_fused_language, op12_weighted_codebooks, op13_transducer_repair)}
+QUERIES = {f.__name__: f for f in (op1_pruned_graph_ann, op2_line_quality, op3_hamming_neardup, op4_ring_shards, op5_licence_classifier, op6_pfair_mix, op7_rank_queue_bpe, op8_contextual_pii, op9_katz_backoff, op10_fused_language, op11_pivot_jaccard, op12_weighted_codebooks, op13_transducer_repair)}
 
 #: DuckDB SQL, where it can express a query's whole result. The others are tested against brute
 #: force: hash rings, deadline schedules, graphs and merge queues aren't SQL.
@@ -116,6 +123,7 @@ k AS (SELECT rid, sum(size) AS kept FROM f WHERE NOT (marks * 10 > size OR doubl
 m AS (SELECT doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ls.n - nd, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(1 - coalesce(kept, 0) / whole, 1) AS lost
 FROM d JOIN ws ON ws.rid = d.rid LEFT JOIN r ON r.rid = d.rid LEFT JOIN ls ON ls.rid = d.rid LEFT JOIN k ON k.rid = d.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 AS kept FROM m""",
+    "op11_pivot_jaccard": oracles.jaccard(),
     "op12_weighted_codebooks": oracles.codebooks(),
     "op13_transducer_repair": oracles.conversations(),
 }
