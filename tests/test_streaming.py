@@ -15,7 +15,7 @@ def test_follow(spark, tmp_path):
     at = lambda h: datetime(2024, 5, 1, h)
     loads = [[("a", page("Old", 2), at(1))], [("a", page("Late", 1), at(5)), ("a", page("Early", 3), at(2)), ("b", page("Bee", 1), at(1)), ("zz", page("No ref", 1), at(1))]]
     for rows in loads:
-        spark.createDataFrame(rows, "slug string, page string, fetched_at timestamp").write.mode("append").parquet(where[0])
+        spark.createDataFrame([("c", *r) for r in rows], "source string, slug string, page string, fetched_at timestamp").write.mode("append").parquet(where[0])
         follow(spark, where[0], refs, where[1], where[2]).awaitTermination()
     compact(spark, where[1], where[3])
     for store in (where[1], where[3]):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from walkspark.functions.bng import in_gb, to_bng
+from walkspark.functions.keys import track_key
 from walkspark.operators.tracks import segments
 
 
@@ -29,10 +30,11 @@ def _placed(met: DataFrame) -> DataFrame:
 
 
 def _nearest(met: DataFrame, length: DataFrame) -> DataFrame:
-    """(slug, poi_id, distance_m, fraction) by the nearest segment of each pair; of equally near ones the first counts."""
-    near = met.groupBy("slug", "poi_id").agg(F.min(F.struct("d", "seg", "along")).alias("m")).join(length, "slug")
+    """(key of the track, poi_id, distance_m, fraction) by the nearest segment of each pair; of equally near ones the first counts."""
+    key = track_key(met)
+    near = met.groupBy(*key, "poi_id").agg(F.min(F.struct("d", "seg", "along")).alias("m")).join(length, key)
     fraction = F.when(F.col("length_m") > 0, F.least(F.lit(1.0), F.col("m.along") / F.col("length_m"))).otherwise(0.0)
-    return near.select("slug", "poi_id", F.col("m.d").alias("distance_m"), fraction.alias("fraction"))
+    return near.select(*key, "poi_id", F.col("m.d").alias("distance_m"), fraction.alias("fraction"))
 
 
 def _projected(places: DataFrame) -> DataFrame:
@@ -40,26 +42,28 @@ def _projected(places: DataFrame) -> DataFrame:
 
 
 def to_tracks(points: DataFrame, asked: DataFrame) -> DataFrame:
-    """(slug, poi_id, distance_m, fraction) for each asked pair (slug, poi_id, lon, lat), however far apart.
+    """(key of the track, poi_id, distance_m, fraction) for each asked pair (key of the track, poi_id, lon, lat), however far apart.
 
     points: projected. One join by track; pairs without a track in Great Britain, or a place outside it, have no row."""
     segs = segments(points)
-    length = segs.groupBy("slug").agg(F.max("cum2").alias("length_m"))
-    met = segs.select("slug", "seg", "e", "n", "e2", "n2", "cum_m", "len_m").join(_projected(asked), "slug")
+    key = track_key(segs)
+    length = segs.groupBy(*key).agg(F.max("cum2").alias("length_m"))
+    met = segs.select(*key, "seg", "e", "n", "e2", "n2", "cum_m", "len_m").join(_projected(asked), track_key(segs, asked))
     return _nearest(_placed(met), length)
 
 
 def corridor(points: DataFrame, places: DataFrame, max_m: float = 250.0) -> DataFrame:
-    """(slug, poi_id, distance_m, fraction) of all places within max_m of a track, the edge included.
+    """(key of the track, poi_id, distance_m, fraction) of all places within max_m of a track, the edge included.
 
     points: projected; fraction: of the track's length at the nearest point, of the first nearest segment."""
     cell = max(max_m, 250.0)
     segs = segments(points)
-    length = segs.groupBy("slug").agg(F.max("cum2").alias("length_m"))
-    pieces = _pieces(segs.select("slug", "seg", "e", "n", "e2", "n2", "cum_m", "len_m"), cell)
+    key = track_key(segs)
+    length = segs.groupBy(*key).agg(F.max("cum2").alias("length_m"))
+    pieces = _pieces(segs.select(*key, "seg", "e", "n", "e2", "n2", "cum_m", "len_m"), cell)
     span = lambda c: F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - max_m) / cell), F.floor((F.greatest(f"{c}0", f"{c}1") + max_m) / cell))
     keyed = pieces.withColumn("ce", F.explode(span("e"))).withColumn("cn", F.explode(span("n")))
-    keyed = keyed.select("slug", "seg", "e", "n", "e2", "n2", "cum_m", "len_m", "ce", "cn")  # two pieces may meet in a cell; the minimum is the same
+    keyed = keyed.select(*key, "seg", "e", "n", "e2", "n2", "cum_m", "len_m", "ce", "cn")  # two pieces may meet in a cell; the minimum is the same
     there = _projected(places.select("poi_id", "lon", "lat")).withColumns({"ce": F.floor(F.col("pe") / cell), "cn": F.floor(F.col("pn") / cell)})
     met = keyed.join(there, ["ce", "cn"])
     return _nearest(_placed(met).filter(F.col("d") <= max_m), length)

@@ -1,4 +1,4 @@
-"""Facts of tracks from their points (slug, seq, lon, lat, ele): one partitioning by track serves all windows."""
+"""Facts of tracks from their points (source, slug, track_no, seq, lon, lat, ele): one partitioning by track serves all windows."""
 
 from __future__ import annotations
 
@@ -6,36 +6,38 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from walkspark.functions.bng import in_gb, to_bng, to_wgs84
+from walkspark.functions.keys import track_key
 
 
-def by_track() -> WindowSpec:
-    return Window.partitionBy("slug").orderBy("seq")
+def by_track(points: DataFrame) -> WindowSpec:
+    return Window.partitionBy(*track_key(points)).orderBy("seq")
 
 
 def projected(points: DataFrame) -> DataFrame:
     """points inside Great Britain with e, n in metres; a track with one point outside is left out whole."""
-    inside = F.min(in_gb(F.col("lon"), F.col("lat")).cast("int")).over(Window.partitionBy("slug"))
+    inside = F.min(in_gb(F.col("lon"), F.col("lat")).cast("int")).over(Window.partitionBy(*track_key(points)))
     kept = points.withColumn("_in", inside).filter("_in = 1").drop("_in")
     return kept.withColumn("_g", to_bng("lon", "lat")).select("*", "_g.e", "_g.n").drop("_g")
 
 
-def step_m() -> Column:
-    e, n = F.col("e") - F.lag("e").over(by_track()), F.col("n") - F.lag("n").over(by_track())
+def step_m(track: WindowSpec) -> Column:
+    e, n = F.col("e") - F.lag("e").over(track), F.col("n") - F.lag("n").over(track)
     return F.coalesce(F.sqrt(e * e + n * n), F.lit(0.0))
 
 
 def cumulative(points: DataFrame) -> DataFrame:
     """projected points with metres from the start, 0 at the first."""
-    running = Window.partitionBy("slug").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("step", step_m()).withColumn("cum_m", F.sum("step").over(running))
+    track = by_track(points)
+    running = track.rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumn("step", step_m(track)).withColumn("cum_m", F.sum("step").over(running))
 
 
-def smoothed(window: int = 5) -> Column:
+def smoothed(track: WindowSpec, window: int = 5) -> Column:
     """Centred moving average of ele; edges use the neighbours there are; a window of 1 or less changes nothing."""
     if window <= 1:
         return F.col("ele")
     half = window // 2
-    return F.avg("ele").over(by_track().rowsBetween(-half, half))
+    return F.avg("ele").over(track.rowsBetween(-half, half))
 
 
 def naismith_minutes(km: Column, ascent_m: Column) -> Column:
@@ -44,34 +46,36 @@ def naismith_minutes(km: Column, ascent_m: Column) -> Column:
 
 def describe(points: DataFrame, window: int = 5, pace: float = 1.4, lunch: int = 60) -> DataFrame:
     """One row a track of two points or more: km, ascent (null unless every point has a height), minutes, ends, points."""
-    rows = points.withColumns({"step": step_m(), "s": smoothed(window)})
-    rows = rows.withColumn("rise", F.greatest(F.lit(0.0), F.col("s") - F.lag("s").over(by_track())))
+    track, key = by_track(points), track_key(points)
+    rows = points.withColumns({"step": step_m(track), "s": smoothed(track, window)})
+    rows = rows.withColumn("rise", F.greatest(F.lit(0.0), F.col("s") - F.lag("s").over(track)))
     full = F.min(F.col("ele").isNotNull().cast("int")) == 1
-    made = rows.groupBy("slug").agg((F.sum("step") / 1000).alias("km"), F.when(full, F.coalesce(F.sum("rise"), F.lit(0.0))).alias("ascent_m"), full.alias("has_elevation"), F.count("*").alias("point_count"), F.min_by(F.struct("lon", "lat"), "seq").alias("a"), F.max_by(F.struct("lon", "lat"), "seq").alias("b"))
+    made = rows.groupBy(*key).agg((F.sum("step") / 1000).alias("km"), F.when(full, F.coalesce(F.sum("rise"), F.lit(0.0))).alias("ascent_m"), full.alias("has_elevation"), F.count("*").alias("point_count"), F.min_by(F.struct("lon", "lat"), "seq").alias("a"), F.max_by(F.struct("lon", "lat"), "seq").alias("b"))
     minutes = F.bround(naismith_minutes(F.col("km"), F.col("ascent_m")) * pace + lunch, 0).cast("int")
-    return made.filter("point_count >= 2").select("slug", "km", "ascent_m", minutes.alias("est_minutes"), "has_elevation", "point_count", F.col("a.lon").alias("start_lon"), F.col("a.lat").alias("start_lat"), F.col("b.lon").alias("finish_lon"), F.col("b.lat").alias("finish_lat"))
+    return made.filter("point_count >= 2").select(*key, "km", "ascent_m", minutes.alias("est_minutes"), "has_elevation", "point_count", F.col("a.lon").alias("start_lon"), F.col("a.lat").alias("start_lat"), F.col("b.lon").alias("finish_lon"), F.col("b.lat").alias("finish_lat"))
 
 
 def bbox(points: DataFrame, buffer_m: float) -> DataFrame:
     """Corners of each track's padded box, back in degrees."""
-    box = points.groupBy("slug").agg(F.min("e").alias("e0"), F.min("n").alias("n0"), F.max("e").alias("e1"), F.max("n").alias("n1"))
+    key = track_key(points)
+    box = points.groupBy(*key).agg(F.min("e").alias("e0"), F.min("n").alias("n0"), F.max("e").alias("e1"), F.max("n").alias("n1"))
     low, high = to_wgs84(F.col("e0") - buffer_m, F.col("n0") - buffer_m), to_wgs84(F.col("e1") + buffer_m, F.col("n1") + buffer_m)
-    return box.select("slug", low.alias("lo"), high.alias("hi")).select("slug", F.col("lo.lon").alias("min_lon"), F.col("lo.lat").alias("min_lat"), F.col("hi.lon").alias("max_lon"), F.col("hi.lat").alias("max_lat"))
+    return box.select(*key, low.alias("lo"), high.alias("hi")).select(*key, F.col("lo.lon").alias("min_lon"), F.col("lo.lat").alias("min_lat"), F.col("hi.lon").alias("max_lon"), F.col("hi.lat").alias("max_lat"))
 
 
 def segments(points: DataFrame) -> DataFrame:
-    """(slug, seg, e, n, e2, n2, cum_m, step): each point with the next; tracks of one point have none."""
-    ahead = lambda c: F.lead(c).over(by_track())
+    """(key of the track, seg, e, n, e2, n2, cum_m, step): each point with the next; tracks of one point have none."""
+    ahead = lambda c: F.lead(c).over(by_track(points))
     made = cumulative(points).withColumns({"e2": ahead("e"), "n2": ahead("n"), "cum2": ahead("cum_m"), "lon2": ahead("lon"), "lat2": ahead("lat"), "ele2": ahead("ele")})
     return made.filter("e2 is not null").withColumnRenamed("seq", "seg").withColumn("len_m", F.col("cum2") - F.col("cum_m"))
 
 
 def sample_along(points: DataFrame, every_m: float = 500.0) -> DataFrame:
-    """(slug, at_m, e, n): a place each every_m metres from the start, and the end unless it is within 5 % of the last.
+    """(key of the track, at_m, e, n): a place each every_m metres from the start, and the end unless it is within 5 % of the last.
 
     Every segment makes the samples that fall on it, so nothing is joined."""
     segs = segments(points)
-    last = Window.partitionBy("slug").orderBy(F.desc("seg"))
+    last = Window.partitionBy(*track_key(points)).orderBy(F.desc("seg"))
     segs = segs.withColumn("is_last", F.row_number().over(last) == 1)
     k0, k1 = F.ceil(F.col("cum_m") / every_m), F.ceil(F.col("cum2") / every_m) - 1
     k1 = F.when(F.col("is_last"), F.floor(F.col("cum2") / every_m)).otherwise(k1)
@@ -80,28 +84,30 @@ def sample_along(points: DataFrame, every_m: float = 500.0) -> DataFrame:
     rest = F.col("cum2") - F.floor(F.col("cum2") / every_m) * every_m
     end = segs.filter(F.col("is_last") & (rest > 0.05 * every_m)).withColumns({"k": F.lit(None).cast("bigint"), "at_m": F.col("cum2")})
     t = F.when(F.col("len_m") > 0, (F.col("at_m") - F.col("cum_m")) / F.col("len_m")).otherwise(0.0)
-    return inner.union(end.select(inner.columns)).select("slug", "at_m", (F.col("e") + t * (F.col("e2") - F.col("e"))).alias("e"), (F.col("n") + t * (F.col("n2") - F.col("n"))).alias("n"))
+    return inner.union(end.select(inner.columns)).select(*track_key(points), "at_m", (F.col("e") + t * (F.col("e2") - F.col("e"))).alias("e"), (F.col("n") + t * (F.col("n2") - F.col("n"))).alias("n"))
 
 
 def slice_track(points: DataFrame, low: float, high: float) -> DataFrame:
-    """(slug, at_m, lon, lat, ele) between two fractions of the length: vertices inside, ends interpolated."""
+    """(key of the track, at_m, lon, lat, ele) between two fractions of the length: vertices inside, ends interpolated."""
     if not 0 <= low < high <= 1:
         raise ValueError("fractions run from 0 to 1")
     segs = segments(points)
-    whole = F.max("cum2").over(Window.partitionBy("slug"))
+    key = track_key(points)
+    whole = F.max("cum2").over(Window.partitionBy(*key))
     segs = segs.withColumns({"lo": whole * low, "hi": whole * high})
     t = lambda d: F.when(F.col("len_m") > 0, (d - F.col("cum_m")) / F.col("len_m")).otherwise(0.0)
     at = lambda d: F.struct(d.alias("at_m"), *[(F.col(c) + t(d) * (F.col(f"{c}2") - F.col(c))).alias(c) for c in ("lon", "lat", "ele")])
     holds = lambda d: (d <= F.col("cum2")) & ((d > F.col("cum_m")) | ((F.col("seg") == 0) & (d == F.col("cum_m"))))
     inside = F.struct(F.col("cum2").alias("at_m"), F.col("lon2").alias("lon"), F.col("lat2").alias("lat"), F.col("ele2").alias("ele"))
     parts = F.array(F.when(holds(F.col("lo")), at(F.col("lo"))), F.when((F.col("cum2") > F.col("lo")) & (F.col("cum2") < F.col("hi")), inside), F.when(holds(F.col("hi")), at(F.col("hi"))))
-    return segs.select("slug", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("p")).select("slug", "p.*")
+    return segs.select(*key, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("p")).select(*key, "p.*")
 
 
 def missing_requests(points: DataFrame, batch: int = 100) -> DataFrame:
-    """(slug, lat_key, lon_key, batch): each missing height once a track, in batches."""
-    keys = points.filter("ele is null").select("slug", F.format_string("%.6f", "lat").alias("lat_key"), F.format_string("%.6f", "lon").alias("lon_key")).distinct()
-    number = F.row_number().over(Window.partitionBy("slug").orderBy("lat_key", "lon_key")) - 1
+    """(key of the track, lat_key, lon_key, batch): each missing height once a track, in batches."""
+    key = track_key(points)
+    keys = points.filter("ele is null").select(*key, F.format_string("%.6f", "lat").alias("lat_key"), F.format_string("%.6f", "lon").alias("lon_key")).distinct()
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("lat_key", "lon_key")) - 1
     return keys.withColumn("batch", F.floor(number / batch).cast("int"))
 
 

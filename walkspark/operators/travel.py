@@ -74,9 +74,9 @@ def crow_km(lat: Column, lon: Column, lat0: float = 51.5074, lon0: float = -0.12
 
 
 def rank_order() -> list[Column]:
-    """Preferred first, then total, then distance from London (unknown or 0 last), then length and slug."""
+    """Preferred first, then total, then distance from London (unknown or 0 last), then length, slug and source."""
     crow = F.coalesce(F.nullif(F.round(crow_km(F.col("start_lat"), F.col("start_lon")), 6), F.lit(0.0)), F.lit(10_000.0))
-    return [(~F.col("preferred")).cast("int"), F.coalesce("total_min", F.lit(10_000)), crow, best(DISTANCE).asc_nulls_first(), F.col("slug")]
+    return [(~F.col("preferred")).cast("int"), F.coalesce("total_min", F.lit(10_000)), crow, best(DISTANCE).asc_nulls_first(), F.col("slug"), F.col("source")]
 
 
 def find_from(walks, variations, home, station, max_total_min=None, only_preferred=False, with_options=False, limit=20, prelimit=True, **filters):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from walkspark.functions.keys import key_of, track_key
+
 _POINT = "struct<_lat:double,_lon:double,ele:double>"
 SCHEMA = f"metadata struct<name:string>, trk array<struct<name:string,trkseg:array<struct<trkpt:array<{_POINT}>>>>>, rte array<struct<name:string,rtept:array<{_POINT}>>>"
 
@@ -31,16 +33,26 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def render(points: DataFrame, key: str = "slug", name: str | None = None) -> DataFrame:
-    """(key, gpx): one document of one track and segment for each key, points by seq. name: a column of points (default: key)."""
+def render(points: DataFrame, name: str = "slug") -> DataFrame:
+    """(key of the track, gpx): one document of one track and segment for each track, points by seq. name: a column of points."""
+    key = track_key(points)
     ele = F.when(F.col("ele").isNull(), "").otherwise(F.concat(F.lit("<ele>"), F.format_string("%.1f", "ele"), F.lit("</ele>")))
     point = F.concat(F.lit('<trkpt lat="'), F.format_string("%.7f", "lat"), F.lit('" lon="'), F.format_string("%.7f", "lon"), F.lit('">'), ele, F.lit("</trkpt>"))
-    title = F.first(F.coalesce(F.col(name or key), F.lit("")), True).alias("title")
-    made = points.withColumn("p", point).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("ps"), title)
+    title = F.first(F.coalesce(F.col(name), F.lit("")), True).alias("title")
+    made = points.withColumn("p", point).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "p"))).alias("ps"), title)
     body = F.array_join(F.transform("ps", lambda x: x["p"]), "")
-    return made.select(key, F.concat(F.lit('<gpx version="1.1"><trk><name>'), escaped(F.col("title")), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    return made.select(*key, F.concat(F.lit('<gpx version="1.1"><trk><name>'), escaped(F.col("title")), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+
+
+def render_walks(points: DataFrame, name: str = "slug") -> DataFrame:
+    """(source, slug, gpx): one document for each walk, with its tracks in order of track_no. name: a column of points."""
+    inner = F.regexp_extract("gpx", "(?s)<gpx[^>]*>(.*)</gpx>", 1)
+    walk = key_of(points)
+    made = render(points, name).groupBy(*walk).agg(F.array_sort(F.collect_list(F.struct("track_no", inner.alias("t")))).alias("ts"))
+    return made.select(*walk, F.concat(F.lit('<gpx version="1.1">'), F.array_join(F.transform("ts", lambda x: x["t"]), ""), F.lit("</gpx>")).alias("gpx"))
 
 
-def write_files(documents: DataFrame, path: str, key: str = "slug") -> None:
-    """One file a document (key, gpx), in a folder named by its key."""
-    documents.select(key, "gpx").repartition(key).write.partitionBy(key).text(path)
+def write_files(documents: DataFrame, path: str) -> None:
+    """One file a document (key of the track, gpx), in folders named by its key."""
+    key = track_key(documents)
+    documents.select(*key, "gpx").repartition(*key).write.partitionBy(*key).text(path)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from walkspark.functions.keys import WALK
 from walkspark.operators.pages import parse_pages, parse_walks
 from walkspark.sources.scratch import stored
 
-RAW = "slug string, page string, fetched_at timestamp"
+RAW = "source string, slug string, page string, fetched_at timestamp"
+KEYS = list(WALK)
 TABLES = ("walks", "variations", "food_stops")
 
 
@@ -21,14 +23,13 @@ def follow(spark: SparkSession, raw_path: str, refs: DataFrame, store_path: str,
     larger text. Pages without a ref go to `orphans`."""
 
     def apply(pages: DataFrame, batch_id: int) -> None:
-        last = F.max_by("page", F.struct("fetched_at", "page")).alias("page")
-        latest = stored(pages.groupBy("slug").agg(last), "follow-pages")
-        parts = stored(parse_pages(latest.join(refs.select("slug"), "slug", "left_semi")), "follow-parts")
+        last = F.max_by(F.struct("page", "fetched_at"), F.struct("fetched_at", "page")).alias("last")
+        latest = stored(pages.groupBy(*KEYS).agg(last).select(*KEYS, "last.*"), "follow-pages")
+        parts = stored(parse_pages(latest.join(refs.select(*KEYS), KEYS, "left_semi")), "follow-parts")
         walks, variations, food_stops = parse_walks(refs, latest, parts)
-        keys = walks.select("source", "slug")
-        for name, df in zip(TABLES, (walks, variations.join(keys, "slug"), food_stops.join(keys, "slug"))):
+        for name, df in zip(TABLES, (walks, variations, food_stops)):
             df.write.mode("overwrite").parquet(f"{store_path}/{name}/batch={batch_id}")
-        latest.join(refs.select("slug"), "slug", "left_anti").write.mode("overwrite").parquet(f"{store_path}/orphans/batch={batch_id}")
+        latest.join(refs.select(*KEYS), KEYS, "left_anti").write.mode("overwrite").parquet(f"{store_path}/orphans/batch={batch_id}")
 
     stream = spark.readStream.schema(RAW).parquet(raw_path)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,10 +38,10 @@ def follow(spark: SparkSession, raw_path: str, refs: DataFrame, store_path: str,
 def current(spark: SparkSession, store_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(walks, variations, food stops): of each walk the rows of the last batch that had its page."""
     walks, variations, food_stops = (spark.read.option("mergeSchema", "true").parquet(f"{store_path}/{name}") for name in TABLES)
-    newest = F.max("batch").over(Window.partitionBy("source", "slug"))
+    newest = F.max("batch").over(Window.partitionBy(*KEYS))
     walks = walks.withColumn("_newest", newest).filter("batch = _newest").drop("_newest")
-    keys = walks.select("source", "slug", "batch")
-    of = lambda children: children.join(keys, ["source", "slug", "batch"], "left_semi").drop("batch")
+    keys = walks.select(*KEYS, "batch")
+    of = lambda children: children.join(keys, [*KEYS, "batch"], "left_semi").drop("batch")
     return walks.drop("batch"), of(variations), of(food_stops)
 
 
