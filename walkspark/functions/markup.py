@@ -6,6 +6,7 @@ scan, as what it looked for isn't there for later openers either."""
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -78,17 +79,23 @@ def instructions(page: str, marker: re.Pattern, until: re.Pattern) -> str | None
     return page[start:end]
 
 
+def label_of(markup: str) -> str:
+    """The text of a label in lower case: tags go, then entities are read."""
+    closed = markup.rfind(">") + 1  # behind it no tag is closed
+    return " ".join(html.unescape(re.sub("<[^>]+>", " ", markup[:closed]) + markup[closed:]).split()).lower()
+
+
 #: Fixed value: part of the id of the heading above a page's directions.
 MARKER = "walk-instructions"
 
 
 def page_parts(page: Column, marker: str = MARKER, until: str = "donate") -> Column:
-    """struct<h1, directions, rows array<struct<label, body>>> of a route page, as markup. marker: part of the id of the directions' heading."""
+    """struct<h1, directions, rows array<struct<label, body>>> of a route page, as markup but for the labels; rows without a label go. marker: part of the id of the directions' heading."""
     marked, word = _find(rf'id="[^"]*{re.escape(marker)}[^"]*"'), _find(re.escape(until))
 
     def parts(text: str) -> dict:
         head = next(between(text, *HEADING), None)
-        rows = [{"label": a, "body": b} for a, b in labelled_rows(text)]
+        rows = [{"label": label, "body": body} for a, body in labelled_rows(text) if (label := label_of(a))]
         return {"h1": text[head[1] : head[2]] if head else None, "directions": instructions(text, marked, word), "rows": rows}
 
     @F.pandas_udf(_struct(h1=T.StringType(), directions=T.StringType(), rows=T.ArrayType(_struct(label=T.StringType(), body=T.StringType()))))

@@ -300,7 +300,7 @@ SELECT slug, round(at_m, 3) AS at_m, round(lon, 7) AS lon, round(lat, 7) AS lat,
     lambda p, read: tracks.slice_track(p, 0.25, 0.75).select(*TRACK, F.round("at_m", 3).alias("at_m"), F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("ele", 3).alias("ele")),
 )
 query("g12_has_elevation", "SELECT slug, bool_and(ele IS NOT NULL) AS has_elevation FROM points GROUP BY slug", "points", key="track")(lambda spark, read: read("points").groupBy(*TRACK).agg(F.bool_and(F.col("ele").isNotNull()).alias("has_elevation")))
-query("g13_moving_average", "SELECT slug, seq, round(avg(ele) OVER (PARTITION BY slug ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM points", "points", key="track")(lambda spark, read: (lambda p: p.select(*TRACK, "seq", F.round(tracks.smoothed(tracks.by_track(p), 5), 6).alias("smoothed")))(read("points")))
+query("g13_moving_average", "SELECT slug, seq, round(avg(ele) OVER (PARTITION BY slug ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM points", "points", key="track")(lambda spark, read: tracks.moving_average(read("points"), 5).select(*TRACK, "seq", F.round("smoothed", 6).alias("smoothed")))
 _ASC = ", sv AS (SELECT slug, seq, ele, avg(ele) OVER (PARTITION BY slug ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sv FROM g), rise AS (SELECT slug, greatest(0.0, sv - lag(sv) OVER (PARTITION BY slug ORDER BY seq)) AS up, ele FROM sv), asc_ AS (SELECT slug, CASE WHEN bool_and(ele IS NOT NULL) THEN coalesce(sum(up), 0.0) END AS ascent_m, bool_and(ele IS NOT NULL) AS has_elevation, count(*) AS point_count FROM rise GROUP BY slug HAVING count(*) >= 2)"
 geo("g14_ascent", _ASC + " SELECT slug, round(ascent_m, 4) AS ascent_m FROM asc_", lambda p, read: tracks.describe(p).select(*TRACK, F.round("ascent_m", 4).alias("ascent_m")))
 _DESC = _ASC + ", len AS (SELECT slug, sum(step) / 1000 AS km FROM st GROUP BY slug), dsc AS (SELECT asc_.slug, km, ascent_m, CAST(round_even((km * 12 + coalesce(ascent_m, 0) * 0.1) * 1.4 + 60, 0) AS INT) AS est_minutes, has_elevation, point_count FROM asc_ JOIN len ON len.slug = asc_.slug)"

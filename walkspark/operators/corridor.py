@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from walkspark.functions.bng import in_gb, to_bng
 from walkspark.functions.keys import track_key
-from walkspark.operators.tracks import segments
+from walkspark.operators.tracks import segments, track_lengths
 
 
 def _pieces(segs: DataFrame, cell: float, most_cells: int = 4) -> DataFrame:
@@ -47,7 +47,7 @@ def to_tracks(points: DataFrame, asked: DataFrame) -> DataFrame:
     points: projected. One join by track; pairs without a track in Great Britain, or a place outside it, have no row."""
     segs = segments(points)
     key = track_key(segs)
-    length = segs.groupBy(*key).agg(F.max("cum2").alias("length_m"))
+    length = track_lengths(segs).drop("last_seg")
     met = segs.select(*key, "seg", "e", "n", "e2", "n2", "cum_m", "len_m").join(_projected(asked), track_key(segs, asked))
     return _nearest(_placed(met), length)
 
@@ -59,7 +59,7 @@ def corridor(points: DataFrame, places: DataFrame, max_m: float = 250.0) -> Data
     cell = max(max_m, 250.0)
     segs = segments(points)
     key = track_key(segs)
-    length = segs.groupBy(*key).agg(F.max("cum2").alias("length_m"))
+    length = track_lengths(segs).drop("last_seg")
     pieces = _pieces(segs.select(*key, "seg", "e", "n", "e2", "n2", "cum_m", "len_m"), cell)
     span = lambda c: F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - max_m) / cell), F.floor((F.greatest(f"{c}0", f"{c}1") + max_m) / cell))
     keyed = pieces.withColumn("ce", F.explode(span("e"))).withColumn("cn", F.explode(span("n")))
