@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from walkspark.llm.common import discard, stored
 from walkspark.llm.neardup import ROWS, _confirm, _crowded_links, components, shingle_sets
 
-#: Members above which a cell is crowded; members up to which a region isn't divided; pivots of a region; members measured in one task.
-CROWD, LEAF, PIVOTS, BLOCK = 64, 1024, 16, 256
+#: How often the order of crowded cells is looked over; members above which a cell is crowded; members up to which a region isn't divided; pivots of a region; members measured in one task.
+TURNS, CROWD, LEAF, PIVOTS, BLOCK = 3, 64, 1024, 16, 256
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -43,8 +43,18 @@ def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1 if n else 0
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """Keys of shingles: the upper 48 bits, six bytes each. Two shingles with one key only make a cell larger."""
+    return (shingles >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _reserve(p: int) -> int:
+    """How many of the keys that follow a set's first p are kept at hand."""
+    return p // 2 + 8
+
+
 def _fingerprints(df: DataFrame, id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """(id, n, set_key, keys, more) per row: the keys of the set, and as many that follow them, packed."""
+    """(id, n, set_key, keys, more) per row: the keys of the set and some that follow them, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,75 +63,100 @@ def _fingerprints(df: DataFrame, id: str, text: str, words: int, threshold: int)
                 p = prefix_length(len(found), threshold)
                 made["n"].append(len(found))
                 made["set_key"].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                made["keys"].append(found[:p].tobytes())
-                made["more"].append(found[p : 2 * p].tobytes())
+                made["keys"].append(_packed(found[:p]))
+                made["more"].append(_packed(found[p : p + _reserve(p)]))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array(made["n"], pa.int64()), **{c: pa.array(made[c], pa.binary()) for c in ("set_key", "keys", "more")}})
 
     return df.select(F.col(id).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, set_key binary, keys binary, more binary")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, n) of rows (id, n, keys)."""
+    """(key, h) of rows (h, keys)."""
     for batch in batches:
         for part in (batch.slice(lo, 4 * ROWS) for lo in range(0, batch.num_rows, 4 * ROWS)):
             packed = [x or b"" for x in part.column("keys").to_pylist()]
-            times = [len(x) // 8 for x in packed]
-            key = np.frombuffer(b"".join(packed), np.int64)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(np.repeat(part.column("id").to_numpy(), times)), "n": pa.array(np.repeat(part.column("n").to_numpy().astype(np.int32), times))})
+            wide = np.zeros((sum(map(len, packed)) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(wide.view("<i8").ravel()), "h": pa.array(np.repeat(part.column("h").to_numpy(), [len(x) // 6 for x in packed]))})
 
 
-_CELL = "key long, id long, n int"
+def _cells_of(rows: DataFrame) -> DataFrame:
+    return rows.select("h", "keys").mapInArrow(_unpacked, "key long, h long")
 
 
-def _rest(texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(set_key, n, keys) with the shingles that _fingerprints didn't give, of rows (id, text)."""
+def _all_keys(texts: DataFrame, words: int) -> DataFrame:
+    """(set_key, keys) with all shingles, of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS)):
-                made = [(xxhash.xxh3_128_digest(x.tobytes()), len(x), x[2 * prefix_length(len(x), threshold) :].tobytes()) for x in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_pydict({c: pa.array([m[i] for m in made], t) for i, (c, t) in enumerate((("set_key", pa.binary()), ("n", pa.int64()), ("keys", pa.binary())))})
+                made = [(xxhash.xxh3_128_digest(x.tobytes()), _packed(x)) for x in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_pydict({c: pa.array([m[i] for m in made], pa.binary()) for i, c in enumerate(("set_key", "keys"))})
 
-    return texts.select("id", "text").mapInArrow(run, "set_key binary, n long, keys binary")
+    return texts.select("id", "text").mapInArrow(run, "set_key binary, keys binary")
 
 
 def cells(classes: DataFrame, df: DataFrame, id: str, text: str, words: int, threshold: int) -> DataFrame:
-    """(key, id, n, size): the cells that more than one class lies in. classes: (set_key, id, n, keys, more).
+    """(key, id, n, size, rest): the cells that more than one class lies in. classes: (h, set_key, id, n, keys, more); h numbers them.
+
+    rest: how many shingles of the set no small cell stands for. Two sets that share s small cells have at most s + rest
+    shingles in common, with the larger rest of the two: of the sets whose keys end first in the order, all others are counted in rest.
 
-    On the way a class goes by a hash of its set, as ids may have several."""
-    h = F.xxhash64("set_key").alias("id")
-    of_docs, classes = classes.select("id", h.alias("h")), classes.select("set_key", h, "n", "keys", "more")
-    first = classes.select("id", "n", "keys").mapInArrow(_unpacked, _CELL)
+    Tables that are written here are small beside the keys, mostly; where they are small enough, Spark broadcasts them by their size."""
+    first = _cells_of(classes)
     shared = stored(first.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-shared")
-    crowd = shared.filter(F.col("size") > CROWD).select("key")
-    p = lambda n: n - F.ceil(n * threshold / 100) + 1
-    late = stored(first.join(crowd, "key").groupBy("id").agg(F.count("*").alias("lost")), "jaccard-late")
+    crowd = stored(shared.filter(F.col("size") > CROWD).select("key"), "jaccard-crowd")
+    late = stored(first.join(crowd, "key").groupBy("h").agg(F.count("*").alias("lost")), "jaccard-late")
     # sets with keys of crowded cells take the next ones
-    ahead = classes.join(late, "id").select("id", "n", "lost", F.expr("substring(more, 1, 8 * (3 * lost + 8))").alias("keys"))
-    more = stored(ahead.select("id", "n", "keys").mapInArrow(_unpacked, _CELL).join(crowd, "key", "left_anti"), "jaccard-more")
-    got = more.groupBy("id").agg(F.count("*").alias("got"))
-    short = ahead.join(got, "id", "left").filter(F.coalesce("got", F.lit(0)) < F.col("lost")).select("id")
-    short = stored(short, "jaccard-short")
-    parts = [first.join(crowd, "key", "left_anti"), more]
-    if not short.isEmpty():
-        # sets that are made of little else take all their shingles: those of crowded cells last, as many as they need
-        their = of_docs.join(short.withColumnRenamed("id", "h"), "h", "left_semi").select("id").distinct()
-        whole = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(their, "id", "left_semi")
-        rest_keys = _rest(whole, words, threshold).select(h, "n", "keys").join(short, "id", "left_semi").distinct()
-        rest = stored(classes.join(short, "id", "left_semi").select("id", "n", F.concat("keys", "more").alias("keys")).mapInArrow(_unpacked, _CELL).unionByName(rest_keys.mapInArrow(_unpacked, _CELL)).distinct(), "jaccard-rest")
-        free = stored(rest.join(crowd, "key", "left_anti"), "jaccard-free")
-        room = free.groupBy("id").agg(F.count("*").alias("free"))
-        # the order of crowded keys: any, but the same for all; a set has at most as many as words
-        held = rest.join(crowd, "key", "left_semi").groupBy("id", "n").agg(F.array_sort(F.collect_list("key")).alias("ks")).join(room, "id", "left")
-        need = F.greatest(F.lit(0), p(F.col("n")) - F.coalesce("free", F.lit(0))).cast("int")
-        parts += [free, held.select(F.explode(F.slice("ks", F.lit(1), need)).alias("key"), "id", "n")]
-    extra = parts[1].unionByName(parts[2]).unionByName(parts[3]) if len(parts) > 2 else parts[1]
+    ahead = classes.select("h", "more").join(late, "h").select("h", F.expr("substring(more, 1, 6 * (3 * lost + 8))").alias("keys"))
+    more = stored(_cells_of(ahead).join(crowd, "key", "left_anti"), "jaccard-more")
+    got = more.groupBy("h").agg(F.count("*").alias("got"))
+    short = stored(late.join(got, "h", "left").filter(F.coalesce("got", F.lit(0)) < F.col("lost")).select("h"), "jaccard-short")
+    scratch, rest, asking, extra = [shared, crowd, late, more, short], None, short, more
+    for turn in range(TURNS):
+        if not asking.isEmpty():
+            # sets that are made of little else take any of their shingles
+            their = stored(classes.select("h", "id", "n", "set_key").join(asking, "h"), "jaccard-their")
+            whole = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(stored(their.select("id").distinct(), "jaccard-asked"), "id", "left_semi")
+            keys = _all_keys(whole, words).join(their.select("h", "set_key"), "set_key").groupBy("h").agg(F.first("keys").alias("keys"))
+            made = _cells_of(keys)
+            rest = stored(made if rest is None else rest.unionByName(made), "jaccard-rest")
+            scratch += [their, rest]
+        before = more.join(short, "h", "left_anti")
+        if rest is not None:
+            # in the common order: by hash, those of crowded cells last; a set has at most as many as words
+            marked = rest.join(crowd.withColumn("last", F.lit(True)), "key", "left").groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "key"))).alias("ks"))
+            taken = F.slice("ks", F.lit(1), (F.size("ks") - F.ceil(F.size("ks") * threshold / 100) + 1).cast("int"))
+            chosen = stored(marked.select("h", F.explode(taken).alias("k")).select("h", "k.*"), "jaccard-chosen")
+            before = before.unionByName(chosen.filter("not last").select("key", "h"))
+            extra = before.unionByName(chosen.filter("last").select("key", "h"))
+            scratch.append(chosen)
+        if turn + 1 == TURNS:
+            break  # what is crowded now mostly holds sets that have nothing else: the regions are for them
+        sizes = shared.unionByName(extra.groupBy("key").agg(F.count("*").alias("size"))).groupBy("key").agg(F.sum("size").alias("size"))
+        fresh = stored(sizes.filter(F.col("size") > CROWD).select("key").join(crowd, "key", "left_anti"), "jaccard-fresh")
+        scratch.append(fresh)
+        if fresh.isEmpty():
+            break
+        held = before.unionByName(first.join(short, "h", "left_anti")).join(fresh, "key").select("h").distinct()
+        asking = stored(held.join(short, "h", "left_anti"), "jaccard-asking")
+        crowd, short = stored(crowd.union(fresh), "jaccard-crowd"), stored(short.union(asking), "jaccard-short")
+        scratch += [asking, crowd, short]
+    more = before
     asked = shared.select("key").join(crowd, "key", "left_anti").union(extra.select("key")).distinct()
-    found = stored(parts[0].join(asked, "key", "left_semi").unionByName(extra).distinct(), "jaccard-found")
-    sizes = found.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    made = found.join(sizes, "key").withColumnRenamed("id", "h").join(of_docs, "h")
-    made = stored(made.select("key", "id", "n", "size"), "jaccard-cells")
-    discard(shared, late, more, short, found, *([rest, free] if len(parts) > 2 else []))
+    found = stored(first.join(short, "h", "left_anti").join(asked, "key", "left_semi").unionByName(extra), "jaccard-found")
+    met = stored(found.join(found.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "jaccard-met")
+    scratch += [found, met]
+    # keys that stand in the order before those of crowded cells: the first ones but the lost, and those taken instead
+    lost, taken = late.withColumnRenamed("lost", "k"), more.groupBy("h").agg(F.count("*").alias("t"))
+    kept = classes.select("h", "id", "n").join(met.select("h").distinct(), "h", "left_semi").join(lost, "h", "left").join(taken, "h", "left").join(short.withColumn("s", F.lit(True)), "h", "left")
+    own = F.when(F.col("s"), 0).otherwise(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - F.coalesce("k", F.lit(0))) + F.coalesce("t", F.lit(0))
+    full = met.filter(F.col("size") > CROWD).groupBy("h").agg(F.count("*").alias("g"))
+    kept = kept.join(full, "h", "left").select("h", "id", F.col("n").cast("int").alias("n"), (F.col("n") - own + F.coalesce("g", F.lit(0))).cast("int").alias("rest"))
+    several = classes.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id", F.lit(True).alias("several"))  # of these nothing is said
+    kept = kept.join(several, "id", "left").select("h", "id", "n", F.when(F.col("several"), F.col("n")).otherwise(F.col("rest")).alias("rest"))
+    made = stored(met.join(kept, "h").select("key", "id", "n", "size", "rest"), "jaccard-cells")
+    discard(*scratch)
     return made
 
 
@@ -209,42 +244,51 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     nothing; so is a row with a null id. Rows that repeat an id are one document, linked where any of their texts is; equal
     texts (ties) are one class. Texts of any length. Columns but id and text are ignored. An empty table gives no rows.
     """
-    base = stored(_fingerprints(df, id, text, words, threshold), "jaccard-base")
-    known = base.filter("set_key is not null and id is not null")
-    classes = stored(known.groupBy("set_key").agg(F.min(F.struct("id", "n", "keys", "more")).alias("r")).select("set_key", "r.*"), "jaccard-classes")
+    prints = stored(_fingerprints(df, id, text, words, threshold), "jaccard-prints")
+    known = prints.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "n", "keys", "more")).alias("r"))
+    classes = stored(known.select(F.monotonically_increasing_id().alias("h"), "set_key", "r.*"), "jaccard-classes")
+    base = stored(prints.select("id", "n", "set_key"), "jaccard-base")
+    discard(prints)
     members = cells(classes, df, id, text, words, threshold)
     r = 1 - threshold / 100
-    likely = lambda n, m: 100 * F.least(n, m).cast("long") >= threshold * F.greatest(n, m).cast("long")
     pivot = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c")).select("key", F.col("c.id").alias("c"))
     members = stored(members.join(pivot, "key"), "jaccard-members")
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
+    # pairs of small cells that can be linked by their sizes and by the cells they share
+    left, right = (members.filter(F.col("size") <= CROWD).select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "rest")]) for s in "ab")
+    likely = 100 * F.least("n_a", "n_b").cast("long") >= threshold * F.greatest("n_a", "n_b").cast("long")
+    met = left.join(right, "key").filter((F.col("id_a") < F.col("id_b")) & likely).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+    possible = (F.col("shared") + F.col("rest")) * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))
+    met = stored(met.filter(possible).select("a", "b"), "jaccard-met")
+    # sets that may be linked without a small cell in common: only their crowded cells have to be gone through
+    loose = stored(members.filter((F.col("size") > CROWD) & (100 * F.col("rest").cast("long") >= threshold * F.col("n").cast("long"))).select("key").distinct(), "jaccard-loose")
+    crowded = stored(members.filter(F.col("size") > CROWD).join(loose, "key", "left_semi").select("id", "c").distinct(), "jaccard-crowded")
+    involved = stored(met.select(F.col("a").alias("id")).union(met.select("b")).union(crowded.select("id")).distinct(), "jaccard-involved")
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
     texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "jaccard-texts")
-    stars = members.filter("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    centres = members.filter("id <> c").select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b"), "c").distinct()
+    stars = stored(met.join(centres, ["a", "b"]).select(F.col("c").alias("a"), F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "jaccard-centres")
     stars = stored(_distances(stars, texts, words).groupBy("a", "b").agg(F.min("d").alias("d"), F.max("d").alias("far")), "jaccard-stars")
     links = stored(stars.filter(near(F.col("d"), threshold)).select("a", "b"), "jaccard-links")
-    crowded = stored(members.filter(F.col("size") > CROWD).select("id", "c").distinct(), "jaccard-crowded")
     clusters = components(crowded.select(F.col("id").alias("a"), F.col("c").alias("b")))
     pieces, links = regions(clusters.select(F.col("component").alias("region"), "id"), links, texts, words, threshold)
     joined = components(links)
     inside = _crowded_links(pieces.select("id", F.col("region").alias("component")), joined, classes.groupBy("id").agg(F.max("n").alias("n")), texts, words, threshold)
     links = stored(links.unionByName(inside), "jaccard-links")
     joined = components(links)
-    # pairs of a cell inside the window: seen from its pivot at most r apart
-    seen = stars.select(F.col("a").alias("c"), F.col("b").alias("id"), "d", "far")
-    split = members.filter(F.col("size") <= CROWD).select("key", "id", "n", "c").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = split.join(clusters.withColumnRenamed("component", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    split = split.join(seen, ["c", "id"], "left").withColumns({"d": F.coalesce("d", F.lit(0.0)), "far": F.coalesce("far", F.lit(0.0))})
-    mixed = split.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    split = stored(split.join(mixed, "key", "left_semi"), "jaccard-open")
-    left, right = (split.select("key", "c", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "component", "cluster", "d", "far")]) for s in "ab")
-    window = (F.col("d_a") <= F.col("far_b") + r + 1e-9) & (F.col("d_b") <= F.col("far_a") + r + 1e-9)
-    pairs = left.join(right.drop("c"), "key").filter("id_a < id_b and component_a <> component_b and cluster_a <> cluster_b and id_a <> c and id_b <> c").filter(window & likely(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    late = stored(_confirm(pairs, texts, words, threshold), "jaccard-late")
+    # pairs inside the window: seen from each pivot that both were measured from at most r apart, and of different components
+    seen = stars.select("a", "b", "d", "far").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "far"))
+    of = lambda x, name: joined.select(F.col("id").alias(x), F.col("component").alias(name))
+    open_ = met.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    open_ = stored(open_.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-open")
+    from_ = lambda x: stars.select(F.col("b").alias(x), F.col("a").alias("p"), F.col("d").alias(f"d_{x}"), F.col("far").alias(f"far_{x}"))
+    apart = (F.col("d_a") > F.col("far_b") + r + 1e-9) | (F.col("d_b") > F.col("far_a") + r + 1e-9)
+    outside = open_.join(from_("a"), "a").join(from_("b"), ["b", "p"]).filter(apart).select("a", "b").distinct()
+    late = stored(_confirm(open_.join(outside, ["a", "b"], "left_anti"), texts, words, threshold), "jaccard-late")
     set_ids = classes.select("set_key", F.col("id").alias("set_id"))
     several = base.filter("set_key is not null").groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("id")
     repeated = base.join(several, "id", "left_semi").join(set_ids, "set_key").select(F.col("id").alias("a"), F.col("set_id").alias("b"))  # an id's sets belong together
     whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late).union(repeated))
-    discard(members, stars, split, late, texts, crowded)
+    discard(members, met, stars, open_, late, texts, crowded)
     rows = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")).join(set_ids, "set_key", "left").withColumn("set_id", F.coalesce("set_id", "id")).join(whole.withColumnRenamed("id", "set_id"), "set_id", "left")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "set_id").alias("component_id"))
