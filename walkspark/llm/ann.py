@@ -5,7 +5,9 @@ the entry point proposes neighbours, and robust pruning with a relaxed distance
 kept neighbour is much closer to; reverse edges are pruned alike. Queries are beam-searched in every shard,
 and the best of all shards are ranked on exact inner products in double precision.
 
-Inner product becomes distance by one extra coordinate that gives all vectors the largest norm. Equal vectors
+Inner product becomes distance by one extra coordinate that gives all vectors of a shard the largest norm. A shard
+holds vectors of one band of norms (a factor of 16), so that a few large vectors don't hide the differences between
+the others, and its graph is built on vectors scaled by a power of two, so that no finite vector is too large. Equal vectors
 are one node, which carries the smallest ids of its class: no other member can be among the k nearest. A shard's
 task reads its nodes first, then its queries batch by batch, so that it holds one shard and one batch.
 """
@@ -20,6 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, SHARD_MB = 8, 128
+#: Norms of a band differ by a factor below 2 ** BAND; there are some 525 bands of doubles.
+BAND = 4
+#: A band of few vectors has no more shards than this many vectors each allow.
+FEW = 64
 
 
 class Graph:
@@ -145,24 +151,41 @@ def _search_shards(k: int, degree: int, beam: int, alpha: float):
                     every = pd.concat(nodes)
                     x = np.stack(every["vector"].to_numpy()).astype(np.float64)
                     members = every["members"].to_list()
-                    top = float(every["top"].iloc[0])
-                    lift = np.sqrt(np.maximum(0, top - (x * x).sum(axis=1)))
-                    graph = Graph(np.c_[x, lift].astype(np.float32), degree, beam, alpha)
+                    scaled = _scaled(x, np.abs(x).max())
+                    square = (scaled * scaled).sum(axis=1)
+                    graph = Graph(np.c_[scaled, np.sqrt(square.max() - square)].astype(np.float32), degree, beam, alpha)
                 for lo in range(0, len(queries), 256):
                     some = queries.iloc[lo : lo + 256]
                     q = np.stack(some["vector"].to_numpy()).astype(np.float64)
-                    found, _ = graph.search(np.c_[q, np.zeros(len(q))].astype(np.float32), max(3 * beam, 2 * k))
+                    unit = _scaled(q, np.abs(q).max(axis=1, keepdims=True))
+                    found, _ = graph.search(np.c_[unit, np.zeros(len(q))].astype(np.float32), max(3 * beam, 2 * k))
                     yield _ranked(some["query_id"].to_numpy(np.int64), q, found, x, members, k)
 
     return run
 
 
+def _scaled(x: np.ndarray, peak: np.ndarray) -> np.ndarray:
+    """x times the power of two that brings peak, the largest component, below 1."""
+    return np.ldexp(x, -np.frexp(peak)[1])
+
+
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; one that doubles can't hold is an infinity of its sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = (x * q).sum(axis=1)
+        if len(over := np.flatnonzero(~np.isfinite(exact))):
+            far = np.abs(x[over]).max(axis=1, keepdims=True)
+            part = (_scaled(x[over], far) * _scaled(q, np.abs(q).max())).sum(axis=1)
+            exact[over] = np.ldexp(part, np.frexp(far[:, 0])[1] + np.frexp(np.abs(q).max())[1])
+    return exact
+
+
 def _ranked(ids, q, found, x, members, k) -> pd.DataFrame:
     """The k best of what each query found. Nodes that tie with the last place all take part, so that ids decide."""
     out = []
     for i, query in enumerate(ids):
         nodes = found[i][found[i] >= 0]
-        exact = (x[nodes] * q[i]).sum(axis=1)
+        exact = _products(x[nodes], q[i])
         least = np.sort(exact)[::-1][min(k, len(exact) - 1)]  # of k + 1 nodes: the query's own class may give no one but the query
         best = [(-exact[j], int(v)) for j in np.flatnonzero(exact >= least) for v in members[nodes[j]] if v != query]
         out += [(query, v, -s) for s, v in sorted(best)[:k]]
@@ -173,29 +196,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector:
     """(query_id, rank, vec_id, score): for each query the k vectors of largest inner product found, itself left out.
 
     Ties go to the smaller id, among all that the search met. Null or zero vectors and those with null or non-finite
-    components take no part, nor do null ids; vectors are compared with queries of their own dimension. Repeated rows
+    components take no part, nor do null ids; a product too large for a double is an infinity of its sign; vectors are compared with queries of their own dimension. Repeated rows
     count once. An id with several vectors is one query and one candidate, with the best score of any of them. There are
-    `shards` shards, more where a shard's graph would take over shard_mb megabytes; every query is searched in each.
+    `shards` shards for a band of norms, more where a shard's graph would take over shard_mb megabytes, fewer for few
+    vectors; every query is searched in each.
     Empty tables give no rows; columns but id and vector are ignored.
     """
     valid = lambda c: c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
     clean = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & F.coalesce(valid(F.col("vector")), F.lit(False)))
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    peak = F.array_max(F.transform("vector", F.abs))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("peak")) * (x / F.col("peak")))
     least = F.row_number().over(Window.partitionBy("h", "vector").orderBy("id"))
     some = clean(vectors).distinct().withColumn("h", F.xxhash64("vector")).withColumn("r", least).filter(F.col("r") <= k + 1)  # ranks are limited before the shuffle
     nodes = some.groupBy("h", "vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    nodes = nodes.withColumns({"dim": F.size("vector"), "square": square})
-    sizes = {r["dim"]: (r["n"], r["top"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max("square").alias("top")).collect()}
+    nodes = nodes.withColumns({"dim": F.size("vector"), "peak": peak})
+    nodes = nodes.withColumn("band", F.floor((F.log2("peak") + F.log2(square) / 2 + BAND / 2) / BAND).cast("int")).drop("peak")  # no norm of usual vectors, 1 above all, is at a bound
+    sizes = sorted(tuple(r) for r in nodes.groupBy("dim", "band").agg(F.count("*").alias("n")).collect())
     rows = lambda dim: max(1000, (shard_mb << 20) // (12 * dim + 4 * degree + 64))
-    count = {d: max(shards, -(-n // rows(d))) for d, (n, _) in sizes.items()}
-    if not count:
+    if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of = lambda what: F.coalesce(*[F.when(F.col("dim") == d, F.lit(v)) for d, v in what.items()])  # noqa: E731  one entry a dimension
-    numbered = nodes.select((F.col("dim") * 1_000_000 + F.pmod("h", of(count))).alias("shard"), F.lit(None).cast("long").alias("query_id"), "members", "vector", of({d: t for d, (_, t) in sizes.items()}).alias("top"))
-    asked = clean(queries).distinct().withColumn("dim", F.size("vector")).filter(F.col("dim").isin(list(count)))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), of(count).cast("long") - 1))
-    asked = asked.select("id", "vector", "dim", each.alias("_shard")).select((F.col("dim") * 1_000_000 + F.col("_shard")).alias("shard"), F.col("id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("members"), "vector", F.lit(None).cast("double").alias("top"))
-    dealt = numbered.union(asked).repartition(4 * sum(count.values()), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    plan, total = [], 0
+    for dim, band, n in sizes:
+        count = max(min(shards, -(-n // FEW)), -(-n // rows(dim)))
+        plan.append((dim, band, total, count))
+        total += count
+    plan = F.broadcast(vectors.sparkSession.createDataFrame(plan, "dim int, band int, first long, count long"))  # a row for each band of a dimension
+    numbered = nodes.join(plan, ["dim", "band"]).select((F.col("first") + F.pmod("h", "count")).alias("shard"), F.lit(None).cast("long").alias("query_id"), "members", "vector")
+    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1))
+    asked = clean(queries).distinct().withColumn("dim", F.size("vector")).join(plan, "dim")
+    asked = asked.select(each.alias("shard"), F.col("id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("members"), "vector")
+    dealt = numbered.union(asked).repartition(4 * total, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
     found = dealt.mapInPandas(_search_shards(k, degree, beam, alpha), "query_id long, vec_id long, score double")
     once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
