@@ -29,7 +29,8 @@ DROPPED = frozenset(["script", "style", "noscript", "template", "nav", "footer",
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*").match
 CLOSES = re.compile(rf"</({'|'.join(sorted(DROPPED))}|div)\b", re.I).finditer
 ADVERT = re.compile(r"<div class=\"?ad\b", re.I).match
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+ROOT = re.compile(r"<html\b", re.I).search
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I).search
 #: Country-code domains and the language most pages under them use.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "se": "sv", "jp": "ja"}
 
@@ -68,6 +69,17 @@ def visible_text(page: str) -> str:
     return " ".join(entities.unescape(" ".join(out)).split())
 
 
+def declared_language(page: str) -> str | None:
+    """The language of the first html tag that names one, in one pass: each tag is read up to its end and no further."""
+    at = 0
+    while m := ROOT(page, at):
+        end = page.find(">", m.end())
+        at = end if end >= 0 else len(page)
+        if found := LANG(page, m.end(), at):
+            return found[1].lower()
+    return None
+
+
 def trigram_bins(text: str, bins: int) -> np.ndarray:
     """A bin for each byte trigram of the lower-case text."""
     raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
@@ -118,8 +130,7 @@ def evidence(pages: DataFrame, labels: list[str], model: np.ndarray, id: str = "
             declared, scores = [], []
             for page in batch.column(2).to_pylist():
                 page = page or ""
-                m = DECLARED.search(page)
-                declared.append(m[1].lower() if m else None)
+                declared.append(declared_language(page))
                 found = trigram_bins(visible_text(page), bins)
                 s = trust * (model[:, found].sum(axis=1) if len(found) else np.zeros(len(labels)))
                 s -= s.max() if len(s) else 0
