@@ -1,7 +1,8 @@
 """Line-first cleaning: rules judge every line, failing lines go, and a document that loses too
 much of its text that way goes too. Built-in functions only, row by row, without a shuffle.
 
-Rules for a line (lines without a word are left out first):
+Rules for a line (lines without a word are left out first; words are parted and lines end by any of the six ASCII
+white-space characters, so a carriage return before the line's end says nothing):
 - punctuation: over a tenth of its characters are marks such as # * $ % & | < >, or over a fifth of its words
   end in doubled marks ("!!"), or it has no closing mark, fewer than `min_words` words and isn't the only line;
 - navigation: at least two separators (| » › • ·), one for four words or more;
@@ -25,6 +26,8 @@ STOCK = [
     "terms of use", "sign up for our newsletter", "subscribe to our newsletter", "skip to content", "back to top", "lorem ipsum",
 ]
 STOCK_WORDS = 15
+WORD = r"[^\x20\x09-\x0D]+"
+BLANK = " \t\n\x0b\f\r"
 MARKS = r"[#*$%&|<>{}\[\]\\^~=_]"
 SEPARATORS = r"[|»›•·]"
 CLOSING = list(".!?…:;。！？\"'”’»)]")
@@ -57,13 +60,13 @@ def repeated_words(words: Column) -> Column:
 def line_fails(line: Column, min_words: Column, marked: Column, stock: Column) -> Column:
     """The rules that look at one line alone. marked, stock: whether the whole text has any mark,
     separator or doubled mark, or any stock phrase; most texts have none and skip those rules."""
-    n_words = F.size(F.split(line, " "))
+    n_words = F.regexp_count(line, F.lit(WORD))
     marks = F.regexp_count(line, F.lit(MARKS))
     bars = F.regexp_count(line, F.lit(SEPARATORS))
     doubled = F.regexp_count(line, F.lit(DOUBLED))
     punctuation = (marks * 10 > F.length(line)) | (doubled * 5 > n_words)
     navigation = (bars >= 2) & (bars * 4 >= n_words)
-    unclosed = ~F.substring(F.trim(line), -1, 1).isin(CLOSING) & (n_words < min_words)
+    unclosed = ~F.substring(F.rtrim(line, F.lit(BLANK)), -1, 1).isin(CLOSING) & (n_words < min_words)
     without = F.length(F.regexp_replace(F.lower(line), "|".join(STOCK), ""))
     phrases = let(F.length(F.lower(line)) - without, lambda n: (n > 0) & ((n_words <= STOCK_WORDS) | (5 * n > F.length(line))))
     return (marked & (punctuation | navigation)) | (stock & phrases) | unclosed

@@ -116,8 +116,8 @@ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM v WHERE
 r AS (SELECT rid, count(DISTINCT i + o) AS n FROM g, (VALUES (0), (1), (2)) AS s(o) WHERE n >= 2 GROUP BY rid),
 l AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}')),
 ls AS (SELECT rid, count(*) AS n, count(DISTINCT x) AS nd, sum(length(x)) AS whole FROM l GROUP BY rid),
-f AS (SELECT rid, x, n, length(x) AS size, len(string_split(x, ' ')) AS k, {_COUNT(MARKS)} AS marks, {_COUNT(SEPARATORS)} AS bars,
-{_COUNT(DOUBLED.replace("(?=", "(?:").replace(chr(92) + "s", "[ " + chr(92) + "t" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]"))} AS doubled, right(trim(x), 1) IN ({", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)}) AS closed,
+f AS (SELECT rid, x, n, length(x) AS size, {_COUNT(_WORD + "+")} AS k, {_COUNT(MARKS)} AS marks, {_COUNT(SEPARATORS)} AS bars,
+{_COUNT(DOUBLED.replace("(?=", "(?:").replace(chr(92) + "s", "[ " + chr(92) + "t" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]"))} AS doubled, right(rtrim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1) IN ({", ".join("'" + c.replace("'", "''") + "'" for c in CLOSING)}) AS closed,
 length(x) - length(regexp_replace(lower(x), '{"|".join(STOCK)}', '', 'g')) AS phrases FROM (SELECT DISTINCT l.rid, x, n FROM l JOIN ls ON ls.rid = l.rid)),
 k AS (SELECT rid, sum(size) AS kept FROM f WHERE NOT (marks * 10 > size OR doubled * 5 > k OR (bars >= 2 AND bars * 4 >= k) OR (NOT closed AND n > 1 AND k < 4) OR (phrases > 0 AND (k <= {STOCK_WORDS} OR 5 * phrases > size))) GROUP BY rid),
 m AS (SELECT doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ls.n - nd, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(1 - coalesce(kept, 0) / whole, 1) AS lost
