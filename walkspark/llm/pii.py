@@ -143,8 +143,8 @@ def _each(run, *names):
     return apply
 
 
-def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> list[str]:
-    """Reliable patterns: at least `confidence` after the last round, found before `support` or more distinct trusted identifiers.
+def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
+    """A written table (pattern) of reliable patterns: at least `confidence` after the last round, found before `support` or more distinct trusted identifiers.
 
     Trusted are the seeds and, from the second round on, identifiers with a score of `confidence` or more, so
     what a pattern finds induces further patterns. All patterns that stand before `support` or more distinct
@@ -167,14 +167,14 @@ def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, su
     totals = stored(totals.join(able, "pattern", "left_semi"), "pii-totals")
     edges = stored(graph.join(able, "pattern", "left_semi"), "pii-edges")
     scores = edges.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
-    patterns = None
+    patterns = documents.sparkSession.createDataFrame([], "pattern string, reliable double")
     for k in range(rounds):
         sums = edges.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("n")).alias("found"), F.count(F.when(F.col("seed") | (F.col("score") >= confidence), 1)).alias("trusted"))
         patterns = stored(sums.filter(F.col("trusted") >= support).join(totals, "pattern").select("pattern", (F.col("found") / F.col("total")).alias("reliable")), "pii-patterns")
         if k + 1 < rounds:
             miss = F.when(F.max("seed"), F.lit(0.0)).otherwise(F.exp(F.sum(F.log(F.greatest(1.0 - F.coalesce("reliable", F.lit(0.0)), F.lit(1e-9))))))
             scores = stored(edges.join(patterns, "pattern", "left").groupBy("instance").agg((1.0 - miss).alias("score")), "pii-scores")
-    return sorted(r["pattern"] for r in patterns.filter(F.col("reliable") >= confidence).collect()) if patterns is not None else []
+    return patterns.filter(F.col("reliable") >= confidence).select("pattern")
 
 
 def _marks(patterns: DataFrame) -> np.ndarray:
@@ -246,19 +246,38 @@ def all_spans(text: str, patterns: set[str], earlier: list | None = None) -> tup
     return base, sorted([*base, *more], key=_order)
 
 
-def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns: int) -> tuple[DataFrame, list[str], str]:
-    """documents with a new column, the starts and ends that all patterns but the last max_patterns find, and these last ones, and the column's name.
+def _pieces(patterns: DataFrame | list[str], max_patterns: int) -> Iterator[list[str]]:
+    """The patterns in lists of at most max_patterns. Of a table the driver reads one hash class at a time, half a list on average."""
+    if isinstance(patterns, DataFrame):
+        classes = -(-patterns.count() // max_patterns)
+        if classes > 1:
+            classes *= 2
+            patterns = stored(patterns.withColumn("class", F.pmod(F.xxhash64("pattern"), F.lit(classes)).cast("int")).repartitionByRange("class"), "pii-classes")
+        read = lambda k: patterns.filter(F.col("class") == k) if classes > 1 else patterns
+        parts = (sorted(r["pattern"] for r in read(k).collect()) for k in range(classes))
+    else:
+        parts = iter([list(patterns)])
+    for part in parts:
+        for at in range(0, len(part), max_patterns):
+            yield part[at : at + max_patterns]
 
-    Each pass but the last takes max_patterns patterns and writes the table, so no worker ever holds more of them.
+
+def _passes(documents: DataFrame, text: str, patterns: DataFrame | list[str], max_patterns: int) -> tuple[DataFrame, list[str], str]:
+    """documents with a new column, the starts and ends that all patterns but those of the last pass find, and these last ones, and the column's name.
+
+    Each pass but the last takes at most max_patterns patterns and writes the table, so neither the driver nor a worker
+    ever holds all of them.
     """
     (name,) = unused(documents, "found")
     df = documents.withColumn(name, F.lit(None).cast("array<int>"))
-    schema, written = df.schema, None
-    for at in range(0, len(patterns) - max_patterns, max_patterns):
-        part = patterns[at : at + max_patterns]
-
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            chosen = set(part)
+    schema, written, part = df.schema, None, []
+    for following in _pieces(patterns, max_patterns):
+        part, before = following, part
+        if not before:
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch], these=before) -> Iterator[pa.RecordBatch]:
+            chosen = set(these)
             for batch in batches:
                 found = [[x for lo, hi, k in all_spans(t, chosen, e)[1] if k == 4 for x in (lo, hi)] if t else None for t, e in zip(batch.column(text).to_pylist(), batch.column(name).to_pylist())]
                 yield pa.RecordBatch.from_pydict({n: pa.array(found, pa.list_(pa.int32())) if n == name else batch.column(n) for n in batch.schema.names})
@@ -267,13 +286,13 @@ def _passes(documents: DataFrame, text: str, patterns: list[str], max_patterns:
         if last is not None:
             discard(last)
         df = written
-    return df, patterns[(len(patterns) - 1) // max_patterns * max_patterns :] if patterns else [], name
+    return df, part, name
 
 
-def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def find_pii(documents: DataFrame, text: str = "text", patterns: DataFrame | list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """documents without their text, with `base` and `spans`: arrays of struct<kind, start, end> ordered by start, then kind.
 
-    Positions are code points, ends exclusive. patterns: from learn_patterns (default: learnt here).
+    Positions are code points, ends exclusive. patterns: a table (pattern) from learn_patterns (default: learnt here), or a list.
     More than max_patterns take several passes over the texts.
     Null and empty texts have no spans; texts of any length are searched whole. Each row is judged alone, so repeated rows
     get equal spans; spans that start together (ties) stand by kind. Columns named base or spans are replaced, others stay.
@@ -296,7 +315,7 @@ def find_pii(documents: DataFrame, text: str = "text", patterns: list[str] | Non
     return df.mapInArrow(run, schema)
 
 
-def redact(documents: DataFrame, text: str = "text", patterns: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def redact(documents: DataFrame, text: str = "text", patterns: DataFrame | list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """documents with every span of `text` replaced by <KIND>; the longest wins where spans overlap. Null stays null."""
     known = learn_patterns(documents, text) if patterns is None else patterns
     df, known, name = _passes(documents, text, known, max_patterns)
