@@ -295,8 +295,10 @@ def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: i
     return Model(words, pairs, histories, buckets, total, vocabulary, d1, d2, unit, unknown, known)
 
 
-SUMS = "kind byte, doc long, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
-SENT = "kind byte, bucket int, n long, data binary, doc long, doc_id long, rows long, tokens long, known long, base double, part double"
+#: A row of the input goes by two hashes of its id and text, 128 bits in all, so that no two of any corpus meet.
+ROW = ["doc", "doc2"]
+SUMS = "kind byte, doc long, doc2 long, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
+SENT = "kind byte, bucket int, n long, data binary, doc long, doc2 long, doc_id long, rows long, tokens long, known long, base double, part double"
 
 
 def _columns(schema: str, size: int, /, **given) -> pa.RecordBatch:
@@ -333,7 +335,7 @@ def _send(model: Model):
             part = by_doc(cached, log_kept[at] - log_total[h[cached].astype(np.int64)])
             made = {"tokens": lengths, "known": by_doc(common, (frequent_n[place] > 0).astype(np.float64)).astype(np.int64), "base": by_doc(common, log_base[place]), "part": part}
             spread = pa.array(np.arange(len(lengths)) % buckets, pa.int32())
-            yield _columns(SENT, len(lengths), kind=2, bucket=spread, doc=rows.column("doc"), doc_id=rows.column("doc_id"), rows=1, **made)
+            yield _columns(SENT, len(lengths), kind=2, bucket=spread, doc=rows.column("doc"), doc2=rows.column("doc2"), doc_id=rows.column("doc_id"), rows=1, **made)
             rest = np.ones(len(w), bool)
             rest[cached] = False
             h, w, doc = h[rest], w[rest], doc[rest]
@@ -343,7 +345,7 @@ def _send(model: Model):
             first = _starts(bucket, h, w, doc)
             n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
             h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
-            ids = np.asarray(rows.column("doc")).view(np.uint64)
+            ids = np.stack([np.asarray(rows.column(c)) for c in ROW], axis=1)
             cuts = np.r_[_starts(bucket), len(bucket)]
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -391,7 +393,7 @@ def _answer(model: Model):
             kinds = np.asarray(batch.column(0))
             passed = batch.filter(pa.array(kinds == 2))
             if passed.num_rows:
-                yield _columns(SUMS, passed.num_rows, kind=0, **{c: passed.column(c) for c in ("doc", "doc_id", "rows", "tokens", "known", "base", "part")})
+                yield _columns(SUMS, passed.num_rows, kind=0, **{c: passed.column(c) for c in (*ROW, "doc_id", "rows", "tokens", "known", "base", "part")})
             asked = batch.filter(pa.array(kinds < 2))
             for kind, bucket, size, data in zip(*[asked.column(c).to_pylist() for c in ("kind", "bucket", "n", "data")]):
                 if bucket != at:
@@ -402,8 +404,8 @@ def _answer(model: Model):
     def answers(table: _Bucket, data: bytes, size: int) -> Iterator[pa.RecordBatch]:
         _, frequent_n, log_total, log_alpha, _, _ = known.value
         docs = int(np.frombuffer(data, np.uint32, 1)[0])
-        ids = np.frombuffer(data, np.int64, docs, 4)
-        h, w, n, doc = _unpack_pairs(data[4 + 8 * docs :], size, "u4", "u4")
+        ids = np.frombuffer(data, np.int64, 2 * docs, 4).reshape(docs, 2)
+        h, w, n, doc = _unpack_pairs(data[4 + 16 * docs :], size, "u4", "u4")
         pair_n, word_n = table.pair_n(h, w), table.word_n(w)
         seen, rare_w, rare_h = pair_n > 0, w >= RARE, h >= RARE
         below = np.log10(np.where(word_n > 0, _discounted(word_n, d1) / unit, unknown))
@@ -413,28 +415,29 @@ def _answer(model: Model):
         part[~rare_h] += np.where(seen[~rare_h], -log_total[of], log_alpha[of])
         base = np.where(rare_w, np.log10((word_n + 1) / places), 0.0)
         sums = [np.bincount(doc, n * x, docs) for x in (rare_w & (word_n > 0), base, part)]
-        yield _columns(SUMS, docs, kind=0, doc=ids, known=sums[0].astype(np.int64), base=sums[1], part=sums[2])
+        yield _columns(SUMS, docs, kind=0, doc=ids[:, 0], doc2=ids[:, 1], known=sums[0].astype(np.int64), base=sums[1], part=sums[2])
         if rare_h.any():
             doc, h, n, seen = doc[rare_h], h[rare_h], n[rare_h].astype(np.int64), seen[rare_h]
             order = np.lexsort((h, doc))
             doc, h, n, seen = doc[order], h[order], n[order], seen[order]
             first = _starts(doc, h)
-            yield _columns(SUMS, len(first), kind=1, doc=ids[doc[first]], h=h[first].view(np.int64), seen=np.add.reduceat(n * seen, first), unseen=np.add.reduceat(n * ~seen, first))
+            yield _columns(SUMS, len(first), kind=1, doc=ids[doc[first], 0], doc2=ids[doc[first], 1], h=h[first].view(np.int64), seen=np.add.reduceat(n * seen, first), unseen=np.add.reduceat(n * ~seen, first))
 
     return run
 
 
 def apply(model: Model, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents (doc_id, text)."""
-    rows = documents.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"), "text")
+    said = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", F.xxhash64("doc_id", said).alias("doc"), F.xxhash64(F.lit(1), said, "doc_id").alias("doc2"), "text")
     sent = rows.mapInArrow(_send(model), SENT)
     tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
     both = tables.unionByName(sent, allowMissingColumns=True).repartition(4 * model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
     made = stored(both.mapInArrow(_answer(model), SUMS), "katz-sums")
-    sums = made.filter("kind = 0").groupBy("doc").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "part")])
-    used = made.filter("kind = 1").select("doc", "h", "seen", "unseen").join(model.histories, "h", "left")
-    backed = used.groupBy("doc").agg(F.sum(F.coalesce(F.col("unseen") * F.col("log_alpha") - F.col("seen") * F.col("log_total"), F.lit(0.0))).alias("backed"))
-    joined = sums.join(backed, "doc", "left").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # rows equal in id and text
+    sums = made.filter("kind = 0").groupBy(*ROW).agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "part")])
+    used = made.filter("kind = 1").select(*ROW, "h", "seen", "unseen").join(model.histories, "h", "left")
+    backed = used.groupBy(*ROW).agg(F.sum(F.coalesce(F.col("unseen") * F.col("log_alpha") - F.col("seen") * F.col("log_total"), F.lit(0.0))).alias("backed"))
+    joined = sums.join(backed, ROW, "left").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))  # rows equal in id and text
     each = lambda c: (F.col(c) / F.col("rows"))
     score = (F.col("part") + F.coalesce("backed", F.lit(0.0))) / F.col("rows")
     return joined.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), each("tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), each("base").alias("base_score"), score.alias("score"))
