@@ -81,6 +81,17 @@ def test_a_long_line_may_mention_a_stock_phrase(spark):
     assert got[3]["clean_text"] == lines
 
 
+def test_lines_end_and_words_part_at_any_white_space(spark):
+    plain = "\n".join(f"This is clean line number {i} with words {i * 7} and {i * 13} here." for i in range(12))
+    short = "\n".join(f"No {i}." for i in range(60))
+    loose = "\n".join(f"a{i} b{i} c{i} d{i} e{i}" for i in range(30))
+    pairs = [(x, x.replace("\n", "\r\n")) for x in (plain, short, loose)] + [(x, x.replace(" ", "\t")) for x in (plain, short, loose)] + [(loose, loose.replace("a", "  a"))]
+    rows = quality.clean_lines(_docs(spark, [t for pair in pairs for t in pair])).orderBy("doc_id").collect()
+    assert all(r["kept"] and r["lost_share"] == 0.0 for r in rows)
+    few = quality.clean_lines(_docs(spark, ["\n".join(f"   a{i}  b{i}" for i in range(60))])).first()
+    assert few["lost_share"] == 1.0 and not few["kept"]
+
+
 # sharding
 
 def test_sharding(spark):
@@ -354,7 +365,10 @@ def test_found_identifiers_induce_patterns_and_none_is_cut_by_rank(spark):
     texts += [f"lives in the m{i}@x.com or in the big town near in the old mill and in the wood" for i in range(60)]
     df = _docs(spark, [*texts, "entry badge=ZZ-90909 ok"])
     known = pii.learn_patterns(df)
-    assert {"label id:", "in badge="} <= set(known) and "words in the" not in known
+    names = [r["pattern"] for r in known.collect()]
+    assert {"label id:", "in badge="} <= set(names) and "words in the" not in names
+    assert sorted(p for part in pii._pieces(known, 1) for p in part) == sorted(names) and list(pii._pieces(known, 10_000)) == [sorted(names)]
+    assert all(len(part) == 1 for part in pii._pieces(known, 1))
     one = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, patterns=known, max_patterns=1).collect()}
     assert one == {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()} and [s["kind"] for s in one[len(texts)]] == ["id"]
     assert pii.redact(df, patterns=known, max_patterns=1).filter(F.col("doc_id") == len(texts)).first()["text"] == "entry badge=<ID> ok"
@@ -493,6 +507,47 @@ def test_recall_holds_as_shards_are_added(spark, rows, mb):
     assert hits >= 0.9 * 20 * len(got) and len(got) == rows // 100
 
 
+def _mean_recall(got, x, queries):
+    """Against numpy at the precision of long doubles."""
+    x = x.astype(np.longdouble)
+    hits = 0
+    for q in queries:
+        exact = x @ x[q]
+        hits += len(got[q] & set([i for i in np.lexsort((np.arange(len(x)), -exact)) if i != q][:20]))
+    return hits / (20 * len(queries))
+
+
+@pytest.mark.parametrize("large", [1e3, 1e4, 1e8, 1e20, 1e155])
+def test_a_few_large_vectors_neither_crash_nor_hide_the_others(spark, large):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[[3, 700]] *= large
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.filter("vec_id % 40 = 0"), shards=2).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert _mean_recall(got, x, range(0, len(x), 40)) >= 0.95
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e20, 1e155])
+def test_vectors_of_any_finite_size(spark, scale):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 12)) * scale
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, df.filter("vec_id % 50 = 0"), shards=2).collect()
+    assert len(rows) == 200 and not any(math.isnan(r["score"]) for r in rows)
+    if scale == 1e20:
+        got = defaultdict(set)
+        for r in rows:
+            got[r["query_id"]].add(r["vec_id"])
+            assert r["score"] == pytest.approx(float(x[r["query_id"]] @ x[r["vec_id"]]))
+        assert _mean_recall(got, x, range(0, 500, 50)) >= 0.95
+
+
+def test_products_beyond_doubles_have_their_sign():
+    assert ann._products(np.array([[1e200, 1e200], [1e200, -1e201], [3.0, 4.0]]), np.array([1e200, 1e200])).tolist() == [np.inf, -np.inf, 7e200]
+
+
 # licences
 
 @pytest.fixture(scope="module")
@@ -630,6 +685,18 @@ def test_language_equals_a_plain_fusion(spark):
         langid.train(docs, max_languages=2)
 
 
+def test_declared_language_is_one_pass():
+    import time
+
+    said = langid.declared_language
+    assert said('<!doctype html><HTML class="a" lang="DE-at"><p>') == "de" and said("<html lang = fr") == "fr"
+    assert said("<html><p lang=es>") is None and said("<html x><html lang=it>") == "it" and said("") is None
+    began = time.monotonic()
+    for opener in ("<html", "<html ", "<html lang ", "<html x>", "<html lang="):
+        assert said(opener * (1_000_000 // len(opener))) in (None, "htm")
+    assert time.monotonic() - began < 5
+
+
 def test_visible_text_is_one_pass():
     import time
 
