@@ -295,10 +295,11 @@ def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: i
     return Model(words, pairs, histories, buckets, total, vocabulary, d1, d2, unit, unknown, known)
 
 
-#: A row of the input goes by two hashes of its id and text, 128 bits in all, so that no two of any corpus meet.
+#: A row of the input goes by two hashes of its id and text, 96 bits in all, so that no two of any corpus meet.
 ROW = ["doc", "doc2"]
-SUMS = "kind byte, doc long, doc2 long, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
-SENT = "kind byte, bucket int, n long, data binary, doc long, doc2 long, doc_id long, rows long, tokens long, known long, base double, part double"
+KEY = np.dtype([("doc", "<i8"), ("doc2", "<i4")])
+SUMS = "kind byte, doc long, doc2 int, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
+SENT = "kind byte, bucket int, n long, data binary, doc long, doc2 int, doc_id long, rows long, tokens long, known long, base double, part double"
 
 
 def _columns(schema: str, size: int, /, **given) -> pa.RecordBatch:
@@ -345,7 +346,9 @@ def _send(model: Model):
             first = _starts(bucket, h, w, doc)
             n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
             h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
-            ids = np.stack([np.asarray(rows.column(c)) for c in ROW], axis=1)
+            ids = np.zeros(len(lengths), KEY)
+            for c in ROW:
+                ids[c] = np.asarray(rows.column(c))
             cuts = np.r_[_starts(bucket), len(bucket)]
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -404,8 +407,9 @@ def _answer(model: Model):
     def answers(table: _Bucket, data: bytes, size: int) -> Iterator[pa.RecordBatch]:
         _, frequent_n, log_total, log_alpha, _, _ = known.value
         docs = int(np.frombuffer(data, np.uint32, 1)[0])
-        ids = np.frombuffer(data, np.int64, 2 * docs, 4).reshape(docs, 2)
-        h, w, n, doc = _unpack_pairs(data[4 + 16 * docs :], size, "u4", "u4")
+        ids = np.frombuffer(data, KEY, docs, 4)
+        ids = {c: np.ascontiguousarray(ids[c]) for c in ROW}
+        h, w, n, doc = _unpack_pairs(data[4 + KEY.itemsize * docs :], size, "u4", "u4")
         pair_n, word_n = table.pair_n(h, w), table.word_n(w)
         seen, rare_w, rare_h = pair_n > 0, w >= RARE, h >= RARE
         below = np.log10(np.where(word_n > 0, _discounted(word_n, d1) / unit, unknown))
@@ -415,13 +419,13 @@ def _answer(model: Model):
         part[~rare_h] += np.where(seen[~rare_h], -log_total[of], log_alpha[of])
         base = np.where(rare_w, np.log10((word_n + 1) / places), 0.0)
         sums = [np.bincount(doc, n * x, docs) for x in (rare_w & (word_n > 0), base, part)]
-        yield _columns(SUMS, docs, kind=0, doc=ids[:, 0], doc2=ids[:, 1], known=sums[0].astype(np.int64), base=sums[1], part=sums[2])
+        yield _columns(SUMS, docs, kind=0, **ids, known=sums[0].astype(np.int64), base=sums[1], part=sums[2])
         if rare_h.any():
             doc, h, n, seen = doc[rare_h], h[rare_h], n[rare_h].astype(np.int64), seen[rare_h]
             order = np.lexsort((h, doc))
             doc, h, n, seen = doc[order], h[order], n[order], seen[order]
             first = _starts(doc, h)
-            yield _columns(SUMS, len(first), kind=1, doc=ids[doc[first], 0], doc2=ids[doc[first], 1], h=h[first].view(np.int64), seen=np.add.reduceat(n * seen, first), unseen=np.add.reduceat(n * ~seen, first))
+            yield _columns(SUMS, len(first), kind=1, **{c: x[doc[first]] for c, x in ids.items()}, h=h[first].view(np.int64), seen=np.add.reduceat(n * seen, first), unseen=np.add.reduceat(n * ~seen, first))
 
     return run
 
@@ -429,7 +433,7 @@ def _answer(model: Model):
 def apply(model: Model, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents (doc_id, text)."""
     said = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", F.xxhash64("doc_id", said).alias("doc"), F.xxhash64(F.lit(1), said, "doc_id").alias("doc2"), "text")
+    rows = documents.select("doc_id", F.xxhash64("doc_id", said).alias("doc"), F.hash(F.lit(1), said, "doc_id").alias("doc2"), "text")
     sent = rows.mapInArrow(_send(model), SENT)
     tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
     both = tables.unionByName(sent, allowMissingColumns=True).repartition(4 * model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
