@@ -27,12 +27,12 @@ def plain_quality(text):
     lines = [x for x in t.split("\n") if WORD.search(x)]
 
     def fails(x):
-        k, low = len(x.split(" ")), x.lower()
+        k, low = len(WORD.findall(x)), x.lower()
         marks, bars = len(re.findall(quality.MARKS, x)), len(re.findall(quality.SEPARATORS, x))
         doubled = len(re.findall(r"[!?*#$%&]{2,}(?=[ \t\n\x0b\f\r]|$)", x))
         without = re.sub("|".join(quality.STOCK), "", low)
         phrases = len(low) - len(without)
-        unclosed = x.strip(" ")[-1:] not in quality.CLOSING and k < (0 if len(lines) == 1 else 4)
+        unclosed = x.rstrip(" \t\n\x0b\f\r")[-1:] not in quality.CLOSING and k < (0 if len(lines) == 1 else 4)
         return 10 * marks > len(x) or 5 * doubled > k or (bars >= 2 and 4 * bars >= k) or unclosed or (phrases > 0 and (k <= quality.STOCK_WORDS or 5 * phrases > len(x)))
 
     kept = [x for x in dict.fromkeys(lines) if not fails(x)]
