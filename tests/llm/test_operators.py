@@ -589,6 +589,23 @@ def test_licences_equal_a_plain_scan(spark, licence_model):
     assert licenses.scan(df, bare).count() == len(texts)
 
 
+def test_licences_are_found_without_any_cue_word(spark, licence_model):
+    labels = ["mit", "gpl", licenses.UNKNOWN, licenses.NONE]
+    weights = {"permission": [0.6, 0.1, 0.0, 0.0], "is hereby granted": [0.9, 0.0, 0.5, 0.1], "to": [0.0, 0.0, 0.0, 0.4], "hereby": [0.1, 0.0, 0.3, 0.0], "free copyleft": [-0.5, 2.0, 0.0, -0.1]}
+    model = {"labels": labels, "bias": [0.0, -0.2, 0.1, 1.0], "weights": weights, "temperature": 1.0, "sure": 0.0, "cues": ["license"]}
+    texts = ["a\nPermission is hereby granted.\nto permission is hereby granted", "permission hereby\nhereby granted", "(free, copyleft)", "free permission", None, ""]
+    got = {r["doc_id"]: [x["paragraph"] for x in r["licences"]] for r in licenses.scan(_docs(spark, texts), model).collect()}
+    assert got == {0: [1, 2], 1: [], 2: [0], 3: [], 4: [], 5: []}
+    words = sorted({w for _, _, s in licenses.positives() for w in s.split()} - {"license", "licence", "under"})
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    for model in (licence_model, {**licence_model, "bias": [*licence_model["bias"][:-1], min(licence_model["bias"]) - 1.0]}):  # "none" may be unlikely
+        for r in licenses.scan(_docs(spark, lines + [" ", "zzz"]), model).collect():
+            line = (lines + [" ", "zzz"])[r["doc_id"]]
+            p, label = licenses.probability(model, licenses.plain_words(line))
+            assert [round(x["probability"], 9) for x in r["licences"]] == ([round(p, 9)] if label != licenses.NONE and line.strip() else [])
+
+
 def test_licences_of_texts_and_statements(spark, licence_model):
     rng = random.Random(9)
     said = {

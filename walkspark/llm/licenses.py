@@ -9,8 +9,9 @@ least probability at which few statements of licences that training never saw pa
 A prediction stands when the paragraph agrees with the family's templates: it holds one of the family's names, or
 half of its word pairs are the templates' word pairs. Otherwise the family is "unknown".
 
-Every training row of a licence holds one of the model's cue words, which no ordinary paragraph of the sample has. One
-look for them decides whether a text is parted into lines at all, so scoring is one pass of built-in functions, without a shuffle.
+Every paragraph is scored. A paragraph's words bound how far any label can rise above "none", as each n-gram's weight is put
+on one of its words; where the bound is under what the bias gives "none", the paragraph is "none" and its n-grams needn't be
+formed. So scoring is one pass of built-in functions, without a shuffle.
 """
 
 from __future__ import annotations
@@ -126,20 +127,29 @@ def positives() -> list[tuple[str, bool, str]]:
     return [(label, k % 5 == 0, s) for k, (label, s) in enumerate(rows)]
 
 
-def cue_words(rows: list[str], ordinary: set[str]) -> list[str]:
-    """Words that no ordinary paragraph has, so that each row with any such word has one of them; the commonest first."""
-    open_rows = [set(plain_words(r)) - ordinary for r in rows]
-    out: list[str] = []
-    while open_rows := [r for r in open_rows if r and not r.intersection(out[-1:])]:
-        counts: dict[str, int] = {}
-        for w in itertools.chain.from_iterable(open_rows):
-            counts[w] = counts.get(w, 0) + 1
-        out.append(min(counts, key=lambda w: (-counts[w], w)))
+def margin(model: dict) -> float:
+    """How far the bias alone puts "none" above all other labels."""
+    none = model["labels"].index(NONE)
+    return model["bias"][none] - max(b for c, b in enumerate(model["bias"]) if c != none)
+
+
+def bounds(model: dict) -> dict[str, float]:
+    """For words of the model's n-grams a bound: no label gains more on "none" than the sum over a paragraph's distinct words.
+
+    What an n-gram gives a label over "none" at most is put on the word of it that gives most by itself: such words are rare elsewhere.
+    """
+    none = model["labels"].index(NONE)
+    gains = {g: max(x - w[none] for c, x in enumerate(w) if c != none) for g, w in model["weights"].items()}
+    out: dict[str, float] = {}
+    for g, gain in gains.items():
+        if gain > 0:
+            word = max(g.split(" "), key=lambda w: (gains.get(w, 0.0), w))
+            out[word] = out.get(word, 0.0) + gain
     return out
 
 
 def train(spark: SparkSession, documents: DataFrame, text: str = "text", sample: int = 1000, paragraphs: int = 10_000, max_features: int = 2048, iterations: int = 40, mistaken: float = 0.05) -> dict:
-    """labels, bias, weights by n-gram (one value a label), temperature, sure, cues.
+    """labels, bias, weights by n-gram (one value a label), temperature, sure, cues (words without which no paragraph is above "none").
 
     documents: ordinary paragraphs are the `paragraphs` of smallest hash among those of the `sample` documents of smallest
     hash (bounds on labelled rows); those with the word licen[cs]e or a family's name stay out. max_features: n-grams of the
@@ -161,8 +171,6 @@ def train(spark: SparkSession, documents: DataFrame, text: str = "text", sample:
     grams = let(words_of(plain(F.col("paragraph"))), lambda w: ngrams(w)).alias("grams")
     rows = spark.createDataFrame(said, "label string, held_out boolean, paragraph string").union(negatives)
     rows = stored(rows.select("label", "held_out", grams).filter(F.size("grams") > 0), "licence-rows")
-    used = {r["w"] for r in rows.filter(F.col("label") == NONE).select(F.explode("grams").alias("w")).filter(~F.contains("w", F.lit(" "))).distinct().collect()}  # words of `paragraphs` rows
-    cues = cue_words([s for _, _, s in said], used)
     counted = rows.filter("not held_out").select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.count_if(F.col("label") != NONE).alias("licences"))
     vocabulary = [r["gram"] for r in counted.filter("n >= 3 and licences > 0").orderBy(F.desc("licences"), "gram").limit(max_features).collect()]
     model = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(spark.createDataFrame([(vocabulary,)], "grams array<string>"))
@@ -177,7 +185,8 @@ def train(spark: SparkSession, documents: DataFrame, text: str = "text", sample:
     if len(bias) < len(labels):  # no ordinary paragraph in the sample: a class without evidence
         weights, bias = weights + [[0.0] * len(known)] * (len(labels) - len(bias)), bias + [0.0] * (len(labels) - len(bias))
     data.unpersist()
-    made = {"labels": labels, "bias": bias, "weights": {g: [weights[c][j] for c in range(len(labels))] for j, g in enumerate(known) if any(abs(weights[c][j]) > 1e-4 for c in range(len(labels)))}, "temperature": 1.0, "sure": 0.0, "cues": cues}
+    made = {"labels": labels, "bias": bias, "weights": {g: [weights[c][j] for c in range(len(labels))] for j, g in enumerate(known) if any(abs(weights[c][j]) > 1e-4 for c in range(len(labels)))}, "temperature": 1.0, "sure": 0.0}
+    made["cues"] = sorted(bounds(made))
     held = [(labels.index(label), logits(made, plain_words(s))) for label, out, s in said if out]
     held += [(labels.index(NONE), logits(made, plain_words(r["paragraph"]))) for r in negatives.filter("held_out").collect()]  # a fifth of `paragraphs`
     made["temperature"] = min((0.25 * 1.25**k for k in range(16)), key=lambda t: sum(_loss(raw, y, t) for y, raw in held))
@@ -217,8 +226,8 @@ def template_pairs() -> dict[str, list[str]]:
 def scan(documents: DataFrame, model: dict, text: str = "text", agreement: float = 0.5) -> DataFrame:
     """documents without their text, with `n_paragraphs` and `licences`: array of struct<paragraph, family, probability, confirmed>.
 
-    A paragraph is a line with a word, numbered from 0 among the text's lines. One entry for each paragraph with a cue word
-    whose likeliest label isn't "none"; family is "unknown" when that is the label, when its probability is under the
+    A paragraph is a line with a word, numbered from 0 among the text's lines. One entry for each paragraph whose
+    likeliest label isn't "none"; family is "unknown" when that is the label, when its probability is under the
     model's `sure`, or when neither a name of the family is in the paragraph nor `agreement` of its word pairs in the
     family's templates. Of equally likely labels the first counts. Null and empty texts have none; texts of any length are
     read whole; repeated rows get equal answers. Columns of those names are replaced. An empty table gives no rows.
@@ -228,15 +237,23 @@ def scan(documents: DataFrame, model: dict, text: str = "text", agreement: float
     pairs = F.from_json(F.lit(json.dumps(template_pairs())), "map<string,array<string>>")
     names = F.from_json(F.lit(json.dumps({f: [f" {' '.join(plain_words(n))} " for n in ns] for f, ns in FAMILIES.items()})), "map<string,array<string>>")
     bias = F.array(*[F.lit(b) for b in model["bias"]])
-    cues = F.array(*[F.lit(w) for w in model["cues"]]) if model["cues"] else F.array().cast("array<string>")
+    bound_of, least = bounds(model), margin(model) - 1e-9  # sums in another order differ in their last digits
+    bound = F.from_json(F.lit(json.dumps(bound_of)), "map<string,double>")
+    firsts = {g.split(" ")[0] for g in model["weights"] if " " in g}
 
     def agrees(words, family):
         name = F.exists(F.element_at(names, family), lambda n: F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), n))
         share = let(F.array_distinct(_grams(words, 2)), lambda g: F.size(F.array_intersect(g, F.element_at(pairs, family))) / F.greatest(F.size(g), F.lit(1)))
         return F.when(family.isin(UNKNOWN, NONE), F.lit(False)).otherwise(F.coalesce(name, F.lit(False)) | F.coalesce(share >= agreement, F.lit(False)))
 
+    def known(words):
+        """The distinct n-grams that the model has weights for."""
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(firsts)), i)), lambda i: i.isNotNull())
+        longer = lambda at: [F.transform(at, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)])) for k in (2, 3)]
+        return F.array_distinct(F.filter(let(starts, lambda at: F.concat(words, *longer(at))), lambda g: g.isin(list(model["weights"]))))
+
     def judged(words, index):
-        found = F.aggregate(F.array_intersect(ngrams(words), F.map_keys(table)), bias, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
+        found = F.aggregate(known(words), bias, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
 
         def with_logits(z):
             best = F.array_max(z)
@@ -251,9 +268,8 @@ def scan(documents: DataFrame, model: dict, text: str = "text", agreement: float
         return let(let(found, with_logits), named)
 
     none = F.struct(F.lit(None).cast("int").alias("paragraph"), F.lit(NONE).alias("family"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("boolean").alias("confirmed"))
-    one = lambda line, i: let(words_of(plain(line)), lambda w: F.when(F.arrays_overlap(w, cues), judged(w, i)).otherwise(none))
-    each = F.filter(F.transform(F.split(F.col(text), "\n"), one), lambda x: x["family"] != NONE)
-    looks = F.lower(F.col(text)).rlike("|".join(re.escape(c) for c in model["cues"])) if model["cues"] else F.lit(False)
-    found = F.when(F.coalesce(looks, F.lit(False)), each).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>"))
+    open_ = lambda w: F.aggregate(F.array_distinct(F.filter(w, lambda x: x.isin(list(bound_of)))), F.lit(0.0), lambda total, x: total + F.element_at(bound, x)) >= least
+    one = lambda line, i: let(words_of(plain(line)), lambda w: F.when((F.size(w) > 0) & open_(w), judged(w, i)).otherwise(none))
+    found = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), one), lambda x: x["family"] != NONE)
     lines = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*"))
     return documents.withColumns({"n_paragraphs": lines, "licences": found}).drop(text)
