@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -446,6 +447,32 @@ def test_requests_carry_the_ids_of_their_own_documents(spark):
         assert all(docs <= n for n, docs in parts)
 
 
+def test_a_bucket_answers_in_little_memory():
+    rng = np.random.default_rng(4)
+    n = 400_000
+    h, w = rng.integers(0, 5000, n).astype(np.uint64), rng.integers(0, 50_000, n).astype(np.uint64) | katz.RARE
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    first = katz._starts(h, w)
+    h, w = h[first], w[first]
+    counts = rng.integers(1, 9, len(h)).astype(np.uint64)
+    data = katz._pack_pairs(h, w, counts)
+    tracemalloc.start()
+    table = katz._Bucket(data, len(h), np.zeros(1, np.int64))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    got_n, got_w = table.pair_n(h[:100], w[:100]), table.word_n(w[:100])
+    more = tracemalloc.get_traced_memory()[1] - kept
+    tracemalloc.stop()
+    assert kept < 30 * len(h) and more < 1 << 20  # a request costs nothing that grows with the bucket
+    assert got_n.tolist() == counts[:100].tolist() and got_w.tolist() == [int(counts[w == x].sum()) for x in w[:100]]
+    want = dict(zip(zip(h.tolist(), w.tolist()), counts.tolist()))
+    ask_h, ask_w = rng.integers(0, 5100, 20_000).astype(np.uint64), rng.integers(0, 50_000, 20_000).astype(np.uint64) | katz.RARE
+    ask_h[:9000], ask_w[:9000] = h[::44][:9000], w[::44][:9000]
+    assert table.pair_n(ask_h, ask_w).tolist() == [want.get(x, 0) for x in zip(ask_h.tolist(), ask_w.tolist())]
+    assert katz._Bucket(katz._pack_pairs(*[np.zeros(0, np.uint64)] * 3), 0, np.zeros(1, np.int64)).pair_n(ask_h, ask_w).sum() == 0
+
+
 # nearest neighbours
 
 def test_nearest(spark):

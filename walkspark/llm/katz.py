@@ -225,16 +225,23 @@ def _history_parts(known, p1: Callable, d2: list[float]):
             for data, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h, w, n = _unpack_pairs(data, size, "u8")
                 first = _starts(h)
-                sums = {"n": n.astype(np.int64), "kept": _discounted(n, d2), "mass": p1(_word_n(w, w, n, known.value[1]))}
+                sums = {"n": n.astype(np.int64), "kept": _discounted(n, d2), "mass": p1(_word_n(w, *_rare(w, n.astype(np.int64)), known.value[1]))}
                 yield pa.RecordBatch.from_pydict({"h": h[first].view(np.int64)} | {c: np.add.reduceat(x, first) for c, x in sums.items()})
 
     return run
 
 
-def _word_n(asked: np.ndarray, w: np.ndarray, n: np.ndarray, frequent_n: np.ndarray) -> np.ndarray:
-    """Training counts of the words `asked`; w, n: all pairs of the bucket, so all of each rare word in it."""
-    rare, at = np.unique(w[w >= RARE], return_inverse=True)
-    rare_n = np.bincount(at, n[w >= RARE].astype(np.float64), len(rare)).astype(np.int64)
+def _rare(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rare words and their training counts; w, n: all pairs of a bucket, so all of each rare word in it."""
+    n, w = n[w >= RARE], w[w >= RARE]
+    order = np.argsort(w)
+    w, n = w[order], n[order]
+    first = _starts(w)
+    return w[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _word_n(asked: np.ndarray, rare: np.ndarray, rare_n: np.ndarray, frequent_n: np.ndarray) -> np.ndarray:
+    """Training counts of the words `asked`."""
     out = np.zeros(len(asked), np.int64)
     is_rare = asked >= RARE
     out[~is_rare] = frequent_n[asked[~is_rare].astype(np.int64)]
@@ -295,7 +302,7 @@ def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: i
     return Model(words, pairs, histories, buckets, total, vocabulary, d1, d2, unit, unknown, known)
 
 
-#: A row of the input goes by two hashes of its id and text, 96 bits in all, so that no two of any corpus meet.
+#: A row of the input goes by two hashes, 96 bits in all, so that no two of any corpus meet: one of its id and text, one of its id and words.
 ROW = ["doc", "doc2"]
 KEY = np.dtype([("doc", "<i8"), ("doc2", "<i4")])
 SUMS = "kind byte, doc long, doc2 int, doc_id long, rows long, tokens long, known long, base double, part double, h long, seen long, unseen long"
@@ -314,6 +321,15 @@ def _columns(schema: str, size: int, /, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: column(given.get(name), kinds[kind]) for name, kind in (c.strip().split(" ") for c in schema.split(","))})
 
 
+def _second(words: np.ndarray, lengths: np.ndarray, doc_id: pa.Array) -> np.ndarray:
+    """A 32-bit hash of each text's words in their order and of its id. Rows alike in these have equal scores."""
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64)
+    texts = np.add.reduceat(mixed(words + place * np.uint64(0x9E3779B97F4A7C15)), starts)  # no text is without its end
+    ids = doc_id.fill_null(0).to_numpy().view(np.uint64) + np.asarray(doc_id.is_null()).astype(np.uint64) * RARE
+    return (mixed(texts + mixed(ids)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _send(model: Model):
     """For each text its sums over what is known where it lies (kind 2), and packed requests for the rest (kind 1)."""
     known, buckets, d2, unit = model.known, model.buckets, model.d2, model.total + model.vocabulary + 1
@@ -336,7 +352,9 @@ def _send(model: Model):
             part = by_doc(cached, log_kept[at] - log_total[h[cached].astype(np.int64)])
             made = {"tokens": lengths, "known": by_doc(common, (frequent_n[place] > 0).astype(np.float64)).astype(np.int64), "base": by_doc(common, log_base[place]), "part": part}
             spread = pa.array(np.arange(len(lengths)) % buckets, pa.int32())
-            yield _columns(SENT, len(lengths), kind=2, bucket=spread, doc=rows.column("doc"), doc2=rows.column("doc2"), doc_id=rows.column("doc_id"), rows=1, **made)
+            ids = np.zeros(len(lengths), KEY)
+            ids["doc"], ids["doc2"] = np.asarray(rows.column("doc")), _second(words, lengths, rows.column("doc_id"))
+            yield _columns(SENT, len(lengths), kind=2, bucket=spread, **{c: np.ascontiguousarray(ids[c]) for c in ROW}, doc_id=rows.column("doc_id"), rows=1, **made)
             rest = np.ones(len(w), bool)
             rest[cached] = False
             h, w, doc = h[rest], w[rest], doc[rest]
@@ -346,9 +364,6 @@ def _send(model: Model):
             first = _starts(bucket, h, w, doc)
             n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
             h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
-            ids = np.zeros(len(lengths), KEY)
-            for c in ROW:
-                ids[c] = np.asarray(rows.column(c))
             cuts = np.r_[_starts(bucket), len(bucket)]
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -361,27 +376,28 @@ def _send(model: Model):
 
 
 class _Bucket:
-    """The pairs of one bucket, found by hash."""
+    """The pairs of one bucket, sorted by history and word, and its rare words."""
 
     def __init__(self, data: bytes, size: int, frequent_n: np.ndarray):
         self.h, self.w, n = _unpack_pairs(data, size, "u8")
-        self.n, self.frequent_n = n.astype(np.int64), frequent_n
-        keys = self._keys(self.h, self.w)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-
-    @staticmethod
-    def _keys(h, w):
-        return mixed(h + mixed(w))
+        self.n, self.frequent_n = n.view(np.int64), frequent_n
+        self.rare, self.rare_n = _rare(self.w, self.n)
 
     def pair_n(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64)
-        at = self.order[np.minimum(np.searchsorted(self.keys, self._keys(h, w)), len(self.keys) - 1)]
-        return np.where((self.h[at] == h) & (self.w[at] == w), self.n[at], 0)
+        lo, end = np.searchsorted(self.h, h), np.searchsorted(self.h, h, "right")
+        left, hi = np.flatnonzero(lo < end), end.copy()
+        while len(left):  # the word's place among those of the history, by halves
+            mid = (lo[left] + hi[left]) // 2
+            less = self.w[mid] < w[left]
+            lo[left[less]], hi[left[~less]] = mid[less] + 1, mid[~less]
+            left = left[lo[left] < hi[left]]
+        out, at = np.zeros(len(h), np.int64), np.flatnonzero(lo < end)
+        at = at[self.w[lo[at]] == w[at]]
+        out[at] = self.n[lo[at]]
+        return out
 
     def word_n(self, w: np.ndarray) -> np.ndarray:
-        return _word_n(w, self.w, self.n, self.frequent_n)
+        return _word_n(w, self.rare, self.rare_n, self.frequent_n)
 
 
 def _answer(model: Model):
@@ -397,11 +413,13 @@ def _answer(model: Model):
             passed = batch.filter(pa.array(kinds == 2))
             if passed.num_rows:
                 yield _columns(SUMS, passed.num_rows, kind=0, **{c: passed.column(c) for c in (*ROW, "doc_id", "rows", "tokens", "known", "base", "part")})
-            asked = batch.filter(pa.array(kinds < 2))
-            for kind, bucket, size, data in zip(*[asked.column(c).to_pylist() for c in ("kind", "bucket", "n", "data")]):
-                if bucket != at:
-                    at, table = bucket, _Bucket(data, size, frequent_n) if kind == 0 else _Bucket(empty, 0, frequent_n)
-                if kind == 1:
+            buckets, sizes, packed = np.asarray(batch.column("bucket")), batch.column("n"), batch.column("data")
+            for i in np.flatnonzero(kinds < 2).tolist():
+                size, data = sizes[i].as_py(), memoryview(packed[i].as_buffer())  # read where it lies
+                if buckets[i] != at:
+                    table = None  # before the next one is unpacked
+                    at, table = buckets[i], _Bucket(data, size, frequent_n) if kinds[i] == 0 else _Bucket(empty, 0, frequent_n)
+                if kinds[i] == 1:
                     yield from answers(table, data, size)
 
     def answers(table: _Bucket, data: bytes, size: int) -> Iterator[pa.RecordBatch]:
@@ -433,7 +451,7 @@ def _answer(model: Model):
 def apply(model: Model, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents (doc_id, text)."""
     said = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", F.xxhash64("doc_id", said).alias("doc"), F.hash(F.lit(1), said, "doc_id").alias("doc2"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", said).alias("doc"), "text")
     sent = rows.mapInArrow(_send(model), SENT)
     tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
     both = tables.unionByName(sent, allowMissingColumns=True).repartition(4 * model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
