@@ -102,3 +102,17 @@ def test_linked_sets_share_a_key():
         for threshold in (50, 80, 85, 100):
             need = -(-threshold * n // 100)
             assert jaccard.prefix_length(n, threshold) + need == n + 1
+
+
+def test_components_are_not_worked_out_again_without_new_links(spark, monkeypatch):
+    calls = []
+    real = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: calls.append(1) or real(edges))
+    rng = random.Random(52)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base[:30], "other", *base[30:]])]
+    df = _docs(spark, texts)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect())
+    assert got == _plain(list(enumerate(texts)), 5, 80) and len(calls) <= 3

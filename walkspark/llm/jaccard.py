@@ -204,13 +204,17 @@ def _from_pivots(words: int):
     return run
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) with further links (a, b): the stars that are known stand for all earlier links."""
+    return labels if links.isEmpty() else components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def regions(clusters: DataFrame, links: DataFrame, texts: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(pieces, links): clusters (region, id) divided into overlapping pieces (region, id), so that linked members of a
-    cluster meet in a piece or are in one component of the links (a, b), which grow by what is measured on the way."""
+    """(pieces, labels): clusters (region, id) divided into overlapping pieces (region, id), so that linked members of a
+    cluster meet in a piece or are in one component (labels: id, component) of the links (a, b) and what is measured on the way."""
     r = 1 - threshold / 100
-    done, open_ = clusters.limit(0), stored(clusters, "jaccard-region")
+    done, open_, labels = clusters.limit(0), stored(clusters, "jaccard-region"), components(links)
     while True:
-        labels = components(links)
         known = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = known.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         sizes = stored(sizes.select("region", "size"), "jaccard-sizes")
@@ -218,7 +222,7 @@ def regions(clusters: DataFrame, links: DataFrame, texts: DataFrame, words: int,
         done = done.unionByName(small.select("region", "id"))
         large = stored(open_.join(sizes.filter(F.col("size") > LEAF), "region"), "jaccard-large")
         if large.isEmpty():
-            return stored(done, "jaccard-pieces"), links
+            return stored(done, "jaccard-pieces"), labels
         drawn = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("region", "id"), "id"))
         pivots = stored(large.withColumn("k", drawn).filter(F.col("k") <= PIVOTS).select("region", "id"), "jaccard-pivots")
         blocks = stored(large.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).select("region", "block", "id"), "jaccard-blocks")
@@ -226,7 +230,7 @@ def regions(clusters: DataFrame, links: DataFrame, texts: DataFrame, words: int,
         seen_from = of_block.join(pivots.select(F.col("region").alias("g"), F.col("id").alias("pivot")), "g").join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("shape")), "pivot")
         measured = blocks.join(texts, "id").select("region", "block", "id", "text").groupBy("region", "block").cogroup(seen_from.select("g", "b", "pivot", "shape").groupBy("g", "b")).applyInPandas(_from_pivots(words), "region long, id long, pivot long, d double")
         measured = stored(measured, "jaccard-measured")
-        links = stored(links.unionByName(measured.filter(near(F.col("d"), threshold) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))), "jaccard-links")
+        labels = _joined(labels, measured.filter(near(F.col("d"), threshold) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         nearest = measured.groupBy("region", "id").agg(F.min("d").alias("least"))
         placed = measured.join(nearest, ["region", "id"]).filter(F.col("d") <= F.col("least") + 2 * r + 1e-9).select(F.col("region").alias("parent"), "pivot", "id")
         placed = stored(placed.select("parent", F.xxhash64("parent", "pivot").alias("region"), "id").distinct(), "jaccard-placed")
@@ -271,11 +275,10 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     stars = stored(_distances(stars, texts, words).groupBy("a", "b").agg(F.min("d").alias("d"), F.max("d").alias("far")), "jaccard-stars")
     links = stored(stars.filter(near(F.col("d"), threshold)).select("a", "b"), "jaccard-links")
     clusters = components(crowded.select(F.col("id").alias("a"), F.col("c").alias("b")))
-    pieces, links = regions(clusters.select(F.col("component").alias("region"), "id"), links, texts, words, threshold)
-    joined = components(links)
-    inside = _crowded_links(pieces.select("id", F.col("region").alias("component")), joined, classes.groupBy("id").agg(F.max("n").alias("n")), texts, words, threshold)
-    links = stored(links.unionByName(inside), "jaccard-links")
-    joined = components(links)
+    pieces, joined = regions(clusters.select(F.col("component").alias("region"), "id"), links, texts, words, threshold)
+    if not pieces.isEmpty():
+        inside = _crowded_links(pieces.select("id", F.col("region").alias("component")), joined, classes.groupBy("id").agg(F.max("n").alias("n")), texts, words, threshold)
+        joined = _joined(joined, stored(inside, "jaccard-inside"))
     # pairs inside the window: seen from each pivot that both were measured from at most r apart, and of different components
     seen = stars.select("a", "b", "d", "far").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "far"))
     of = lambda x, name: joined.select(F.col("id").alias(x), F.col("component").alias(name))
@@ -288,7 +291,7 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     set_ids = classes.select("set_key", F.col("id").alias("set_id"))
     several = base.filter("set_key is not null").groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("id")
     repeated = base.join(several, "id", "left_semi").join(set_ids, "set_key").select(F.col("id").alias("a"), F.col("set_id").alias("b"))  # an id's sets belong together
-    whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late).union(repeated))
+    whole = _joined(joined, late.union(repeated))
     discard(members, met, stars, open_, late, texts, crowded)
     rows = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")).join(set_ids, "set_key", "left").withColumn("set_id", F.coalesce("set_id", "id")).join(whole.withColumnRenamed("id", "set_id"), "set_id", "left")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "set_id").alias("component_id"))
