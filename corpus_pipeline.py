@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkspark.llm.bpe import decode, encode
+from walkspark.llm.bpe import encode
 from walkspark.llm.common import stored, table, unused
 from walkspark.llm.mixing import in_mix_order, mix
 from walkspark.llm.neardup import drop_near_duplicates
@@ -74,7 +74,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of all rows: on the short rows made here, as mix_sources did on the documents. Null and empty texts have no tokens;
     repeated rows get equal tokens and places of their own; texts are encoded whole. Other columns go. An empty table stays empty.
     """
-    made = decode(encode(docs.select("doc_id", "source", "text")))
+    made = encode(docs.select("doc_id", "source", "text"), decoding=True)
     made = made.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
     mixed = in_mix_order(mix(stored(made, "pipeline-digests")))
     return mixed.select(*made.columns, "slot", "row_in_block")

@@ -473,6 +473,21 @@ def test_a_bucket_answers_in_little_memory():
     assert katz._Bucket(katz._pack_pairs(*[np.zeros(0, np.uint64)] * 3), 0, np.zeros(1, np.int64)).pair_n(ask_h, ask_w).sum() == 0
 
 
+def test_an_idle_encoder_is_small(spark):
+    import public_tokenizers
+
+    plain = bpe._encoder(bpe.default_ranks_path(), public_tokenizers.PATTERN)
+    texts = [" ".join(f"word{i}x" for i in range(k, k + 2000)) for k in range(0, 2 * bpe.KEPT, 2000)] + ["", "the word1x the"]
+    ids = plain.encode(texts)
+    plain.settle()
+    assert len(plain.known) + len(plain.older) <= bpe.KEPT
+    assert plain.encode(texts[::-1]) == ids[::-1]
+    df = _docs(spark, ["a b", None, "", "caf\u00e9 \U0001f600"]).withColumn("decoded", F.lit(1))
+    once = bpe.encode(df, decoding=True)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(once.collect()) == sorted(bpe.decode(bpe.encode(df)).select(*once.columns).collect())
+
+
 # nearest neighbours
 
 def test_nearest(spark):

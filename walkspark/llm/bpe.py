@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BITS = 8
 SHIFT = 32
 #: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
 REMEMBERED, LONGEST = 400_000, 64
+#: Words that it still remembers when its task has ended, so that idle workers are small.
+KEPT = 100_000
 #: Unicode white space (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the blank before it, or a run of white space as the pattern cuts it: no match crosses these,
@@ -180,6 +183,12 @@ class Encoder:
         return out
 
 
+    def settle(self) -> None:
+        """Forget all but KEPT words: those that were met first since the last clearing, as frequent words are."""
+        known = {**self.known, **self.older} if len(self.known) < KEPT else self.known
+        self.known, self.older = dict(islice(known.items(), KEPT)), {}
+
+
 @lru_cache(2)
 def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
@@ -215,25 +224,31 @@ def _add(batch: pa.RecordBatch, drop: list[str], made: dict[str, pa.Array]) -> p
     return pa.RecordBatch.from_pydict(kept | made)
 
 
-def encode(df: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, decoding: bool = False) -> DataFrame:
     """df without its text, with `ids` (binary: little-endian unsigned 32-bit token ids) and `n_tokens`.
 
-    Null counts as empty: no ids. Special tokens aren't recognised. Any length of text; equal rows get equal ids;
-    columns of df named ids or n_tokens are replaced. The rank file must be at ranks_path on every worker.
+    decoding: with `decoded` too, as decode() adds it, by the same worker. Null counts as empty: no ids. Special tokens
+    aren't recognised. Any length of text; equal rows get equal ids; columns of df named as those that are made are replaced.
+    The rank file must be at ranks_path on every worker.
     """
     import public_tokenizers
 
-    path, pat, gone = ranks_path or default_ranks_path(), pattern or public_tokenizers.PATTERN, ["ids", "n_tokens", text]
+    path, pat, made = ranks_path or default_ranks_path(), pattern or public_tokenizers.PATTERN, ["ids", "n_tokens", *["decoded"] * decoding]
+    gone = [*made, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pat)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = encoder.encode(part.column(text).to_pylist())
-                yield _add(part, gone, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())})
-
-    df = df.drop("ids", "n_tokens")
-    return df.mapInArrow(run, _with_columns(df, gone, "ids binary, n_tokens long"))
+        try:
+            for batch in batches:
+                for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                    ids = encoder.encode(part.column(text).to_pylist())
+                    new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                    yield _add(part, gone, new | ({"decoded": pa.array(decoded(ids, path), pa.binary())} if decoding else {}))
+        finally:
+            encoder.settle()
+
+    df = df.drop(*made)
+    return df.mapInArrow(run, _with_columns(df, gone, "ids binary, n_tokens long" + ", decoded binary" * decoding))
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks_path: str | None = None) -> DataFrame:
