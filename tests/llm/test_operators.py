@@ -3,18 +3,21 @@ no rows, columns whose names clash."""
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from walkspark.llm import ann, bpe, katz, langid, licenses, mixing, neardup, pii, quality, sharding
+from walkspark.llm import ann, bpe, common, katz, langid, licenses, mixing, neardup, pii, quality, sharding
 
 DOC = "doc_id long, text string, source string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -473,6 +476,62 @@ def test_a_bucket_answers_in_little_memory():
     assert katz._Bucket(katz._pack_pairs(*[np.zeros(0, np.uint64)] * 3), 0, np.zeros(1, np.int64)).pair_n(ask_h, ask_w).sum() == 0
 
 
+def test_a_worker_gives_arrow_memory_back_and_takes_small_pieces(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"] * 1000})
+    same = lambda batches: iter(batches)
+    pieces = list(common.lean(same, common.PIECE_ROWS)([batch, batch.slice(0, 0), batch]))
+    assert max(b.num_rows for b in pieces) == common.PIECE_ROWS and sum(b.num_rows for b in pieces) == 2000 and Pool.released == 1
+    assert [b.num_rows for b in common.lean(same)([batch])] == [1000] and Pool.released == 2
+
+
+def test_redaction_runs_in_small_pieces(spark):
+    df = spark.range(1000).coalesce(1).select(F.concat(F.lit("mail a@b.org "), "id").alias("text"))
+    made = None
+
+    class Frame:
+        schema, columns = df.schema, df.columns
+
+        def mapInArrow(self, run, schema):
+            nonlocal made
+            made = run
+
+    found = Frame()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "_passes", lambda documents, *a: (found, [], "found"))
+        pii.redact(found, patterns=[])
+    rows = df.toPandas()["text"].tolist()
+    out = list(made([pa.RecordBatch.from_pydict({"text": rows, "found": pa.nulls(1000, pa.list_(pa.int32()))})]))
+    sizes = [b.num_rows for b in out]
+    assert max(sizes) == common.PIECE_ROWS and [t for b in out for t in b.column("text").to_pylist()] == [f"mail <EMAIL> {i}" for i in range(1000)]
+
+
+def test_the_plan_of_a_mix_needs_no_python_workers(spark):
+    for rows in ([("a", 0, 3), ("b", 1, None)], []):
+        made = mixing._frame(spark, rows, "s string, k long, n long")
+        assert [tuple(r) for r in made.collect()] == rows and made.schema.simpleString() == "struct<s:string,k:bigint,n:bigint>"
+        assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+
+
+def test_shuffle_files_go_with_the_table_that_they_made(spark):
+    def files():
+        return sum("shuffle_" in f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(","))
+
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before, kept = files(), spark.conf.get(common.CLEANUP, None)
+    table = common.stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n"), "test")
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) == kept
+    assert sorted(tuple(r) for r in table.collect()) == [(k, 100) for k in range(10)]
+
+
 def test_an_idle_encoder_is_small(spark):
     import public_tokenizers
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from walkspark.llm.common import PIECE_ROWS, lean
+
 BITS = 8
 SHIFT = 32
 #: Words whose ids each Python worker remembers (up to twice as many between clearings), and the longest that it remembers.
@@ -239,16 +241,15 @@ def encode(df: DataFrame, text: str = "text", ranks_path: str | None = None, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pat)
         try:
-            for batch in batches:
-                for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                    ids = encoder.encode(part.column(text).to_pylist())
-                    new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-                    yield _add(part, gone, new | ({"decoded": pa.array(decoded(ids, path), pa.binary())} if decoding else {}))
+            for part in batches:
+                ids = encoder.encode(part.column(text).to_pylist())
+                new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                yield _add(part, gone, new | ({"decoded": pa.array(decoded(ids, path), pa.binary())} if decoding else {}))
         finally:
             encoder.settle()
 
     df = df.drop(*made)
-    return df.mapInArrow(run, _with_columns(df, gone, "ids binary, n_tokens long" + ", decoded binary" * decoding))
+    return df.mapInArrow(lean(run, PIECE_ROWS), _with_columns(df, gone, "ids binary, n_tokens long" + ", decoded binary" * decoding))
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks_path: str | None = None) -> DataFrame:
@@ -258,10 +259,9 @@ def decode(df: DataFrame, ids: str = "ids", ranks_path: str | None = None) -> Da
     path = ranks_path or default_ranks_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = decoded([x or b"" for x in part.column(ids).to_pylist()], path)
-                yield _add(part, ["decoded"], {"decoded": pa.array(texts, pa.binary())})
+        for part in batches:
+            texts = decoded([x or b"" for x in part.column(ids).to_pylist()], path)
+            yield _add(part, ["decoded"], {"decoded": pa.array(texts, pa.binary())})
 
     df = df.drop("decoded")
-    return df.mapInArrow(run, _with_columns(df, ["decoded"], "decoded binary"))
+    return df.mapInArrow(lean(run, PIECE_ROWS), _with_columns(df, ["decoded"], "decoded binary"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +80,10 @@ def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """rows as a table, by columns."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return spark.createDataFrame(pd.DataFrame.from_records(rows, columns=names), schema)
+    """rows as a table of Arrow columns, which executors read without Python workers."""
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)}), schema)
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", period: int = PERIOD, block_rows: int = BLOCK_ROWS, alpha: float = 0.5, cells: int = CELLS) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import discard, stored
+from walkspark.llm.common import discard, lean, stored
 from walkspark.llm.words import word_hashes
 
 CHUNKS, SYMBOLS = 9, 5
@@ -79,7 +79,7 @@ def fingerprints(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
                 sigs.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    return df.select(F.col(id).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, set_key binary, sig binary")
+    return df.select(F.col(id).cast("long").alias("id"), text).mapInArrow(lean(run), "id long, n long, set_key binary, sig binary")
 
 
 def _deletions():
@@ -110,7 +110,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _crowded_links(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, tex
     pairs = pairs.withColumn("pair", F.xxhash64("cluster", "pool_a", "block_a", "pool_b", "block_b"))
     ends = F.explode(F.array_distinct(F.array(F.struct(F.col("pool_a").alias("pool"), F.col("block_a").alias("block")), F.struct(F.col("pool_b").alias("pool"), F.col("block_b").alias("block")))))
     ends = pairs.select("cluster", "pair", ends.alias("e")).select("cluster", "pair", "e.pool", "e.block")
-    found = texts.join(clusters.select("id"), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, sets binary")
+    found = texts.join(clusters.select("id"), "id", "left_semi").select("id", "text").mapInArrow(lean(sets), "id long, sets binary")
     known = placed.join(stored(found, "neardup-sets"), "id")
     on = (known["cluster"] == ends["cluster"]) & (known["block"] == ends["block"]) & known["pool"].eqNullSafe(ends["pool"])
     return known.join(ends, on).select("pair", "id", "component", "sets").groupBy("pair").applyInPandas(_block_links(threshold), "a long, b long")

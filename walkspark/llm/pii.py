@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import discard, stored, unused
+from walkspark.llm.common import PIECE_ROWS, discard, lean, stored, unused
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -159,11 +159,11 @@ def learn_patterns(documents: DataFrame, text: str = "text", rounds: int = 3, su
             for p in patterns:
                 yield p, t[start:end], kind is not None
 
-    seen = slim.mapInArrow(_each(occurrences, "pattern", "instance", "seed"), "pattern string, instance string, seed boolean")
+    seen = slim.mapInArrow(lean(_each(occurrences, "pattern", "instance", "seed"), PIECE_ROWS), "pattern string, instance string, seed boolean")
     graph = stored(seen.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-graph")
     # a pattern before fewer identifiers can't reach the support in any round
     able = stored(graph.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("pattern"), "pii-able")
-    totals = slim.mapInArrow(_followers(_marks(able)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    totals = slim.mapInArrow(lean(_followers(_marks(able)), PIECE_ROWS), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     totals = stored(totals.join(able, "pattern", "left_semi"), "pii-totals")
     edges = stored(graph.join(able, "pattern", "left_semi"), "pii-edges")
     scores = edges.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
@@ -282,7 +282,7 @@ def _passes(documents: DataFrame, text: str, patterns: DataFrame | list[str], ma
                 found = [[x for lo, hi, k in all_spans(t, chosen, e)[1] if k == 4 for x in (lo, hi)] if t else None for t, e in zip(batch.column(text).to_pylist(), batch.column(name).to_pylist())]
                 yield pa.RecordBatch.from_pydict({n: pa.array(found, pa.list_(pa.int32())) if n == name else batch.column(n) for n in batch.schema.names})
 
-        last, written = written, stored(df.mapInArrow(run, schema), "pii-found")
+        last, written = written, stored(df.mapInArrow(lean(run, PIECE_ROWS), schema), "pii-found")
         if last is not None:
             discard(last)
         df = written
@@ -312,7 +312,7 @@ def find_pii(documents: DataFrame, text: str = "text", patterns: DataFrame | lis
             arrays = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x[i]] for x in both], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in fields} | {"base": arrays[0], "spans": arrays[1]})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, PIECE_ROWS), schema)
 
 
 def redact(documents: DataFrame, text: str = "text", patterns: DataFrame | list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
@@ -338,7 +338,7 @@ def redact(documents: DataFrame, text: str = "text", patterns: DataFrame | list[
                 out.append(t)
             yield pa.RecordBatch.from_pydict({n: pa.array(out, pa.string()) if n == text else batch.column(n) for n in batch.schema.names if n != name})
 
-    return df.mapInArrow(run, documents.schema)
+    return df.mapInArrow(lean(run, PIECE_ROWS), documents.schema)
 
 
 def joined(spans: Column) -> Column:
