@@ -11,6 +11,7 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -532,6 +533,14 @@ def test_shuffle_files_go_with_the_table_that_they_made(spark):
     assert sorted(tuple(r) for r in table.collect()) == [(k, 100) for k in range(10)]
 
 
+def test_a_scoring_leaves_only_tables_that_are_read(spark):
+    rng, folder = random.Random(5), Path(common.shared_dir(spark).replace("file://", ""))
+    before = set(folder.iterdir())
+    scores = katz.score(_docs(spark, [_prose(rng, 20, 300) for _ in range(40)]))
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"katz-sums", "katz-histories"}
+    assert scores.count() == 40
+
+
 def test_an_idle_encoder_is_small(spark):
     import public_tokenizers
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import stored
+from walkspark.llm.common import discard, stored
 from walkspark.llm.words import END, START, mixed, word_hashes
 
 FREQUENT = 1 << 17
@@ -473,4 +473,8 @@ def score(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: i
     scores. A null id trains. Texts of any length; ties don't matter. Other columns are ignored. Without any
     training text all words are unknown and unseen. An empty table gives no rows.
     """
-    return apply(train(documents, frequent_words, bucket_tokens, cached), documents)
+    model = train(documents, frequent_words, bucket_tokens, cached)
+    discard(model.words)
+    scores = apply(model, documents)  # its sums are written: only they and the histories are read from here on
+    discard(model.pairs)
+    return scores
