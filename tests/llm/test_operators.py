@@ -3,12 +3,14 @@ no rows, columns whose names clash."""
 
 from __future__ import annotations
 
+import ast
 import gc
 import math
 import random
 import re
 import time
 import tracemalloc
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -477,6 +479,38 @@ def test_a_bucket_answers_in_little_memory():
     assert katz._Bucket(katz._pack_pairs(*[np.zeros(0, np.uint64)] * 3), 0, np.zeros(1, np.int64)).pair_n(ask_h, ask_w).sum() == 0
 
 
+def test_requests_come_to_one_bucket_in_small_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(katz, "BATCH_BYTES", 4000, raising=False)
+    monkeypatch.setattr(katz, "FLUSH_TOKENS", 300)
+    answer = katz._answer
+
+    def noting(model):
+        def noted(batches):
+            seen = []
+
+            def each():
+                for batch in batches:
+                    rows = [len(x or b"") for x in batch.column("data").to_pylist()]
+                    seen.append((sum(rows), max(rows), *set(batch.column("bucket").to_pylist())))
+                    yield batch
+
+            yield from run(each())
+            (tmp_path / uuid.uuid4().hex).write_text(repr(seen))
+
+        run = answer(model)
+        return noted
+
+    monkeypatch.setattr(katz, "_answer", noting)
+    rng = random.Random(5)
+    df = _docs(spark, [_prose(rng, 60, 300) for _ in range(120)])
+    assert katz.score(df, frequent_words=20, bucket_tokens=1000, cached=0).count() == 120
+    tasks = [ast.literal_eval(f.read_text()) for f in tmp_path.iterdir()]
+    assert max(len({b for x in task for b in x[2:]}) for task in tasks) == 1
+    batches = [x for task in tasks for x in task]
+    assert len(batches) > 3 * len(tasks)
+    assert all(size <= 4000 + most for size, most, *_ in batches)  # the row that fills a batch may be long
+
+
 def test_a_worker_gives_arrow_memory_back_and_takes_small_pieces(monkeypatch):
     class Pool:
         released = 0

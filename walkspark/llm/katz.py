@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walkspark.llm.common import discard, stored
+from walkspark.llm.common import discard, lean, stored
 from walkspark.llm.words import END, START, mixed, word_hashes
 
 FREQUENT = 1 << 17
@@ -38,6 +38,7 @@ LIMIT = 5  # counts above it aren't discounted
 BUCKET_TOKENS = 6_000_000
 FLUSH_TOKENS = 1_000_000
 ROWS = 256
+BATCH_BYTES = 1 << 22  # of an Arrow batch: with packed rows, Spark's 64 MB would be held twice by each side of a task
 RARE = np.uint64(1 << 63)
 CLASSES = 64  # of pair counts, two for each power of two
 
@@ -60,6 +61,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[n
 
     def joined():
         words, lengths, rows = zip(*held)
+        held.clear()  # what was joined isn't kept as well
         return np.concatenate(words), np.concatenate(lengths), pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
 
     for batch in batches:
@@ -70,7 +72,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[n
             size += len(held[-1][0])
             if size > tokens:
                 yield joined()
-                held, size = [], 0
+                size = 0
     if held:
         yield joined()
 
@@ -84,7 +86,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"w": w.astype(np.int64), "n": n.astype(np.int64)})
 
     texts = documents.filter(in_training(F.col("doc_id"))).select("doc_id", "text")
-    return texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def discounts(counted: dict[int, int]) -> list[float]:
@@ -112,11 +114,12 @@ def _pack(*columns: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
-    for kind in kinds:
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
-        at += n * width
+    out = []
+    with zstandard.ZstdDecompressor().stream_reader(data) as planes:  # one column's at a time
+        for kind in kinds:
+            width = np.dtype(kind).itemsize
+            raw = np.frombuffer(planes.read(n * width), np.uint8)
+            out.append(raw.reshape(width, n).T.copy().view(kind).ravel())
     return out
 
 
@@ -126,8 +129,8 @@ def _pack_pairs(h: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
 
 
 def _unpack_pairs(data: bytes, n: int, *more: str) -> list[np.ndarray]:
-    steps, *rest = _unpack(data, n, "u8", "u8", *more)
-    return [np.cumsum(steps, dtype=np.uint64), *rest]
+    h, *rest = _unpack(data, n, "u8", "u8", *more)
+    return [np.cumsum(h, out=h), *rest]
 
 
 def _codes(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -167,24 +170,29 @@ def pair_table(documents: DataFrame, frequent: Column, buckets: int) -> DataFram
     times; classes: of pairs of frequent words by count, two classes for each power of two.
     """
 
+    def part(words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        h, w = _pairs(words, lengths, frequent.value[0])
+        bucket = _bucket(h, w, buckets)
+        order = np.lexsort((w, h, bucket))
+        h, w, bucket = h[order], w[order], bucket[order]
+        del order
+        first = _starts(bucket, h, w)
+        n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+        h, w, bucket = h[first], w[first], bucket[first]
+        cuts = np.r_[_starts(bucket), len(bucket)]
+        each = [(int(bucket[lo]), int(hi - lo), _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in each], pa.int32()), "n": pa.array([x[1] for x in each], pa.int64()), "pairs": pa.array([x[2] for x in each], pa.binary())})
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value[0]
         for words, lengths, _ in _flushes(batches, 3 * FLUSH_TOKENS):
-            h, w = _pairs(words, lengths, known)
-            bucket = _bucket(h, w, buckets)
-            order = np.lexsort((w, h, bucket))
-            h, w, bucket = h[order], w[order], bucket[order]
-            first = _starts(bucket, h, w)
-            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
-            h, w, bucket = h[first], w[first], bucket[first]
-            cuts = np.r_[_starts(bucket), len(bucket)]
-            each = [(int(bucket[lo]), int(hi - lo), _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in each], pa.int32()), "n": pa.array([x[1] for x in each], pa.int64()), "pairs": pa.array([x[2] for x in each], pa.binary())})
+            yield part(words, lengths)  # its arrays are gone when the next texts are read
+            del words, lengths
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w, n = (np.concatenate(x) for x in zip(*[_unpack_pairs(d, k, "u4") for d, k in zip(pdf["pairs"], pdf["n"])]))
         order = np.lexsort((w, h))
         h, w, n = h[order], w[order], n[order].astype(np.uint64)
+        del order
         first = _starts(h, w)
         h, w, n = h[first], w[first], np.add.reduceat(n, first)
         types = np.bincount(np.minimum(n, LIMIT + 2).astype(np.int64), minlength=LIMIT + 3)[1 : LIMIT + 2]
@@ -192,7 +200,7 @@ def pair_table(documents: DataFrame, frequent: Column, buckets: int) -> DataFram
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "n": [len(h)], "pairs": [_pack_pairs(h, w, n)], "types": [types.tolist()], "classes": [classes.tolist()]})
 
     texts = documents.filter(in_training(F.col("doc_id"))).select("doc_id", "text")
-    made = texts.mapInArrow(parts, "bucket int, n long, pairs binary")
+    made = texts.mapInArrow(lean(parts), "bucket int, n long, pairs binary")
     return made.groupBy("bucket").applyInPandas(whole, "bucket int, n long, pairs binary, types array<long>, classes array<long>")
 
 
@@ -233,9 +241,12 @@ def _history_parts(known, p1: Callable, d2: list[float]):
 
 def _rare(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rare words and their training counts; w, n: all pairs of a bucket, so all of each rare word in it."""
-    n, w = n[w >= RARE], w[w >= RARE]
+    is_rare = w >= RARE
+    w = w[is_rare]
     order = np.argsort(w)
-    w, n = w[order], n[order]
+    n = n[is_rare][order]
+    w = w[order]
+    del order
     first = _starts(w)
     return w[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -254,7 +265,7 @@ def _word_n(asked: np.ndarray, rare: np.ndarray, rare_n: np.ndarray, frequent_n:
 def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: int = BUCKET_TOKENS, cached: int = CACHED) -> Model:
     """A model of the training documents (see in_training) among documents (doc_id, text)."""
     spark = documents.sparkSession
-    words = stored(word_counts(documents), "katz-words")
+    words = stored(word_counts(documents), "katz-words", BATCH_BYTES)
     types = {r["n"]: r["types"] for r in words.filter(F.col("n") <= LIMIT + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
     total, vocabulary, docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("n"))), F.lit(0))).first()
     d1 = discounts(types)
@@ -271,15 +282,15 @@ def train(documents: DataFrame, frequent_words: int = FREQUENT, bucket_tokens: i
     frequent, frequent_n = frequent[order], np.r_[top["n"].to_numpy(np.int64), 0][order]
     first = spark.sparkContext.broadcast((frequent, frequent_n))
     buckets = max(6, math.ceil(total / bucket_tokens))
-    pairs = stored(pair_table(documents, first, buckets), "katz-pairs")
+    pairs = stored(pair_table(documents, first, buckets), "katz-pairs", BATCH_BYTES)
     sums = lambda c, n: pairs.agg(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)]).first()
     d2 = discounts(dict(enumerate(sums("types", LIMIT + 1), 1)))
-    parts = pairs.select("pairs", "n").mapInArrow(_history_parts(first, p1, d2), "h long, n long, kept double, mass double")
+    parts = pairs.select("pairs", "n").mapInArrow(lean(_history_parts(first, p1, d2)), "h long, n long, kept double, mass double")
     each = parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("mass").alias("mass"))
     nothing = F.col("n") - F.col("kept") < 1e-9 * F.col("n")
     over = F.when(nothing, 1.0).otherwise(F.col("n") - F.col("kept"))
     whole = F.when(nothing, F.col("n") + 1.0).otherwise(F.col("n").cast("double"))
-    histories = stored(each.select("h", F.log10(whole).alias("log_total"), F.log10(over / whole / F.greatest(1.0 - F.col("mass"), F.lit(unknown))).alias("log_alpha")), "katz-histories")
+    histories = stored(each.select("h", F.log10(whole).alias("log_total"), F.log10(over / whole / F.greatest(1.0 - F.col("mass"), F.lit(unknown))).alias("log_alpha")), "katz-histories", BATCH_BYTES)
     ours = histories.filter((F.col("h") >= 0) & (F.col("h") < len(frequent))).toPandas()  # at most frequent_words + 1 rows
     log_total, log_alpha = np.zeros(len(frequent)), np.zeros(len(frequent))
     log_total[ours["h"]], log_alpha[ours["h"]] = ours["log_total"], ours["log_alpha"]
@@ -335,42 +346,47 @@ def _send(model: Model):
     known, buckets, d2, unit = model.known, model.buckets, model.d2, model.total + model.vocabulary + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, frequent_n, log_total, _, keys, counts = known.value
+        _, frequent_n, _, _, _, counts = known.value
         log_kept = np.log10(_discounted(counts, d2)) if len(counts) else np.zeros(0)
         log_base = np.log10((frequent_n + 1) / unit)
-        for words, lengths, rows in _flushes(batches, FLUSH_TOKENS):
-            h, w = _pairs(words, lengths, frequent)
-            doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
-            by_doc = lambda at, x=None: np.bincount(doc[at], x, len(lengths))
-            common = w < RARE
-            place = w[common].astype(np.int64)
-            here = np.flatnonzero(common & (h < RARE))
-            key = (h[here] << np.uint64(32)) | w[here]
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            cached, at = here[hit], at[hit]
-            part = by_doc(cached, log_kept[at] - log_total[h[cached].astype(np.int64)])
-            made = {"tokens": lengths, "known": by_doc(common, (frequent_n[place] > 0).astype(np.float64)).astype(np.int64), "base": by_doc(common, log_base[place]), "part": part}
-            spread = pa.array(np.arange(len(lengths)) % buckets, pa.int32())
-            ids = np.zeros(len(lengths), KEY)
-            ids["doc"], ids["doc2"] = np.asarray(rows.column("doc")), _second(words, lengths, rows.column("doc_id"))
-            yield _columns(SENT, len(lengths), kind=2, bucket=spread, **{c: np.ascontiguousarray(ids[c]) for c in ROW}, doc_id=rows.column("doc_id"), rows=1, **made)
-            rest = np.ones(len(w), bool)
-            rest[cached] = False
-            h, w, doc = h[rest], w[rest], doc[rest]
-            bucket = _bucket(h, w, buckets)
-            order = np.lexsort((doc, w, h, bucket))
-            h, w, doc, bucket = h[order], w[order], doc[order], bucket[order]
-            first = _starts(bucket, h, w, doc)
-            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
-            h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
-            cuts = np.r_[_starts(bucket), len(bucket)]
-            out = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                mine, local = np.unique(doc[lo:hi], return_inverse=True)  # ids of the documents in this part alone
-                head = np.array([len(mine)], np.uint32).tobytes()
-                out.append((int(bucket[lo]), int(hi - lo), head + ids[mine].tobytes() + _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi], local.astype(np.uint32))))
-            yield _columns(SENT, len(out), kind=1, bucket=[x[0] for x in out], n=[x[1] for x in out], data=[x[2] for x in out])
+        for flush in _flushes(batches, FLUSH_TOKENS):
+            yield from sent(*flush, log_kept, log_base)  # its arrays are gone when the next texts are read
+            del flush
+
+    def sent(words: np.ndarray, lengths: np.ndarray, rows: pa.RecordBatch, log_kept: np.ndarray, log_base: np.ndarray) -> Iterator[pa.RecordBatch]:
+        frequent, frequent_n, log_total, _, keys, counts = known.value
+        h, w = _pairs(words, lengths, frequent)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+        by_doc = lambda at, x=None: np.bincount(doc[at], x, len(lengths))
+        common = w < RARE
+        place = w[common].astype(np.int64)
+        here = np.flatnonzero(common & (h < RARE))
+        key = (h[here] << np.uint64(32)) | w[here]
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        cached, at = here[hit], at[hit]
+        part = by_doc(cached, log_kept[at] - log_total[h[cached].astype(np.int64)])
+        made = {"tokens": lengths, "known": by_doc(common, (frequent_n[place] > 0).astype(np.float64)).astype(np.int64), "base": by_doc(common, log_base[place]), "part": part}
+        spread = pa.array(np.arange(len(lengths)) % buckets, pa.int32())
+        ids = np.zeros(len(lengths), KEY)
+        ids["doc"], ids["doc2"] = np.asarray(rows.column("doc")), _second(words, lengths, rows.column("doc_id"))
+        yield _columns(SENT, len(lengths), kind=2, bucket=spread, **{c: np.ascontiguousarray(ids[c]) for c in ROW}, doc_id=rows.column("doc_id"), rows=1, **made)
+        rest = np.ones(len(w), bool)
+        rest[cached] = False
+        h, w, doc = h[rest], w[rest], doc[rest]
+        bucket = _bucket(h, w, buckets)
+        order = np.lexsort((doc, w, h, bucket))
+        h, w, doc, bucket = h[order], w[order], doc[order], bucket[order]
+        first = _starts(bucket, h, w, doc)
+        n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+        h, w, doc, bucket = h[first], w[first], doc[first], bucket[first]
+        cuts = np.r_[_starts(bucket), len(bucket)]
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            mine, local = np.unique(doc[lo:hi], return_inverse=True)  # ids of the documents in this part alone
+            head = np.array([len(mine)], np.uint32).tobytes()
+            out.append((int(bucket[lo]), int(hi - lo), head + ids[mine].tobytes() + _pack_pairs(h[lo:hi], w[lo:hi], n[lo:hi], local.astype(np.uint32))))
+        yield _columns(SENT, len(out), kind=1, bucket=[x[0] for x in out], n=[x[1] for x in out], data=[x[2] for x in out])
 
     return run
 
@@ -452,10 +468,10 @@ def apply(model: Model, documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of documents (doc_id, text)."""
     said = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", said).alias("doc"), "text")
-    sent = rows.mapInArrow(_send(model), SENT)
+    sent = rows.mapInArrow(lean(_send(model)), SENT)
     tables = model.pairs.select(F.lit(0).cast("byte").alias("kind"), "bucket", "n", F.col("pairs").alias("data"))
-    both = tables.unionByName(sent, allowMissingColumns=True).repartition(4 * model.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    made = stored(both.mapInArrow(_answer(model), SUMS), "katz-sums")
+    both = tables.unionByName(sent, allowMissingColumns=True).repartitionById(model.buckets, "bucket").sortWithinPartitions("bucket", "kind")  # no task has two buckets
+    made = stored(both.mapInArrow(lean(_answer(model)), SUMS), "katz-sums", BATCH_BYTES)
     sums = made.filter("kind = 0").groupBy(*ROW).agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("rows", "tokens", "known", "base", "part")])
     used = made.filter("kind = 1").select(*ROW, "h", "seen", "unseen").join(model.histories, "h", "left")
     backed = used.groupBy(*ROW).agg(F.sum(F.coalesce(F.col("unseen") * F.col("log_alpha") - F.col("seen") * F.col("log_total"), F.lit(0.0))).alias("backed"))
