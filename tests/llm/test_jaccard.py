@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import DOC, WORD, _docs
-from walkspark.llm import jaccard
+from walkspark.llm import jaccard, neardup
+from walkspark.llm.neardup import shingle_sets
 
 
 def _plain(rows, words, threshold):
@@ -116,3 +118,58 @@ def test_components_are_not_worked_out_again_without_new_links(spark, monkeypatc
     df = _docs(spark, texts)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect())
     assert got == _plain(list(enumerate(texts)), 5, 80) and len(calls) <= 3
+
+
+def test_long_shingles_come_first():
+    texts = pa.array(["of the in a to " * 3 + "considerable manufacturing possibilities notwithstanding circumstances " + "and so it is on " * 3, "one two", "one", "", None])
+    found = list(jaccard._ordered_sets(texts, 5))
+    assert [len(x) for x in found] == [len(x) for x in shingle_sets(texts, 5)] and all((x[1:] > x[:-1]).all() for x in found)
+    long = next(jaccard._ordered_sets(pa.array(["considerable manufacturing possibilities notwithstanding circumstances"]), 5))
+    assert found[0][0] == long[0]
+
+
+def _cluster_sizes(spark, monkeypatch, texts):
+    """Documents in the clusters of crowded cells, and whether the join equals all pairs."""
+    seen = []
+    real = jaccard.regions
+    monkeypatch.setattr(jaccard, "regions", lambda clusters, *rest: seen.append(clusters.count()) or real(clusters, *rest))
+    got = jaccard.jaccard_join(_docs(spark, texts))
+    return seen[0], sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == _plain(list(enumerate(texts)), 5, 80)
+
+
+def test_holders_of_a_passage_are_not_all_compared(spark, monkeypatch):
+    """A crowded cell holds documents of all sizes; only those near the size of one that has nothing else are gone through."""
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    rng = random.Random(53)
+    passage = [f"w{rng.randrange(3000)}" for _ in range(40)]
+    texts = [" ".join(passage[k:]) for k in range(8)]
+    texts += [" ".join(passage + [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 250))]) for _ in range(60)]
+    size, equal = _cluster_sizes(spark, monkeypatch, texts)
+    assert equal and 8 <= size < 40
+
+
+def test_pairs_of_blocks_go_in_rounds(spark, monkeypatch):
+    """However many blocks a cluster has, a round's shuffle holds no more than the cluster's sets, or ROUND."""
+    labels, real = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, label, *a: labels.append(label) or real(df, label, *a))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "ROUND", 100, raising=False)
+    rng = random.Random(54)
+    base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    texts = [" ".join(x if rng.random() > 0.02 else f"w{rng.randrange(3000)}" for x in base) for _ in range(60)]
+    df = _docs(spark, texts).selectExpr("doc_id as id", "text")
+    clusters = df.selectExpr("id", "0L as component")
+    links = neardup._crowded_links(clusters, clusters.limit(0), df.selectExpr("id", "56L as n"), df, 5, 80)
+    got = {r["id"]: r["component"] for r in neardup.components(links).collect()}
+    assert [(i, got.get(i, i)) for i in range(60)] == [(i, c) for i, _, c in _plain(list(enumerate(texts)), 5, 80)]
+    assert labels.count("neardup-round") > 1
+
+
+def test_components_of_few_and_many_edges_agree(spark, monkeypatch):
+    rng = random.Random(55)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(400, 450)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    few = sorted(tuple(r) for r in neardup.components(edges).collect())
+    monkeypatch.setattr(neardup, "FEW", -1, raising=False)
+    assert few and few == sorted(tuple(r) for r in neardup.components(edges).collect())

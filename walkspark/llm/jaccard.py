@@ -3,9 +3,11 @@
 With J the similarity, 1 - J is a metric, so distances to a pivot say how far apart two sets can be: by the triangle
 inequality linked sets lie within r = 1 - threshold of each other as seen from any pivot.
 
-1. Cells. Shingles have a global order, by hash. Two linked sets share one of the first n - ceil(threshold * n) + 1
-   shingles of either, so each of these keys is a cell of the space that a set lies in. Keys of crowded cells (a passage
-   that many documents hold) go to the end of the order, for all sets; sets that have them take the next keys instead.
+1. Cells. Shingles have a global order: the longest first, then by hash. Two linked sets share one of the first
+   n - ceil(threshold * n) + 1 shingles of either, so each of these keys is a cell of the space that a set lies in. Long
+   shingles are rare at any size of the corpus; runs of short, frequent words meet by chance, in cells that fill up and get
+   more as it grows. Keys of crowded cells (a passage that many documents hold) go to the end of the order, for all sets;
+   sets that have them take the next keys instead.
    Sets that are alone in all their cells are linked with nothing.
 2. Pivots. The member with the smallest hash is its cell's pivot; the distance of each other member to it is measured.
    A set near enough is linked to it.
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkspark.llm.common import discard, stored
-from walkspark.llm.neardup import ROWS, _confirm, _crowded_links, components, shingle_sets
+from walkspark.llm.neardup import ROWS, _confirm, _crowded_links, _windows, components, shingle_sets
+from walkspark.llm.words import hashed, word_runs
 
 #: How often the order of crowded cells is looked over; members above which a cell is crowded; members up to which a region isn't divided; pivots of a region; members measured in one task.
 TURNS, CROWD, LEAF, PIVOTS, BLOCK = 3, 64, 1024, 16, 256
@@ -43,6 +46,25 @@ def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1 if n else 0
 
 
+def _ordered_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit numbers of its shingles: six bits for their bytes, the longest first, then bits of their hash."""
+    for lo in range(0, len(texts), ROWS):
+        raw, starts, ends, lengths = word_runs(texts.slice(lo, ROWS))
+        h, bytes_ = hashed(raw, starts, ends), np.r_[0, np.cumsum(ends - starts)]
+        whole = _numbers(h, bytes_, words)
+        for start, n in zip(np.cumsum(lengths) - lengths, lengths):
+            if n >= words:
+                yield np.unique(whole[start : start + n - words + 1])
+            else:
+                yield _numbers(h[start : start + n], bytes_[start : start + n + 1], n) if n else np.empty(0, np.uint64)
+
+
+def _numbers(h: np.ndarray, bytes_: np.ndarray, n: int) -> np.ndarray:
+    """Of each n neighbours; bytes_: those of the words before each word."""
+    long = np.minimum((bytes_[n:] - bytes_[: max(0, len(bytes_) - n)]) // 2, 63).astype(np.uint64)
+    return (np.uint64(63) - long) << np.uint64(58) | _windows(h, n) >> np.uint64(6)
+
+
 def _packed(shingles: np.ndarray) -> bytes:
     """Keys of shingles: the upper 48 bits, six bytes each. Two shingles with one key only make a cell larger."""
     return (shingles >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -59,7 +81,7 @@ def _fingerprints(df: DataFrame, id: str, text: str, words: int, threshold: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {"n": [], "set_key": [], "keys": [], "more": []}
-            for found in shingle_sets(batch.column(1), words):
+            for found in _ordered_sets(batch.column(1), words):
                 p = prefix_length(len(found), threshold)
                 made["n"].append(len(found))
                 made["set_key"].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -90,7 +112,7 @@ def _all_keys(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(lo, ROWS) for lo in range(0, batch.num_rows, ROWS)):
-                made = [(xxhash.xxh3_128_digest(x.tobytes()), _packed(x)) for x in shingle_sets(part.column("text"), words)]
+                made = [(xxhash.xxh3_128_digest(x.tobytes()), _packed(x)) for x in _ordered_sets(part.column("text"), words)]
                 yield pa.RecordBatch.from_pydict({c: pa.array([m[i] for m in made], pa.binary()) for i, c in enumerate(("set_key", "keys"))})
 
     return texts.select("id", "text").mapInArrow(run, "set_key binary, keys binary")
@@ -124,7 +146,7 @@ def cells(classes: DataFrame, df: DataFrame, id: str, text: str, words: int, thr
             scratch += [their, rest]
         before = more.join(short, "h", "left_anti")
         if rest is not None:
-            # in the common order: by hash, those of crowded cells last; a set has at most as many as words
+            # in the common order, those of crowded cells last; a set has at most as many as words
             marked = rest.join(crowd.withColumn("last", F.lit(True)), "key", "left").groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "key"))).alias("ks"))
             taken = F.slice("ks", F.lit(1), (F.size("ks") - F.ceil(F.size("ks") * threshold / 100) + 1).cast("int"))
             chosen = stored(marked.select("h", F.explode(taken).alias("k")).select("h", "k.*"), "jaccard-chosen")
@@ -134,7 +156,9 @@ def cells(classes: DataFrame, df: DataFrame, id: str, text: str, words: int, thr
         if turn + 1 == TURNS:
             break  # what is crowded now mostly holds sets that have nothing else: the regions are for them
         sizes = shared.unionByName(extra.groupBy("key").agg(F.count("*").alias("size"))).groupBy("key").agg(F.sum("size").alias("size"))
-        fresh = stored(sizes.filter(F.col("size") > CROWD).select("key").join(crowd, "key", "left_anti"), "jaccard-fresh")
+        if rest is not None:  # a passage goes with all its shingles: else those that come next in the order are crowded next
+            sizes = sizes.unionByName(rest.groupBy("key").agg(F.count("*").alias("size")))
+        fresh = stored(sizes.filter(F.col("size") > CROWD).select("key").distinct().join(crowd, "key", "left_anti"), "jaccard-fresh")
         scratch.append(fresh)
         if fresh.isEmpty():
             break
@@ -160,6 +184,23 @@ def cells(classes: DataFrame, df: DataFrame, id: str, text: str, words: int, thr
     return made
 
 
+def _loose(members: DataFrame, threshold: int) -> DataFrame:
+    """(id, c): members of crowded cells that may be linked without a small cell in common, each with one that it has to be compared with.
+
+    A linked pair without small cells has at most as many shingles in common as the rest of one of the two, the loose one. That bounds
+    how many the other may have; others of its crowded cells aren't gone through. Sizes go by bands, four to an octave."""
+    n, band = F.col("n").cast("long"), lambda x: F.floor(4 * F.log2(x)).cast("int")
+    lo, hi = F.ceil(threshold * n / 100).cast("long"), F.floor((F.col("rest") * (100 + threshold) - threshold * n) / threshold).cast("long")
+    loose = members.select("key", "id", band(n).alias("of"), lo.alias("lo"), hi.alias("hi")).filter("hi >= lo")
+    first = stored(loose.groupBy("key", "of").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("id").alias("first")), "jaccard-loose")
+    wide = first.select("*", F.explode(F.sequence(band(F.col("lo")), band(F.col("hi")))).alias("band"))
+    asked = stored(wide.groupBy("key", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("c")), "jaccard-loose")
+    theirs = loose.join(first.select("key", "of", F.col("first").alias("c")), ["key", "of"]).select("id", "c")
+    theirs = theirs.union(wide.join(asked.select("key", "band", "c"), ["key", "band"]).select(F.col("first").alias("id"), "c"))
+    others = members.select("key", "id", "n", band(n).alias("band")).join(asked, ["key", "band"]).filter(F.col("n").between(F.col("lo"), F.col("hi"))).select("id", "c")
+    return theirs.union(others).distinct()
+
+
 def _distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(a, b, d): the Jaccard distances of pairs of ids, from their full sets."""
 
@@ -264,9 +305,7 @@ def jaccard_join(df: DataFrame, id: str = "doc_id", text: str = "text", words: i
     met = met.agg(F.count("*").alias("shared"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
     possible = (F.col("shared") + F.col("rest")) * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))
     met = stored(met.filter(possible).select("a", "b"), "jaccard-met")
-    # sets that may be linked without a small cell in common: only their crowded cells have to be gone through
-    loose = stored(members.filter((F.col("size") > CROWD) & (100 * F.col("rest").cast("long") >= threshold * F.col("n").cast("long"))).select("key").distinct(), "jaccard-loose")
-    crowded = stored(members.filter(F.col("size") > CROWD).join(loose, "key", "left_semi").select("id", "c").distinct(), "jaccard-crowded")
+    crowded = stored(_loose(members.filter(F.col("size") > CROWD), threshold), "jaccard-crowded")
     involved = stored(met.select(F.col("a").alias("id")).union(met.select("b")).union(crowded.select("id")).distinct(), "jaccard-involved")
     texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
     texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "jaccard-texts")

@@ -11,7 +11,7 @@ Equal sets are one class, represented by its smallest id. In each bucket everyon
 one member drawn by hash, and links join into components; after that only pairs whose components
 still differ are compared. So a bucket of many near copies costs a pass, not all its pairs, and no link between
 components is lost. Buckets of over 64 members are joined to clusters, whose members are
-dealt to blocks of about 256; a task takes two blocks, counts all intersections at once and returns a
+dealt to blocks of about 512; a task takes two blocks, counts all intersections at once and returns a
 spanning forest of the links, so pairs inside large groups are never rows. Blocks inside one component aren't paired.
 Signatures, buckets and pairs stay in tables; texts move only for the documents in buckets.
 """
@@ -19,6 +19,7 @@ Signatures, buckets and pairs stay in tables; texts move only for the documents
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,11 @@ from walkspark.llm.words import word_hashes
 CHUNKS, SYMBOLS = 9, 5
 WIDTH = CHUNKS * SYMBOLS
 #: Members above which a bucket is crowded; documents and shingles in a block; rows that are hashed at once.
-CROWD, BLOCK, BLOCK_SHINGLES, ROWS = 64, 256, 1 << 20, 256
+CROWD, BLOCK, BLOCK_SHINGLES, ROWS = 64, 512, 1 << 20, 256
+#: Shingles that pairs of blocks may take in one round, if the clusters have no more themselves.
+ROUND = 1 << 26
+#: Edges up to which components are worked out at once, on the driver: a step over them is mostly the starting of tasks.
+FEW = 1 << 16
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64)
@@ -121,6 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
     before it is joined: both sides of the join are then plain exchanges, which Spark splits where a node is hot.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    if edges.count() <= FEW:
+        return _few_components(edges)
     while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-least")
@@ -132,6 +139,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    found = edges.toArrow()
+    nodes, ends = np.unique(np.r_[found["u"].to_numpy(), found["v"].to_numpy()], return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(label, end, least)
+        label = label[label]
+    while (label != label[label]).any():
+        label = label[label]
+    made = pa.table({"id": pa.array(nodes, pa.int64()), "component": pa.array(nodes[label], pa.int64())})
+    return edges.sparkSession.createDataFrame(made, "id long, component long")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node is either linked to one smaller node and to nothing else, or a centre."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
@@ -188,19 +211,26 @@ def _crowded_links(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, tex
     pools = sizes.groupBy("cluster", "own").agg(F.ceil(F.sum("size")).alias("blocks"))
     placed = placed.join(sizes.select("cluster", "component", "own"), ["cluster", "component"]).withColumnRenamed("own", "pool")
     same = (placed["cluster"] == pools["cluster"]) & placed["pool"].eqNullSafe(pools["own"])
-    placed = placed.join(pools, same).select(placed["cluster"], "id", "component", "pool", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    placed = placed.join(pools, same).select(placed["cluster"], "id", "component", "n", "pool", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     placed = stored(placed, "neardup-placed")
-    blocks = placed.select("cluster", "pool", "block").distinct()
-    left, right = (blocks.select("cluster", F.col("pool").alias(f"pool_{s}"), F.col("block").alias(f"block_{s}")) for s in "ab")
+    blocks = placed.groupBy("cluster", "pool", "block").agg(F.sum("n").alias("held"))
+    left, right = (blocks.select("cluster", *[F.col(c).alias(f"{c}_{s}") for c in ("pool", "block", "held")]) for s in "ab")
     order = F.struct(F.coalesce("pool_a", F.lit(-(2**62))), "block_a") <= F.struct(F.coalesce("pool_b", F.lit(-(2**62))), "block_b")
     pairs = left.join(right, "cluster").filter(order & (F.col("pool_a").isNull() | ~F.col("pool_a").eqNullSafe(F.col("pool_b"))))
     pairs = pairs.withColumn("pair", F.xxhash64("cluster", "pool_a", "block_a", "pool_b", "block_b"))
     ends = F.explode(F.array_distinct(F.array(F.struct(F.col("pool_a").alias("pool"), F.col("block_a").alias("block")), F.struct(F.col("pool_b").alias("pool"), F.col("block_b").alias("block")))))
     ends = pairs.select("cluster", "pair", ends.alias("e")).select("cluster", "pair", "e.pool", "e.block")
     found = texts.join(clusters.select("id"), "id", "left_semi").select("id", "text").mapInArrow(lean(sets), "id long, sets binary")
-    known = placed.join(stored(found, "neardup-sets"), "id")
+    known = placed.drop("n").join(stored(found, "neardup-sets"), "id")
     on = (known["cluster"] == ends["cluster"]) & (known["block"] == ends["block"]) & known["pool"].eqNullSafe(ends["pool"])
-    return known.join(ends, on).select("pair", "id", "component", "sets").groupBy("pair").applyInPandas(_block_links(threshold), "a long, b long")
+    linked = lambda some: known.join(some, on).select("pair", "id", "component", "sets").groupBy("pair").applyInPandas(_block_links(threshold), "a long, b long")
+    # a block's sets go to each pair of it: rounds of pairs, so that what is shuffled at once stays in proportion
+    moved = pairs.agg(F.sum(F.col("held_a") + F.col("held_b"))).first()[0] or 0
+    rounds = 1 if moved <= ROUND else -(-moved // max(ROUND, placed.agg(F.sum("n")).first()[0]))
+    if rounds == 1:
+        return linked(ends)
+    made = [stored(linked(ends.filter(F.pmod("pair", F.lit(rounds)) == i)), "neardup-round") for i in range(rounds)]
+    return reduce(DataFrame.unionByName, made)
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:

@@ -42,8 +42,8 @@ def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts in order, number of words of each text).
+def word_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, number of words of each text): the words of all texts in order, as runs of the bytes.
 
     A-Z are lowered; words are parted by the six ASCII white-space characters. Null is a text without words.
     """
@@ -55,7 +55,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut[at] = True
     starts = np.flatnonzero(word & (cut[:-1] | np.r_[True, ~word[:-1]]))
     ends = np.flatnonzero(word & (cut[1:] | np.r_[~word[1:], True])) + 1
-    return hashed(raw, starts, ends), np.diff(np.searchsorted(starts, at))
+    return raw, starts, ends, np.diff(np.searchsorted(starts, at))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in order, number of words of each text)."""
+    raw, starts, ends, lengths = word_runs(texts)
+    return hashed(raw, starts, ends), lengths
 
 
 #: What stands at the end of a text, and before its first word: no word holds a blank.
