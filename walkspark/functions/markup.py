@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +86,36 @@ def label_of(markup: str) -> str:
     return " ".join(html.unescape(re.sub("<[^>]+>", " ", markup[:closed]) + markup[closed:]).split()).lower()
 
 
+#: Fixed value: the most characters of a label that is remembered.
+SHORT = 100
+
+
+@lru_cache(4096)
+def _short_label(markup: str) -> str:
+    return label_of(markup)
+
+
+#: Pages of an Arrow batch that are Python objects at once; a batch may hold 10,000.
+PIECE = 64
+
+
+def _in_pieces(run: Callable[[pa.Array], pa.Array], pages: pa.Array) -> pa.Array:
+    return pa.concat_arrays([run(pages.slice(at, PIECE)) for at in range(0, max(len(pages), 1), PIECE)])
+
+
+def _texts(rows: list[list[str]]) -> pa.Array:
+    """An array of lists of texts."""
+    return _lists(rows, pa.array([x for row in rows for x in row], pa.string()))
+
+
+def _lists(rows: list, values: pa.Array) -> pa.Array:
+    """values dealt to lists as long as rows; None becomes a null."""
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row or ()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([row is None for row in rows], pa.bool_()))
+
+
 #: Fixed value: part of the id of the heading above a page's directions.
 MARKER = "walk-instructions"
 
@@ -93,45 +124,68 @@ def page_parts(page: Column, marker: str = MARKER, until: str = "donate") -> Col
     """struct<h1, directions, rows array<struct<label, body>>> of a route page, as markup but for the labels; rows without a label go. marker: part of the id of the directions' heading."""
     marked, word = _find(rf'id="[^"]*{re.escape(marker)}[^"]*"'), _find(re.escape(until))
 
-    def parts(text: str) -> dict:
-        head = next(between(text, *HEADING), None)
-        rows = [{"label": label, "body": body} for a, body in labelled_rows(text) if (label := label_of(a))]
-        return {"h1": text[head[1] : head[2]] if head else None, "directions": instructions(text, marked, word), "rows": rows}
-
-    @F.pandas_udf(_struct(h1=T.StringType(), directions=T.StringType(), rows=T.ArrayType(_struct(label=T.StringType(), body=T.StringType()))))
-    def scan(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parts(x or "") for x in pages], columns=["h1", "directions", "rows"])
+    def rows_of(text: str) -> list[tuple[str, str]]:
+        return [(label, body) for a, body in labelled_rows(text) if (label := _short_label(a) if len(a) <= SHORT else label_of(a))]
+
+    def parts(pages: pa.Array) -> pa.Array:
+        heads, ways, rows = [], [], []
+        for x in pages:
+            text = x.as_py() or ""
+            head = next(between(text, *HEADING), None)
+            heads.append(text[head[1] : head[2]] if head else None)
+            ways.append(instructions(text, marked, word))
+            rows.append(rows_of(text))
+        labels, bodies = (pa.array([r[i] for row in rows for r in row], pa.string()) for i in (0, 1))
+        of = _lists(rows, pa.StructArray.from_arrays([labels, bodies], ["label", "body"]))
+        return pa.StructArray.from_arrays([pa.array(heads, pa.string()), pa.array(ways, pa.string()), of], ["h1", "directions", "rows"])
+
+    @F.arrow_udf(_struct(h1=T.StringType(), directions=T.StringType(), rows=T.ArrayType(_struct(label=T.StringType(), body=T.StringType()))))
+    def scan(pages: pa.Array) -> pa.Array:
+        return _in_pieces(parts, pages)
 
     return scan(page)
 
 
-@F.pandas_udf(T.ArrayType(_struct(cells=_TEXTS, data=_TEXTS)))
-def index_rows(pages: pd.Series) -> pd.Series:
-    """The rows of an index page: their cells, as markup, and the sort keys that cells carry."""
+def _index_rows(pages: pa.Array) -> pa.Array:
+    rows, cells, data = [], [], []
+    for x in pages:
+        page = x.as_py()
+        if page is None:
+            rows.append(None)
+            continue
+        found = [page[a:b] for _, a, b, _ in between(page, *ROW)]
+        rows.append(found)
+        cells += [[row[a:b] for _, a, b, _ in between(row, *CELL)] for row in found]
+        data += [DATA.findall(row) for row in found]
+    return _lists(rows, pa.StructArray.from_arrays([_texts(cells), _texts(data)], ["cells", "data"]))
 
-    def of_page(page):
-        rows = (page[a:b] for _, a, b, _ in between(page, *ROW))
-        return [{"cells": [row[a:b] for _, a, b, _ in between(row, *CELL)], "data": DATA.findall(row)} for row in rows]
 
-    return pages.map(of_page, na_action="ignore")
+@F.arrow_udf(T.ArrayType(_struct(cells=_TEXTS, data=_TEXTS)))
+def index_rows(pages: pa.Array) -> pa.Array:
+    """The rows of an index page: their cells, as markup, and the sort keys that cells carry."""
+    return _in_pieces(_index_rows, pages)
 
 
-@F.pandas_udf(_TEXTS)
-def option_bodies(pages: pd.Series) -> pd.Series:
+@F.arrow_udf(_TEXTS)
+def option_bodies(pages: pa.Array) -> pa.Array:
     """Bodies of the rows that may speak of options."""
     closing = CELL[1]
-    return pages.map(lambda page: [page[a:b] for _, a, b, _ in between(page, OPTION_LABEL, closing)], na_action="ignore")
+    of_page = lambda page: [page[a:b] for _, a, b, _ in between(page, OPTION_LABEL, closing)]
+    return pa.array([None if page is None else of_page(page) for page in (x.as_py() for x in pages)], pa.list_(pa.string()))
 
 
 #: The markup looked at before and behind a bold name.
 BEFORE, BEHIND = 120, 600
 
 
-@F.pandas_udf(T.ArrayType(_struct(row=T.IntegerType(), name=T.StringType(), before=T.StringType(), behind=T.StringType())))
-def bold_names(bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(_struct(row=T.IntegerType(), name=T.StringType(), before=T.StringType(), behind=T.StringType())))
+def bold_names(bodies: pa.Array) -> pa.Array:
     """The bold names of an array of bodies with the markup around each, numbered by body."""
 
-    def of_page(rows):
-        return [{"row": k, "name": x[b:c], "before": x[max(0, a - BEFORE) : a], "behind": x[d : d + BEHIND]} for k, x in enumerate(rows) for a, b, c, d in between(x or "", *BOLD)]
+    def of_page(rows: list) -> list[tuple]:
+        return [(k, x[b:c], x[max(0, a - BEFORE) : a], x[d : d + BEHIND]) for k, x in enumerate(rows) for a, b, c, d in between(x or "", *BOLD)]
 
-    return bodies.map(of_page, na_action="ignore")
+    found = [None if rows is None else of_page(rows) for rows in (x.as_py() for x in bodies)]
+    column = lambda i, kind: pa.array([f[i] for page in found for f in page or ()], kind)
+    columns = [column(0, pa.int32()), *(column(i, pa.string()) for i in (1, 2, 3))]
+    return _lists(found, pa.StructArray.from_arrays(columns, ["row", "name", "before", "behind"]))
