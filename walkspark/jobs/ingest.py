@@ -26,7 +26,7 @@ def geometry(gpx: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     document has no figures: no track points (nothing in it, or it is broken), missing heights (a gap that heights don't
     fill), a point outside Great Britain, or fewer than two points. What was found before the error is kept: the number of
     routes and the ends, and that the track was backfilled."""
-    points = parse(gpx.filter("length(gpx) > 0").select(*KEYS, "gpx"))
+    points = stored(parse(gpx.filter("length(gpx) > 0").select(*KEYS, "gpx")), "ingest-points")  # for the ends, the heights and the lengths
     first, whole = F.col("track_no") == 0, points.filter("track_no = 0")
     ends = points.groupBy(*KEYS).agg(
         (F.max("track_no") + 1).cast("int").alias("gpx_route_count"), F.min_by(F.struct("lon", "lat"), F.when(first, F.col("seq"))).alias("a"), F.max_by(F.struct("lon", "lat"), F.when(first, F.col("seq"))).alias("b"),
@@ -71,9 +71,10 @@ def ingest(refs: DataFrame, raw: DataFrame, gpx: DataFrame, tolerance: float = 0
 
     `status` is failed (`error`: no page, or the bound that it breaks), without_gpx, geometry_failed (`error`: why) or measured. limit: only the first
     refs by `order`. Nothing raises in a task. Lengths are rounded to two places after they are compared with the published
-    ones. Pages are parsed once, into a table that the three outputs read. A walk with GPX has a `gpx_path` in gpx_dir, whatever is in it."""
+    ones. Refs, GPX and pages are read and parsed once, into tables that the three outputs read. A walk with GPX has a `gpx_path` in gpx_dir, whatever is in it."""
     if limit is not None:
         refs = refs.orderBy(order, "slug", "source").limit(limit)
+    refs, gpx = stored(refs, "ingest-refs"), stored(gpx.select(*KEYS, "gpx"), "ingest-gpx")
     parts = stored(parse_pages(raw.join(refs.select(*KEYS), KEYS, "left_semi")), "ingest-pages")
     walks, variations, food_stops = parse_walks(refs, raw, parts)
     has_gpx = gpx.select(*KEYS, (F.length("gpx") > 0).alias("has_gpx"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from walkspark.functions.keys import WALK
 from walkspark.operators.search import phrases, tokens
 from walkspark.operators.store import upsert, with_columns_of
+from walkspark.sources.scratch import without_leftovers
 
 CHILDREN = ("variations", "food_stops")
 #: The texts that are searched, in order.
@@ -80,7 +81,8 @@ class WalkStore:
             nested = nested.join(one, list(WALK), "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
         bucket = _bucket(self.buckets, *[F.col(c) for c in WALK])
         fresh = nested.withColumns({"load": F.lit(load).cast("long"), "bucket": bucket})
-        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # at most as many as there are buckets
+        with without_leftovers(self.spark):
+            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # at most as many as there are buckets
         if not touched:
             return []
         if self._there("walks"):
@@ -96,7 +98,8 @@ class WalkStore:
         return touched
 
     def _write(self, df: DataFrame, table: str, *by: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{table}")
+        with without_leftovers(self.spark):
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{table}")
 
     def search(self, query: str) -> DataFrame:
         """The walks that match a query, as search.matches() does; only the buckets of its tokens are read."""
